@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, shards, urlrules
+import public_tokenizers
+
+from . import bpe, packing, quality, shards, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    coded = bpe.decode(coded, ranks)
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.expr("octet_length(ids) div 2").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_as_text("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return shards.shard(docs).select(
@@ -32,10 +46,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op4_byte_shards": op4_byte_shards,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
 }
 
 _OP7 = r"""
