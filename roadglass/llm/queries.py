@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, neardedup, packing, pii, quality, shards, urlrules
+from . import bpe, neardedup, packing, pii, quality, shards, topk, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_read(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_byte_shards": op4_byte_shards,
+    "op6_top_k": op6_top_k,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
@@ -123,4 +128,15 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from b
 """
 
-ORACLE_SQL = {"op7_url_filter": _OP7, "op8_quality_rules": _OP8}
+_OP6 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE_SQL = {"op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8}
