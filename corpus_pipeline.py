@@ -1,10 +1,74 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir), is written as Parquet to the shared folder and read again as the
+next one's input. The first four return the columns of their input. Rows of one doc_id with equal texts
+are one document; null and empty texts are rejected by the first stage; extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadglass.llm import neardedup, packing, pii, quality, toxicity
+from roadglass.llm._common import fresh, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the newest policy."""
+    (failed,) = fresh(docs, "failed_bits")
+    led = docs.withColumn(failed, quality.failed_bits(docs, F.col("text")))
+    return led.where(F.col(failed).bitwiseAND(F.lit(quality.mask("v1"))) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5, by a model of the labelled ones among all of its input."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    (value,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, "text", value).where(F.col(value) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of every group of near duplicates."""
+    found = neardedup.near_duplicates(docs)
+    gone, one, n = fresh(docs, "gone", "one", "n")
+    lost, _ = written(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "lost")
+    out = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    # Of rows that repeat an id that stays, one row stays.
+    again = docs.groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(one)
+    if again.isEmpty():
+        return out
+    again, _ = written(again, "again")
+    single = out.join(again, F.col("doc_id").eqNullSafe(F.col(one)), "left_anti")
+    many = out.join(again, F.col("doc_id").eqNullSafe(F.col(one)), "left_semi")
+    return single.unionByName(many.dropDuplicates(["doc_id", "text"]))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("pii", redact_pii),
+    ("packing", pack),
+]
+#: SQL can express neither the trained stages nor the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 
 from ._common import tune
 
-#: The rules in the order of their bits, each with its failing condition over the measurements.
+#: The rules in the order of their bits, each with its failing condition over the measurements.
 RULES = (
-    ("few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    ("no_letters", "100 * n_alpha_words < 70 * n_words"),
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    ("no_letters", lambda m: 100 * m["n_alpha_words"] < 70 * m["n_words"]),
 )
 #: The policies by version; the base rules, and all rules.
 POLICIES = {"base": ("few_words", "repeated_windows"), "v1": tuple(n for n, _ in RULES)}
@@ -84,16 +84,25 @@ def mask(policy: str) -> int:
     return sum(bit[n] for n in POLICIES[policy])
 
 
+def _bits(measures: Column) -> Column:
+    """The failed rules' bits, from a struct of measurements."""
+    total: Column = F.lit(0).cast("long")
+    for k, (_, rule) in enumerate(RULES):
+        total = total.bitwiseOR(F.when(rule(measures), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return total
+
+
+def failed_bits(df: DataFrame, text: Column) -> Column:
+    """The failed rules' bits of a text column of df."""
+    tune(df.sparkSession)
+    return _bits(_measured(text))
+
+
 def ledger(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """The columns `keep`, the measurements and failed_bits of every row of df."""
     tune(df.sparkSession)
     out = df.select(*[F.col(k) for k in keep], _measured(F.col(text)).alias("_measures"))
-    out = out.select(*keep, *[F.col(f"_measures.{n}") for n in MEASURES])
-    bits = [F.when(F.expr(f"({rule})"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)]
-    total: Column = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return out.withColumn("failed_bits", total)
+    return out.select(*keep, *[F.col("_measures")[n].alias(n) for n in MEASURES], _bits(F.col("_measures")).alias("failed_bits"))
 
 
 def apply_policy(led: DataFrame, policy: str = "v1", column: str = "kept") -> DataFrame:

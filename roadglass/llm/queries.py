@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, neardedup, packing, pii, quality, shards, topk, urlrules
+from . import bpe, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -68,6 +76,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_byte_shards": op4_byte_shards,
+    "op5_toxicity": op5_toxicity,
     "op6_top_k": op6_top_k,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
