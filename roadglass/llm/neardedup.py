@@ -6,10 +6,12 @@ signature of four longs. Classes that share a band are candidates: the bit count
 corrected for chance agreement, estimate the similarity, and candidates within six standard deviations of
 the threshold are confirmed on the full sets. Confirmed links make the components.
 
-No band emits all its pairs. First each class of a band is paired with the band's pivot only. Then, in
-bands that still hold several components, classes outside the band's largest component meet those of
-other components, best estimates first, until no unconfirmed pair between components is left: pairs within a component
-can't change the result. A link at the threshold shares no band with probability 4e-7.
+No band emits all its pairs. First each class of a band is paired with the band's pivot only. Bands that
+then still hold several components are cut into blocks of about BLOCK classes; each two blocks of a band
+are compared at once, by a product of their shingle-incidence matrices over 16-bit shingle hashes (which
+can't miss a link), and only pairs of different components that reach the threshold there leave the
+comparison, to be confirmed as well. Pairs within a component can't change the result. A link at the
+threshold shares no band with probability 4e-7.
 
 Null texts and texts without words are linked with nothing. Null ids take part but never name a component
 unless all its ids are null. Repeated rows are exact copies. An empty table gives no rows. Other columns
@@ -33,6 +35,8 @@ N_MINIMA, BANDS, ROWS = 128, 25, 5
 PLANES = 4  # two low bits of 128 minima: longs
 #: Agreeing minima that a pair of the threshold's similarity reaches but for six standard deviations.
 MIN_AGREE = 92
+#: Classes of a block, about.
+BLOCK = 256
 #: A link: 100 * intersection >= LINK * union.
 LINK = 85
 
@@ -128,6 +132,64 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[ok, ["a", "b"]]
 
 
+def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds each text's distinct 16-bit shingle hashes."""
+    tables: dict = {}
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            sets, at = _sets(batch["text"].tolist(), tables)
+            short = (sets >> np.uint64(17)).astype(np.uint16)
+            yield batch.assign(short=[np.unique(short[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])])
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row: classes, roots, set sizes, sizes of the short sets, short sets."""
+    lens = rows["short"].map(len).to_numpy(np.int64) // 2
+    return pd.DataFrame(
+        {
+            "key": rows["key"].iloc[:1],
+            "block": rows["block"].iloc[:1],
+            "blocks": rows["blocks"].iloc[:1],
+            "cls": [b"".join(rows["cls"])],
+            "roots": [b"".join(rows["root"])],
+            "n": [rows["n"].to_numpy(np.int64).tobytes()],
+            "lens": [lens.tobytes()],
+            "sets": [b"".join(rows["short"])],
+        }
+    )
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of two blocks' classes, of different components, that may be links."""
+    for batch in batches:
+        out: list[tuple[bytes, bytes]] = []
+        for r in batch.itertuples(index=False):
+            sides = []
+            for cls, roots, n, lens, sets in ((r.cls, r.roots, r.n, r.lens, r.sets), (r.cls2, r.roots2, r.n2, r.lens2, r.sets2)):
+                sides.append((np.frombuffer(cls, "V16"), np.frombuffer(roots, "V16"), np.frombuffer(n, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(sets, np.uint16)))
+            (c, rc, n, ln, s), (d, rd, m, lm, t) = sides
+            both = np.zeros(65536, bool)
+            seen = np.zeros(65536, bool)
+            both[s] = True
+            seen[t] = True
+            both &= seen
+            column = np.cumsum(both) - 1
+            width = int(both.sum())
+            matrices = []
+            for lens, flat in ((ln, s), (lm, t)):
+                keep = both[flat]
+                x = np.zeros((len(lens), width), np.float32)
+                x[np.repeat(np.arange(len(lens)), lens)[keep], column[flat[keep]]] = 1
+                matrices.append(x)
+            common = (matrices[0] @ matrices[1].T).astype(np.int64)
+            # Shingles of one set that share a short hash count once there: at most so many are missed.
+            common += np.minimum((n - ln)[:, None], (m - lm)[None])
+            common = np.minimum(common, np.minimum(n[:, None], m[None]))
+            fits = (100 * common >= LINK * (n[:, None] + m[None] - common)) & (rc[:, None] != rd[None])
+            out += [(c[i].tobytes(), d[j].tobytes()) for i, j in zip(*np.nonzero(fits))]
+        yield pd.DataFrame([(min(p), max(p)) for p in set(out)], columns=["a", "b"])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept of every row."""
     spark = df.sparkSession
@@ -150,57 +212,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
         out = pairs.join(a, "a").join(b, "b").withColumn("agree", agree("pa", "pb"))
         return out.where(f"agree >= {MIN_AGREE} and 100 * least(na, nb) >= {LINK} * greatest(na, nb)").select("a", "b", "agree")
 
-    # Where an id is null or stands for several rows, texts are found by class instead, at the price of a second signing.
-    plain = signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").isEmpty()
+    # The texts of all classes in shared bands. Where an id is null or stands for several rows, they are
+    # found by class instead, at the price of a second signing.
+    need = shared.select("cls").distinct()
+    if signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").isEmpty():
+        texts = docs.join(need.join(classes.select("cls", F.col("rep").alias("id")), "cls"), "id").select("cls", "text")
+    else:
+        known = docs.select("text").mapInPandas(_classed, "cls binary, text string").where("cls is not null")
+        texts = known.join(need, "cls").groupBy("cls").agg(F.first("text").alias("text"))
+    texts, texts_path = written(texts.mapInPandas(_short, "cls binary, text string, short binary"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        if plain:
-            texts = docs.join(need.join(classes.select("cls", F.col("rep").alias("id")), "cls"), "id").select("cls", "text")
-        else:
-            known = docs.select("text").mapInPandas(_classed, "cls binary, text string").where("cls is not null")
-            texts = known.join(need, "cls").groupBy("cls").agg(F.first("text").alias("text"))
-        texts, path = written(texts, "texts")
         both = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-        out, _ = written(both.mapInPandas(_confirm, "a binary, b binary"), "links")
-        drop(spark, path)
-        return out
+        return written(both.mapInPandas(_confirm, "a binary, b binary"), "links")[0]
 
     star = shared.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    done, _ = written(rated(star), "rated")
-    links = confirmed(done)
+    star, _ = written(rated(star), "rated")
+    links = confirmed(star)
     roots, _ = written(components(links, "a", "b"), "roots")
 
-    best = 4
-    while True:
-        # Bands of several components, but for those of two classes, whose one pair is done.
-        rooted = shared.where("size > 2").select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
-        open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-        rows = rooted.join(open_, "key").join(sig, "cls")
-        x = rows.where("root <> main").select("key", F.col("cls").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("planes").alias("px"))
-        y = rows.select("key", F.col("cls").alias("y"), F.col("root").alias("ry"), F.col("main").alias("my"), F.col("n").alias("ny"), F.col("planes").alias("py"))
-        fits = (
-            (F.col("rx") != F.col("ry"))
-            & ((F.col("ry") == F.col("my")) | (F.col("x") < F.col("y")))
-            & (agree("px", "py") >= MIN_AGREE)
-            & (100 * F.least("nx", "ny") >= LINK * F.greatest("nx", "ny"))
-        )
-        met = x.join(y.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & fits)
-        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "ry", agree("px", "py").alias("agree")).distinct()
-        met = met.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        # For each class and other component the best few first; the rest follow if these don't join the two.
-        met, path = written(met, "met")
-        if met.isEmpty():
-            break
-        top = met.groupBy("x", "ry").agg(F.max("agree").alias("top"))
-        turn = met.join(top, ["x", "ry"]).where(F.col("agree") >= F.col("top") - F.lit(best)).select("a", "b", "agree").distinct()
-        turn, _ = written(turn, "turn")
-        done, _ = written(done.unionByName(turn), "rated")
-        links, _ = written(links.unionByName(confirmed(turn)), "links")
-        roots, _ = written(components(links, "a", "b"), "roots")
-        drop(spark, path)
-        best *= 3
+    # Bands of several components, but for those of two classes, whose one pair is done.
+    rooted = shared.where("size > 2").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = rooted.join(open_, "key").join(texts.select("cls", "short"), "cls").join(sig.select("cls", "n"), "cls")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    blocks = rows.groupBy("key", "block").applyInPandas(_packed, "key long, block int, blocks int, cls binary, roots binary, n binary, lens binary, sets binary")
+    blocks, blocks_path = written(blocks, "blocks")
+    left = blocks.select("*", F.explode(F.expr("sequence(block, blocks - 1)")).alias("with"))
+    right = blocks.select(F.col("key"), F.col("block").alias("with"), *[F.col(c).alias(c + "2") for c in ("cls", "roots", "n", "lens", "sets")], F.explode(F.expr("sequence(0, block)")).alias("block"))
+    met = left.join(right, ["key", "block", "with"]).mapInPandas(_compared, "a binary, b binary").distinct()
+    met, _ = written(met.join(star, ["a", "b"], "left_anti"), "met")
+    drop(spark, blocks_path)
+    links = links.unionByName(confirmed(met))
+    drop(spark, texts_path)
+    roots, _ = written(components(links, "a", "b"), "roots")
 
     whole = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
