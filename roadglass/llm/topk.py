@@ -9,8 +9,8 @@ one row for a pair of blocks; the blocks' results (k for each query) are merged
 The pivots come from a bounded sample (SAMPLE vectors, by hash of the id), farthest first; they only steer
 the order of evaluation, the result is exact whatever they are.
 
-Null vectors, those with null or non-finite components, those with components beyond 2**40 and null ids
-take no part. A query meets candidates of its own length only. Rows that repeat an id's vector count once; rows of the query's own id are
+Null vectors, those with null or non-finite components and null ids take no part. Scores beyond a long are
+its ends. A query meets candidates of its own length only. Rows that repeat an id's vector count once; rows of the query's own id are
 not its candidates. Ties go to the smaller id. Other columns are not looked at.
 """
 
@@ -31,6 +31,11 @@ DATA_ROWS, QUERY_ROWS = 2048, 256
 CHUNK = 128
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size."""
+    return np.frompyfunc(int, 1, 1)(x)
+
+
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, x)
 
@@ -50,7 +55,7 @@ def _blocks(pivots: np.ndarray, rows: int):
         def out(dim: int) -> pd.DataFrame:
             ids, vectors = zip(*held.pop(dim))
             x = np.array(vectors, np.float64).reshape(len(ids), dim)
-            return pd.DataFrame({"dim": [dim], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "x": [x.astype(np.int64 if np.abs(x).max(initial=0) > 30000 else np.int16).tobytes()], "d": [_distances(x, pivots).tobytes()]})
+            return pd.DataFrame({"dim": [dim], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "x": [x.astype(np.float64 if np.abs(x).max(initial=0) > 30000 else np.int16).tobytes()], "d": [_distances(x, pivots).tobytes()]})
 
         for batch in batches:
             for i, v in zip(batch["id"], batch["v"]):
@@ -66,7 +71,7 @@ def _blocks(pivots: np.ndarray, rows: int):
 
 
 def _matrix(blob: bytes, n: int, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int16 if len(blob) == 2 * n * dim else np.int64).reshape(n, dim)
+    return np.frombuffer(blob, np.int16 if len(blob) == 2 * n * dim else np.float64).reshape(n, dim)
 
 
 def _search(k: int):
@@ -75,19 +80,21 @@ def _search(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
+                np.seterr(over="ignore", invalid="ignore")
                 q, x = _matrix(r.qx, r.qn, r.dim), _matrix(r.x, r.n, r.dim)
                 qi, xi = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
                 big = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) if r.dim else 0
                 # Sums below 2**53 are exact in doubles; larger ones are done in Python's whole numbers.
                 kind = np.float64 if float(big) ** 2 * max(r.dim, 1) < 2**53 else object
                 qf, xf = q.astype(np.float64), x.astype(np.float64)
+                q, x = (qf, xf) if kind is np.float64 else (_whole(qf), _whole(xf))
                 dq, dx = np.frombuffer(r.qd).reshape(r.qn, -1), np.frombuffer(r.d).reshape(r.n, -1)
                 lower = np.zeros((r.qn, r.n))
                 for p in range(dq.shape[1]):
                     np.maximum(lower, np.abs(dq[:, p, None] - dx[None, :, p]), out=lower)
                 upper = (_norms(qf)[:, None] + _norms(xf)[None] - lower**2) / 2
                 upper += 1e-9 * (1 + np.abs(upper)) + 1e-9 * (_norms(qf)[:, None] + _norms(xf)[None])
-                q, x = q.astype(kind), x.astype(kind)
+                upper[~np.isfinite(upper)] = np.inf
                 found = []
                 for i in range(r.qn):
                     bound = upper[i].copy()
@@ -99,7 +106,7 @@ def _search(k: int):
                         if bound[c[0]] == -np.inf or len(best) == k and bound[c[0]] < -best[-1][0]:
                             break
                         c = c[bound[c] > -np.inf]
-                        scores = x[c] @ q[i]
+                        scores = np.clip(x[c] @ q[i], -(2**63), 2**63 - 1) if kind is object else x[c] @ q[i]
                         if len(best) == k:
                             ok = scores >= -best[-1][0]
                             c, scores = c[ok], scores[ok]
@@ -114,7 +121,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     """query_id, rank (from 1), vec_id, score: the k best of each row of df for which is_query holds."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**40))
+    usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ((F.abs(x.cast("double")) < float("inf"))))
     rows = df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sample = [np.floor(np.array(r["v"]) * SCALE) for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     dims = [len(s) for s in sample]
