@@ -29,6 +29,7 @@ from ._common import tune, written
 WINDOW = 1024
 #: Coordinate steps of the solver for each length; a bound on the driver's work, whatever the corpus.
 STEPS_PER_LENGTH = 4
+ROUNDS = 3
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -44,8 +45,22 @@ def vocabulary(path: str) -> dict[bytes, int]:
 def solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of 2 or 3 lengths that fill a window, each with its count; together within the histogram.
 
-    histogram[n] is the number of rests of length n, 0 < n < len(histogram) = window.
+    histogram[n] is the number of rests of length n, 0 < n < len(histogram) = window. What rounding leaves
+    over is solved again, ROUNDS times in all.
     """
+    plan, left = [], histogram.astype(np.int64).copy()
+    for _ in range(ROUNDS):
+        more = _solve(left)
+        if not more:
+            break
+        plan += more
+        for lengths, k in more:
+            for n in lengths:
+                left[n] -= k
+    return plan
+
+
+def _solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     window = len(histogram)
     have = np.flatnonzero(histogram)
     have = have[have > 0]
@@ -68,13 +83,12 @@ def solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     # A length used k times in a combination counts k times; squares sum over distinct lengths.
     counts = (cols[:, :, None] == cols[:, None, :]).sum(2)
     square = np.where(cols > 0, counts, 0).sum(1).astype(float)
-    x = np.zeros(len(cols))
+    x, root = np.zeros(len(cols)), np.sqrt(square)
     for _ in range(STEPS_PER_LENGTH * len(have)):
-        grad = left[cols].sum(1)
-        gain = np.where((grad > 0) | (x > 0), np.abs(grad), 0) / np.sqrt(square)
-        j = int(gain.argmax())
-        step = max(grad[j] / square[j], -x[j])
-        if abs(step) < 0.5:
+        steps = np.maximum(left[cols].sum(1) / square, -x)
+        j = int((np.abs(steps) * root).argmax())
+        step = steps[j]
+        if abs(step) < 0.25:
             break
         x[j] += step
         for n in cols[j]:
