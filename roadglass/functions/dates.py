@@ -17,12 +17,12 @@ ISO = (
 )
 #: Formats in the order of their trial, with the shape each needs and their name in Python.
 FORMATS = (
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$", "%d/%m/%Y"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$", "%Y/%m/%d"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$", "%d-%m-%Y"),
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$", "%Y-%m-%d"),
-    ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "%d/%m/%Y %H:%M:%S"),
-    ("yyyy/M/d H:m:s", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "%Y/%m/%d %H:%M:%S"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}$", "%d/%m/%Y"),
+    ("yyyy/M/d", r"^(?!0000)\d{4}/\d{1,2}/\d{1,2}$", "%Y/%m/%d"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-(?!0000)\d{4}$", "%d-%m-%Y"),
+    ("yyyy-M-d", r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", "%Y-%m-%d"),
+    ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/(?!0000)\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "%d/%m/%Y %H:%M:%S"),
+    ("yyyy/M/d H:m:s", r"^(?!0000)\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "%Y/%m/%d %H:%M:%S"),
 )
 
 

@@ -54,4 +54,4 @@ def radius(value: Column, selected: Column | None = None) -> Column:
 
 def shown(value: Column) -> Column:
     """Four places, or "No value"."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit("No value"))
+    return F.when(value.isNull(), "No value").otherwise(F.format_string("%.4f", value))

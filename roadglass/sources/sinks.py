@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import glob
+import io
 import os
 import shutil
 import uuid
@@ -26,24 +28,35 @@ def _shown(c: Column, kind: str) -> Column:
     return F.when(F.isnan(c), F.lit("nan")).otherwise(_python_float(c))
 
 
+def _field(c: Column, alone: bool) -> Column:
+    """A field with quotes only where it needs them."""
+    v = F.coalesce(c.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(v.rlike('[,"\\r\\n]') | ((v == "") if alone else F.lit(False)), quoted).otherwise(v)
+
+
 def write_csv(df: DataFrame, path: str | Path) -> Path:
     """One file with a header, CRLF line ends, minimal quotes and empty fields for nulls; replaces what is there.
 
     A path to a directory-like target (ending in "/") keeps Spark's many part files, which is what to use at scale.
     """
     rows = df.select([_shown(F.col(f"`{n}`"), kind).alias(n) for n, kind in df.dtypes])
-    options = {"header": True, "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "lineSep": "\r\n"}
     if str(path).endswith("/"):
+        options = {"header": True, "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "lineSep": "\r\n"}
         rows.write.mode("overwrite").options(**options).csv(str(path))
         return Path(path)
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     folder = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
-    rows.coalesce(1).write.options(**options).csv(str(folder))
-    part = glob.glob(f"{folder}/part-*")
-    if part:
-        os.replace(part[0], target)
-    else:
-        target.write_bytes((",".join(df.columns) + "\r\n").encode())
+    fields = [_field(F.col(f"`{n}`"), len(df.columns) == 1) for n in df.columns]
+    rows.select(F.concat_ws(",", *fields)).coalesce(1).write.option("lineSep", "\r\n").text(str(folder))
+    head = io.StringIO()
+    csv.writer(head).writerow(df.columns)
+    with open(folder / "whole", "wb") as out:
+        out.write(head.getvalue().encode())
+        for part in sorted(glob.glob(f"{folder}/part-*")):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)
+    os.replace(folder / "whole", target)
     shutil.rmtree(folder)
     return target
