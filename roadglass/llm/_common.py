@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints/roadglass"
 #: Rows of an Arrow batch; with whole texts in a batch this bounds a Python worker's memory.
 BATCH_ROWS = 1000
+#: Paths and table names that this process has written to the shared folder.
+_WRITTEN: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return LOCAL_SHARED
 
@@ -32,15 +35,34 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     """Writes df as Parquet into the shared folder and reads it again; cuts the lineage there. Gives the path too."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd") -> DataFrame:
+    """Like written, as a table bucketed by a column, which later groups by it needn't shuffle."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    _WRITTEN[path] = name
+    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a written table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if name := _WRITTEN.pop(path, None):
+        spark.sql(f"drop table if exists {name}")
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes every table that this process has written; results that still read them must be saved before."""
+    for path in list(_WRITTEN):
+        drop(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

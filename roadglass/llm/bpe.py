@@ -2,9 +2,10 @@
 
 Encoding: each block of documents is split into pre-tokens with their positions, which are kept as the
 block's sequence of places in its own list of distinct words. Only the distinct words of a block are
-shuffled, by word; where all blocks' copies of a word meet, sorted, it is encoded once. The ids go back to
-the blocks and take their positions. The blocks are written to the shared folder once and read from there
-on both ways, so a lost executor can't number the words of a block anew.
+shuffled, packed by bucket of the word's hash; where all blocks' copies of a word meet, it is encoded
+once. The ids go back to the blocks and take their positions. The blocks are written to the shared folder once, bucketed by block,
+so that they need no shuffle, and are read from there on both ways: a lost executor can't number the words
+of a block anew.
 
 Decoding: each id is looked up in the table of token bytes, which the vocabulary bounds (50,256 rows).
 
@@ -15,6 +16,8 @@ row. Very long texts are blocks of their own. Other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import tune, written
+from ._common import bucketed, tune
 
 #: Characters after which a block is closed.
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 8_000_000
+#: Words that a task keeps the ids of; beyond it forgets them and encodes a word again when it returns.
+KEPT_WORDS = 2_000_000
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -41,8 +45,8 @@ def read_ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _split_blocks(pattern: str, block_chars: int):
-    """Rows of kind 0, one per block: doc ids and the documents' pre-tokens as places in the block's words; rows of kind 1, one per distinct word."""
+def _split_blocks(pattern: str, block_chars: int, buckets: int):
+    """Rows of kind 0, one per block: doc ids and the documents' pre-tokens as places in the block's words; rows of kind 1: the block's distinct words of one bucket, in order of place."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
@@ -66,12 +70,19 @@ def _split_blocks(pattern: str, block_chars: int):
             ids = [x is not None for x in state["ids"]]
             packed = zstandard.compress(pack(flat), 6)
             doc = np.array([x if ok else 0 for x, ok in zip(state["ids"], ids)], np.int64).tobytes()
-            meta = zstandard.compress(doc + np.array(ids, np.uint8).tobytes() + np.array(state["counts"], np.int64).tobytes())
-            yield pd.DataFrame({"kind": [0], "block": [block], "place": [len(ids)], "word": [None], "data": [packed], "meta": [meta]})
-            at = order.tolist()
-            for i in range(0, len(words), 50_000):
-                part = [words[j] for j in at[i : i + 50_000]]
-                yield pd.DataFrame({"kind": 1, "block": block, "place": range(i, i + len(part)), "word": part, "data": None, "meta": None})
+            meta = zstandard.compress(np.int64(len(ids)).tobytes() + doc + np.array(ids, np.uint8).tobytes() + np.array(state["counts"], np.int64).tobytes())
+            texts = [w.encode() for w in words]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in texts), np.uint16 if buckets <= 65536 else np.uint32, len(texts))[order]
+            where = zstandard.compress(bucket.tobytes(), 6)
+            yield pd.DataFrame({"kind": [0], "block": [block], "bucket": [buckets], "n": [len(words)], "data": [None], "seq": [packed], "meta": [meta], "places": [where]})
+            places = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[places])) + 1
+            rows = []
+            for part in np.split(places, cuts) if len(places) else ():
+                own = [texts[j] for j in order[part].tolist()]
+                sizes = np.fromiter(map(len, own), np.uint32, len(own)).tobytes()
+                rows.append((1, block, int(bucket[part[0]]), len(own), zstandard.compress(sizes + b"".join(own), 6)))
+            yield pd.DataFrame(rows, columns=["kind", "block", "bucket", "n", "data"]).assign(seq=None, meta=None, places=None)
             new()
 
         new()
@@ -112,36 +123,65 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def _encode_words(ranks, pattern: str):
-    """Sorted rows of a word and its place: the ids, found once for each run of equal words."""
+    """Packed words to packed ids; each distinct word of a task is encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
         merged = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(ranks.value), special_tokens={})._encode_single_piece
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
         for b in batches:
             out = []
-            for w in b["word"].array:
-                if w != last:
-                    last, ids = w, np.array(merged(w), np.uint16).tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": b["block"], "place": b["place"], "ids": out})
+            for data, n in zip(b["data"], b["n"]):
+                blob, at, ids = zstandard.decompress(data), 4 * n, []
+                for size in np.frombuffer(blob, np.uint32, n).tolist():
+                    w = blob[at : at + size]
+                    at += size
+                    found = known.get(w)
+                    if found is None:
+                        if len(known) >= KEPT_WORDS:
+                            known.clear()
+                        found = known[w] = np.array(merged(w), np.uint16).tobytes()
+                    ids.append(found)
+                sizes = np.fromiter(map(len, ids), np.uint32, n) // 2
+                out.append(zstandard.compress(sizes.astype(np.uint32).tobytes() + b"".join(ids), 6))
+            yield pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "n": b["n"], "ids": out})
 
     return encode
 
 
+def _assembled(finish):
+    """The documents of one block with their ids, by position, as `finish` leaves them."""
+
+    def assemble(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        rows = _assemble(blocks, words)
+        return finish(rows) if finish else rows
+
+    return assemble
+
+
 def _assemble(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one block with their ids, by position."""
     if not len(blocks):
         return pd.DataFrame({"id": pd.Series(dtype="Int64"), "ids": []})
-    words = words.sort_values("place")
-    flat = np.frombuffer(b"".join(words["ids"]), np.uint16)
-    sizes = np.fromiter((len(x) // 2 for x in words["ids"]), np.int64, len(words))
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    row, n = blocks.iloc[0], int(blocks["place"].iloc[0])
+    row = blocks.iloc[0]
+    where = zstandard.decompress(row["places"])
+    bucket = np.frombuffer(where, np.uint16 if row["bucket"] <= 65536 else np.uint32)
+    words = words.sort_values("bucket")
+    sizes_by, flat_by = [], []
+    for n, packed in zip(words["n"], words["ids"]):
+        blob = zstandard.decompress(packed)
+        sizes_by.append(np.frombuffer(blob, np.uint32, n))
+        flat_by.append(np.frombuffer(blob, np.uint16, offset=4 * n))
+    flat = np.concatenate(flat_by) if flat_by else np.zeros(0, np.uint16)
+    # In order of bucket and place; then by place.
+    k = np.concatenate(sizes_by).astype(np.int64) if sizes_by else np.zeros(0, np.int64)
+    place = np.argsort(bucket, kind="stable")
+    sizes, starts = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    sizes[place], starts[place] = k, np.cumsum(k) - k
     meta = zstandard.decompress(row["meta"])
-    docs, known, counts = np.frombuffer(meta, np.int64, n), np.frombuffer(meta, np.uint8, n, 8 * n), np.frombuffer(meta[9 * n :], np.int64, n)
-    seq = unpack(zstandard.decompress(row["data"]))
+    n = int(np.frombuffer(meta, np.int64, 1)[0])
+    docs, known, counts = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.uint8, n, 8 + 8 * n), np.frombuffer(meta[8 + 9 * n :], np.int64, n)
+    seq = unpack(zstandard.decompress(row["seq"]))
     ends = np.cumsum(counts)
     out = []
     for a, b in zip(ends - counts, ends):
@@ -153,43 +193,63 @@ def _assemble(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.array(np.where(known == 1, docs, 0), "Int64").copy() if known.all() else pd.array([d if ok else None for d, ok in zip(docs.tolist(), known)], "Int64"), "ids": out})
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, finish=None) -> DataFrame:
     """id and ids (binary: unsigned little-endian 16-bit ids, the vocabulary being under 65,536) of every row.
 
+    `finish` is a function from a DataFrame of these to another, and its result's schema; it runs where the
+    ids are assembled, so what it doesn't pass on needn't leave the worker.
+
     `ranks_path` is a file of the driver. The merges of a word are done by the tiktoken library.
     """
     spark = df.sparkSession
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    made = docs.mapInPandas(_split_blocks(pattern, block_chars), "kind int, block long, place int, word string, data binary, meta binary")
-    made, _ = written(made, "blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    words = made.where("kind = 1").select("block", "place", "word")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = words.repartition(n, "word").sortWithinPartitions("word").mapInPandas(_encode_words(read_ranks(spark, ranks_path), pattern), "block long, place int, ids binary")
-    blocks = made.where("kind = 0").select("block", "place", "data", "meta")
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assemble, "id long, ids binary")
+    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary"
+    made = bucketed(docs.mapInPandas(_split_blocks(pattern, block_chars, buckets), schema), "bpe_blocks", buckets // 3, "block")
+    words = made.where("kind = 1").select("block", "bucket", "data", "n")
+    words = words.repartition(buckets // 3, "bucket").mapInPandas(_encode_words(read_ranks(spark, ranks_path), pattern), "block long, bucket int, n int, ids binary")
+    blocks = made.where("kind = 0").select("block", "bucket", "seq", "meta", "places")
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assembled(finish and finish[0]), finish[1] if finish else "id long, ids binary")
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for. The table is bounded by the vocabulary and is read by every task."""
+def decoder(blob: bytes):
+    """From packed ids to the bytes they stand for, by lookup in the token-byte table, which the vocabulary bounds."""
+    by = parse_ranks(blob)
+    table = np.empty(max(by.values()) + 1, object)
+    for token, i in by.items():
+        table[i] = token
+    return lambda ids: b"".join(table[np.frombuffer(ids, np.uint16)]) if ids else b""
 
+
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
+    """Adds the bytes that the ids stand for."""
     ranks = read_ranks(df.sparkSession, ranks_path)
 
     @F.pandas_udf("binary")
     def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        by = parse_ranks(ranks.value)
-        table = np.empty(max(by.values()) + 1, object)
-        for token, i in by.items():
-            table[i] = token
+        decoded = decoder(ranks.value)
         for p in parts:
-            yield pd.Series([b"".join(table[np.frombuffer(x, np.uint16)]) if x is not None and len(x) else b"" for x in p], dtype=object)
+            yield pd.Series([decoded(x) for x in p], dtype=object)
 
     return df.withColumn(column, joined(F.col(ids)))
 
 
-@F.pandas_udf(T.BinaryType())
-def ids_as_text(parts: pd.Series) -> pd.Series:
-    """Decimal ids joined by one space."""
-    names = np.array([str(i) for i in range(65536)], object)
-    return pd.Series([" ".join(names[np.frombuffer(x, np.uint16)]).encode() if x is not None and len(x) else b"" for x in parts], dtype=object)
+def digests(spark: SparkSession, ranks_path: str):
+    """For `encode`: number of ids, SHA-256 of the decimal ids joined by one space, and of the bytes decoded from them."""
+    ranks, held = read_ranks(spark, ranks_path), {}
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        if not held:
+            held["decode"], held["names"] = decoder(ranks.value), np.array([str(i) for i in range(65536)], object)
+        texts = (" ".join(held["names"][np.frombuffer(x, np.uint16)]).encode() for x in rows["ids"])
+        return pd.DataFrame(
+            {
+                "id": rows["id"],
+                "n_tokens": [len(x) // 2 for x in rows["ids"]],
+                "ids_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+                "decoded_sha256": [hashlib.sha256(held["decode"](x)).hexdigest() for x in rows["ids"]],
+            }
+        )
+
+    return finish, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

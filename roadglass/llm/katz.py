@@ -21,7 +21,6 @@ rows, and without training documents every token is unknown. Other columns are n
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, tune, written
+from ._common import bucketed, tune, written
 from ._text import batch_words, mix
 from .bpe import pack, unpack
 
@@ -371,9 +370,7 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(_split(buckets, train_from, block_chars), "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary")
-    name = f"lm_blocks_{uuid.uuid4().hex}"
-    made.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").bucketBy(buckets, "block").saveAsTable(name)
-    made = spark.table(name)
+    made = bucketed(made, "lm_blocks", buckets, "block")
     lists = made.where("kind = 1").select("block", "bucket", "n", "data", "meta")
     blocks = made.where("kind = 0").select("block", "seq", "meta", "places")
 
@@ -393,10 +390,7 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
     numbers, _ = written(lists.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInPandas(_numbered, schema), "numbers")
 
     asked = blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(_asked(words, buckets), "block long, bucket int, data binary, counts binary, size int")
-    name = f"lm_pairs_{uuid.uuid4().hex}"
-    asked = asked.repartition(buckets, "bucket")
-    asked.write.format("parquet").option("compression", "lz4").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").bucketBy(buckets, "bucket").saveAsTable(name)
-    asked = spark.table(name)
+    asked = bucketed(asked.repartition(buckets, "bucket"), "lm_pairs", buckets, "bucket", "lz4")
     survey, _ = written(asked.groupBy("bucket").applyInPandas(_surveyed(words), "u long, mass double, low array<long>"), "survey")
     sums = [F.sum(F.col("low")[i]).alias(f"l{i}") for i in range(MAX_DISCOUNTED + 1)]
     got = {r["u"]: r for r in survey.groupBy("u").agg(F.sum("mass").alias("mass"), *sums).collect()}  # at most HOT * buckets + 2 rows

@@ -16,14 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    coded = bpe.decode(coded, ranks)
-    return coded.select(
-        F.col("id").alias("doc_id"),
-        F.expr("octet_length(ids) div 2").cast("long").alias("n_tokens"),
-        F.sha2(bpe.ids_as_text("ids"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, finish=bpe.digests(spark, ranks))
+    return coded.withColumnRenamed("id", "doc_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +142,24 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from b
 """
 
+_OP4 = """
+with recursive bits as (
+  select range as i, range::bigint as c, 0 as k from range(256)
+  union all select i, xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), k + 1 from bits where k < 8),
+tab as (select list(c order by i) as t from bits where k = 8),
+h as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint + 1 as size from documents),
+y as (select doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::bigint) as y from h),
+d as (
+  select doc_id, size, xor(coalesce(list_reduce(y, lambda a, v: xor(a >> 8, t[xor(a & 255, v) + 1]), 4294967295::bigint), 4294967295), 4294967295) as crc
+  from y, tab),
+p as (
+  select *, 2 * sum(size) over (order by doc_id nulls first, crc, size rows unbounded preceding) - size as middle, sum(size) over () as total,
+    row_number() over (order by doc_id nulls first, crc, size) as r
+  from d),
+s as (select *, least(7, middle * 8 // (2 * total))::int as shard from p)
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard, r - min(r) over (partition by shard) as slot, null::int as grown_shard from s
+"""
+
 _OP6 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -159,4 +171,4 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE_SQL = {"op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8}
+ORACLE_SQL = {"op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8}
