@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -125,7 +126,7 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the squared-hinge machine (last one: bias), by Newton steps on its active rows."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)], dtype=np.float64)
     w = np.zeros(x.shape[1])
     for _ in range(12):
         active = y * (x @ w) < 1
@@ -137,12 +138,12 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0)
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Intercept and two slopes, none below 0, by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Intercept and two slopes, none below 0, of weighted rows, by Newton steps with a small ridge."""
     x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.05 * np.eye(3), x.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 0.05 * np.eye(3), x.T @ (weight * (y - p)) - 0.05 * w)
         w += np.clip(step, -3, 3)
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-7:
@@ -153,24 +154,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Model:
     """A trained model: the table of subsequence weights, its bias, and the logistic model."""
 
-    def __init__(self, docs: list[tuple[set[str], int, bool]]):
-        """docs: words, label, and whether the document is for the logistic model only."""
+    def __init__(self, docs: Iterable[tuple[set[str], int, bool]], rates: tuple[float, float] = (1.0, 1.0)):
+        """docs: words, label, and whether the document is for the logistic model only. Words are kept once.
+
+        rates: how many labelled documents each one of either label stands for.
+        """
         self.table, self.bias, self.link = np.zeros(1 << BITS, np.float32), 0.0, None
-        fit = [(u, y) for u, y, later in docs if not later]
-        later = [(u, y) for u, y, later in docs if later]
+        index: dict[str, int] = {}
+        fit, later = [], []
+        for u, y, after in docs:
+            (later if after else fit).append((np.fromiter((index.setdefault(w, len(index)) for w in sorted(u)), np.int32, len(u)), y))
+        words = list(index)
         if not all(any(y == k for _, y in fit) for k in (0, 1)):
             return
         if not all(any(y == k for _, y in later) for k in (0, 1)):
             later = fit
         with np.errstate(over="ignore"):
-            self._train(fit)
-        x = np.array([self.top(u) for u, _ in later])
-        self.link = _logistic(x, np.array([float(y) for _, y in later]))
-
-    def _train(self, fit: list[tuple[set[str], int]]) -> None:
-        words = sorted(set().union(*[u for u, _ in fit]))
-        index = {w: i for i, w in enumerate(words)}
-        rows_of = [(np.fromiter((index[w] for w in u), np.int64, len(u)), y) for u, y in fit if u]
+            self._train(words, [(own, y) for own, y in fit if len(own)])
+            value = word_scores(words, self.table, self.bias)
+        x = np.array([_two(value[own]) for own, _ in later])
+        y = np.array([y for _, y in later])
+        self.link = _logistic(x, y.astype(float), np.array(rates)[y])
+
+    def _train(self, words: list[str], rows_of: list[tuple[np.ndarray, int]]) -> None:
         # Documents of either label that hold a word, and its log-odds, less where few hold it.
         seen = np.zeros((2, len(words)), np.float32)
         for own, y in rows_of:
@@ -178,7 +184,7 @@ class Model:
         n = np.array([sum(y == k for _, y in rows_of) for k in (0, 1)], np.float32)
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         odds *= np.minimum(seen[1] / 4, 1)
-        clean_words = np.unique(np.concatenate([own for own, y in rows_of if not y]))
+        clean_words = np.flatnonzero(seen[0])
         rng = np.random.default_rng(3)
         hard: set[int] = set()
         for turn in range(3):
@@ -192,8 +198,8 @@ class Model:
                 return
             chosen, times = np.unique(pick, return_counts=True)
             clean_by = clean_words[np.argsort(-value[clean_words], kind="stable")]
-            hard |= set(clean_by[:3000].tolist())
-            easy = rng.choice(clean_words, min(len(clean_words), 9000), replace=False)
+            hard |= set(clean_by[:2000].tolist())
+            easy = rng.choice(clean_words, min(len(clean_words), 6000), replace=False)
             negative = np.array(sorted(hard | set(easy.tolist())))
             top = chosen[np.argsort(-times, kind="stable")]
             marks = [words[i] for i in [*top[: LANDMARKS * 2 // 3], *clean_by[: LANDMARKS // 3]] if len(words[i]) > 1]
@@ -213,9 +219,6 @@ class Model:
                 for i, c in zip(at, codes):
                     np.add.at(self.table, c, (beta[i] * weight / norm).astype(np.float32))
 
-    def top(self, words: set[str]) -> tuple[float, float]:
-        return _two(word_scores(list(words), self.table, self.bias))
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts, 0 to 1."""
         if self.link is None:
@@ -247,7 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     some = some[0].unionByName(some[1])  # at most 2 * rows narrow rows: small enough to broadcast, by construction
     found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(some), "id").select("id", "t", "y", "fold")
     got = sorted(((r["id"], r["t"] or "", r["y"], r["fold"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
-    return Model([(units(t), y, f == 1) for _, t, y, f in got])
+    all_ = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    rates = tuple(max(1.0, all_.get(k, 0) / rows) for k in (0, 1))
+    return Model(((units(t), y, f == 1) for _, t, y, f in got), rates)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
