@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import arrow_rows, tune, written
 
 SCALE = 256
 PIVOTS, SAMPLE = 24, 512
@@ -120,7 +120,7 @@ def _search(k: int):
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of each row of df for which is_query holds."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    tune(spark)
     usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ((F.abs(x.cast("double")) < float("inf"))))
     rows = df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sample = [np.floor(np.array(r["v"]) * SCALE) for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
@@ -133,12 +133,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     schema = "dim int, n int, ids binary, x binary, d binary"
     data, _ = written(rows.select("id", "v").mapInPandas(_blocks(pivots, DATA_ROWS), schema), "vectors")
     queries, _ = written(rows.where("q").select("id", "v").mapInPandas(_blocks(pivots, QUERY_ROWS), schema), "queries")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 7 * F.spark_partition_id()
     data = data.withColumn("slot", F.pmod(place, F.lit(slots)).cast("int"))
     queries = queries.select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("d").alias("qd"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = data.join(queries, ["dim", "slot"]).mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    with arrow_rows(spark, 4):  # rows are pairs of blocks
+        found, _ = written(data.join(queries, ["dim", "slot"]).mapInPandas(_search(k), "query_id long, vec_id long, score long"), "found")
     found = found.distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
