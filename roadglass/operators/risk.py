@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,12 @@ def keep_selection(items: DataFrame, selected: Column | str | None) -> DataFrame
     return items.orderBy(F.coalesce(F.col("spatial_unit_id") == selected, F.lit(False)).desc(), "ordinal").limit(1)
 
 
+def comparison_defaults(all_units: DataFrame) -> tuple[str, str]:
+    """The two units a comparison starts from: the first and the second, or the first twice; empty without units."""
+    ids = [r["spatial_unit_id"] for r in all_units.orderBy("ordinal").limit(2).collect()]
+    return (ids[0], ids[-1]) if ids else ("", "")
+
+
 class Service:
     """The operations of the risk interface, as DataFrames or rows, without a web server."""
 
@@ -104,3 +111,8 @@ class Service:
             raise ValueError("ids must have at least one character")
         rows = self.spark.createDataFrame([(i, *q) for i, q in enumerate(queries)], "ordinal int, spatial_unit_id string, period_id string")
         return scored(rows, self.provider).orderBy("ordinal").drop("ordinal")
+
+    @staticmethod
+    def body(rows: DataFrame | dict[str, Any]) -> str:
+        """What an interface would answer, as JSON; for results of catalog size."""
+        return json.dumps(rows if isinstance(rows, dict) else [r.asDict(recursive=True) for r in rows.collect()], ensure_ascii=False)

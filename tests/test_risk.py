@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,12 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["spatial_unit_id"], r["all"], r["odd"]) for r in spark.table("counted").collect()) == [("u", 2, 1), ("v", 1, 1)]
+
+
+def test_bodies_and_defaults(spark):
+    s = risk.Service(spark)
+    assert json.loads(s.body(s.health()))["status"] == "ok"
+    assert json.loads(s.body(s.risk_map("period-a")))[0]["label"] is None
+    assert risk.comparison_defaults(risk.units(spark)) == ("cercado-de-lima", "la-victoria")
+    assert risk.comparison_defaults(risk.units(spark).limit(1)) == ("cercado-de-lima", "cercado-de-lima")
+    assert risk.comparison_defaults(risk.units(spark).limit(0)) == ("", "")
