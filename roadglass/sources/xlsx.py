@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, time, timedelta
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
