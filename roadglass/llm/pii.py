@@ -108,7 +108,7 @@ _CUES = (
 
 def _iban_ok(s: str) -> bool:
     s = s.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 15 <= len(s) <= 34 and 2 <= int(s[2:4]) <= 98 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -141,13 +141,12 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def with_check(prefix: str) -> str:
         return next(prefix + c for c in "0123456789" if luhn(prefix + c))
 
-    def iban() -> str:
-        body = d(18)
-        for k in range(100):
-            s = f"DE{k:02d}{body}"
-            if _iban_ok(s):
-                return s
-        return "DE00" + body
+    def iban(valid: bool) -> str:
+        """An account number of any country and length, of right form; its check digits right or (most likely) wrong."""
+        country, body = "".join(rng.choice("ABDEFGILNPRST") for _ in range(2)), "".join(rng.choice("0123456789" * 3 + "ABCDEFGH") for _ in range(rng.randint(11, 26)))
+        if not valid:
+            return f"{country}{rng.randrange(2, 98):02d}{body}"
+        return next(s for k in range(2, 99) if _iban_ok(s := f"{country}{k:02d}{body}"))
 
     def grouped(s: str, k: int = 4, sep: str | None = None) -> str:
         sep = rng.choice([" ", "-", ""]) if sep is None else sep
@@ -177,7 +176,9 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             s = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" if good else rng.choice([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-00-{d(4)}", f"{d(3)} {d(2)} {d(4)}"])
             cue = rng.choice(cues["ssn"] * 2 + [w() + " "]) if good else rng.choice(bad + [w() + " "])
         else:
-            s, cue = (grouped(iban(), 4), rng.choice(cues["iban"] + [w() + " "])) if good else (f"{rng.choice(['AB', 'XQ', 'SN'])}{grouped(d(18), 4)}", rng.choice(bad + [w() + " "]))
+            s = iban(good)
+            good = good or _iban_ok(s)
+            s, cue = grouped(s, 4), rng.choice(cues["iban"] + [w() + " "] * 3) if good else rng.choice(bad + cues["iban"] + [w() + " "] * 6)
         head = f"{w()} {w()} {cue}"
         text = f"{head}{s}{rng.choice(['', '.', ',', ' '])} {w()}" if good or rng.random() < 0.8 else f"{head}{rng.choice('-/x')}{s}-{d(3)}"
         for k, p in _GENERATORS:
