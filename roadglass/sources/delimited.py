@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SNIFFED = 8192
+#: Messages for files that can't be read.
+NO_HEADER, REPEATED_HEADER = "CSV has no header row", "CSV contains duplicate header names"
 CORRUPT, ORDINAL = "__corrupt", "__ordinal"
 
 
@@ -31,9 +33,9 @@ def header(path: str | Path, delimiter: str, encoding: str = "utf-8-sig") -> lis
     with open(path, encoding=encoding, newline="") as f:
         names = next((row for row in csv.reader(f, delimiter=delimiter) if row), [])
     if not names:
-        raise ValueError("CSV has no header row")
+        raise ValueError(NO_HEADER)
     if len(set(names)) < len(names):
-        raise ValueError("CSV contains duplicate header names")
+        raise ValueError(REPEATED_HEADER)
     return names
 
 

@@ -7,6 +7,7 @@ from datetime import date, datetime, time
 from pathlib import Path
 from xml.sax.saxutils import escape
 
+#: The headers of the two workbooks.
 CRASH_HEADERS = [
     "CÓDIGO SINIESTRO", "FECHA SINIESTRO", "HORA SINIESTRO", "CLASE SINIESTRO", "CANTIDAD DE FALLECIDOS", "CANTIDAD DE LESIONADOS",
     "CANTIDAD DE VEHICULOS DAÑADOS", "DEPARTAMENTO", "PROVINCIA", "DISTRITO", "ZONA", "TIPO DE VÍA", "RED VIAL", "COD CARRETERA",
