@@ -36,8 +36,10 @@ from .bpe import pack, unpack
 
 #: Counts up to which Good-Turing discounts.
 MAX_DISCOUNTED = 5
-#: Characters after which a block is closed.
-BLOCK_CHARS = 16_000_000
+#: Characters after which a block is closed. With more memory a larger block shuffles fewer words and bigrams.
+BLOCK_CHARS = 8_000_000
+#: Characters of a block for each bucket at least, so that a packed row holds some hundreds of bigrams.
+BUCKET_CHARS = 4_000
 HOT = 50
 END, START, UNKNOWN = np.uint64(0xE5D), np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
 
@@ -367,10 +369,11 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     tune(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(parts, block_chars // BUCKET_CHARS))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(_split(buckets, train_from, block_chars), "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary")
-    made = bucketed(made, "lm_blocks", buckets, "block")
+    made = bucketed(made, "lm_blocks", parts, "block")
     lists = made.where("kind = 1").select("block", "bucket", "n", "data", "meta")
     blocks = made.where("kind = 0").select("block", "seq", "meta", "places")
 
