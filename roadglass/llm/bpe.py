@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from ._common import bucketed, tune
 
-#: Characters after which a block is closed.
+#: Characters after which a block is closed. With more memory a larger block shuffles fewer words.
 BLOCK_CHARS = 8_000_000
+#: Characters of a block for each bucket of its words at least, so that a packed row holds some hundreds.
+BUCKET_CHARS = 20_000
 #: Words that a task keeps the ids of; beyond it forgets them and encodes a word again when it returns.
 KEPT_WORDS = 2_000_000
 
@@ -204,11 +206,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     spark = df.sparkSession
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(3 * parts, block_chars // BUCKET_CHARS))
     schema = "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary"
-    made = bucketed(docs.mapInPandas(_split_blocks(pattern, block_chars, buckets), schema), "bpe_blocks", buckets // 3, "block")
+    made = bucketed(docs.mapInPandas(_split_blocks(pattern, block_chars, buckets), schema), "bpe_blocks", parts, "block")
     words = made.where("kind = 1").select("block", "bucket", "data", "n")
-    words = words.repartition(buckets // 3, "bucket").mapInPandas(_encode_words(read_ranks(spark, ranks_path), pattern), "block long, bucket int, n int, ids binary")
+    words = words.repartition(parts, "bucket").mapInPandas(_encode_words(read_ranks(spark, ranks_path), pattern), "block long, bucket int, n int, ids binary")
     blocks = made.where("kind = 0").select("block", "bucket", "seq", "meta", "places")
     return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assembled(finish and finish[0]), finish[1] if finish else "id long, ids binary")
 
