@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and runs in one process.
 LOCAL_SHARED = "/tmp/checkpoints/roadglass"
-#: Rows of an Arrow batch; with whole texts in a batch this bounds a Python worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; whole texts in a batch are what a Python worker's memory goes by.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: Paths and table names that this process has written to the shared folder.
 _WRITTEN: dict[str, str | None] = {}
 
@@ -31,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def tune(spark: SparkSession) -> None:
     """Bounds the Arrow batches of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 @contextmanager

@@ -6,6 +6,8 @@ import numpy as np
 
 MIX1, MIX2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
+#: Bytes of text hashed at once; a longer word is hashed whole.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,15 +45,21 @@ def batch_words(texts: list[bytes], lower: bool = True, tables: dict | None = No
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
     before = np.searchsorted(starts, begin)
-    n = len(joined)
     tables = {} if tables is None else tables
-    if len(tables.get("up", ())) < n + 1:
-        m = n + n // 4 + 1
-        tables["up"], tables["down"] = _powers(BASE, m), _powers(pow(BASE, -1, 1 << 64), m)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * tables["up"][:n], out=total[1:])
-    hashes = (total[ends] - total[starts]) * tables["down"][starts]
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # piece by piece, as the sums take eight bytes for each byte of text
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+        part = joined[starts[at] : ends[end - 1]]
+        n = len(part)
+        if len(tables.get("up", ())) < n + 1:
+            tables["up"], tables["down"] = _powers(BASE, n + n // 4 + 1), _powers(pow(BASE, -1, 1 << 64), n + n // 4 + 1)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * tables["up"][:n], out=total[1:])
+        a, b = starts[at:end] - starts[at], ends[at:end] - starts[at]
+        hashes[at:end] = (total[b] - total[a]) * tables["down"][a]
+        at = end
     return mix(hashes ^ ((ends - starts).astype(np.uint64) * GOLD)), starts, ends, joined, before
 
 
