@@ -142,21 +142,37 @@ def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.assign(short=[np.unique(short[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])])
 
 
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block as one row: classes, roots, set sizes, sizes of the short sets, short sets."""
-    lens = rows["short"].map(len).to_numpy(np.int64) // 2
-    return pd.DataFrame(
-        {
-            "key": rows["key"].iloc[:1],
-            "block": rows["block"].iloc[:1],
-            "blocks": rows["blocks"].iloc[:1],
-            "cls": [b"".join(rows["cls"])],
-            "roots": [b"".join(rows["root"])],
-            "n": [rows["n"].to_numpy(np.int64).tobytes()],
-            "lens": [lens.tobytes()],
-            "sets": [b"".join(rows["short"])],
-        }
-    )
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of band and block to one row a block: classes, roots, set sizes, sizes of the short sets, short sets."""
+    names = ["cls", "root", "n", "short"]
+
+    def pack(head: tuple, columns: list[list]) -> tuple:
+        cls, root, n, short = columns
+        lens = np.fromiter(map(len, short), np.int64, len(short)) // 2
+        return (*head, b"".join(cls), b"".join(root), np.array(n, np.int64).tobytes(), lens.tobytes(), b"".join(short))
+
+    held: tuple | None = None
+    columns: list[list] = [[] for _ in names]
+    for batch in batches:
+        if not len(batch):
+            continue
+        heads = list(zip(batch["key"].tolist(), batch["block"].tolist(), batch["blocks"].tolist()))
+        values = [batch[n].tolist() for n in names]
+        out, at = [], 0
+        while at < len(heads):
+            end = at + 1
+            while end < len(heads) and heads[end] == heads[at]:
+                end += 1
+            if held is not None and held != heads[at]:
+                out.append(pack(held, columns))
+                columns = [[] for _ in names]
+            held = heads[at]
+            for own, v in zip(columns, values):
+                own += v[at:end]
+            at = end
+        yield pd.DataFrame(out, columns=["key", "block", "blocks", "cls", "roots", "n", "lens", "sets"])
+    if held is not None:
+        yield pd.DataFrame([pack(held, columns)], columns=["key", "block", "blocks", "cls", "roots", "n", "lens", "sets"])
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +252,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rows = rooted.join(open_, "key").join(texts.select("cls", "short"), "cls").join(sig.select("cls", "n"), "cls")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    blocks = rows.groupBy("key", "block").applyInPandas(_packed, "key long, block int, blocks int, cls binary, roots binary, n binary, lens binary, sets binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("key", "block", "blocks", "cls", "root", "n", "short").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    blocks = rows.mapInPandas(_packed, "key long, block int, blocks int, cls binary, roots binary, n binary, lens binary, sets binary")
     blocks, blocks_path = written(blocks, "blocks")
     left = blocks.select("*", F.explode(F.expr("sequence(block, blocks - 1)")).alias("with"))
     right = blocks.select(F.col("key"), F.col("block").alias("with"), *[F.col(c).alias(c + "2") for c in ("cls", "roots", "n", "lens", "sets")], F.explode(F.expr("sequence(0, block)")).alias("block"))
