@@ -84,8 +84,13 @@ def _solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     counts = (cols[:, :, None] == cols[:, None, :]).sum(2)
     square = np.where(cols > 0, counts, 0).sum(1).astype(float)
     x, root = np.zeros(len(cols)), np.sqrt(square)
+    # The combinations that hold each length: a step changes the gradient of those of its own lengths only.
+    flat = cols.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.searchsorted(flat[order], np.arange(window + 1))
+    grad = left[cols].sum(1)
     for _ in range(STEPS_PER_LENGTH * len(have)):
-        steps = np.maximum(left[cols].sum(1) / square, -x)
+        steps = np.maximum(grad / square, -x)
         j = int((np.abs(steps) * root).argmax())
         step = steps[j]
         if abs(step) < 0.25:
@@ -93,7 +98,7 @@ def _solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         x[j] += step
         for n in cols[j]:
             if n:
-                left[n] -= step
+                np.subtract.at(grad, order[first[n] : first[n + 1]] // 3, step)
     avail, plan = histogram.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable").tolist():
         if x[j] < 1:
