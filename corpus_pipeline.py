@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from roadglass.llm import neardedup, packing, pii, quality, toxicity
 from roadglass.llm._common import fresh, written
 
+#: Near duplicates of the pipeline: similarity of five-word shingles in percent, at least.
+NEAR_LINK = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the newest policy."""
@@ -31,7 +34,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of every group of near duplicates."""
-    found = neardedup.near_duplicates(docs)
+    found = neardedup.near_duplicates(docs, link=NEAR_LINK)
     gone, one, n = fresh(docs, "gone", "one", "n")
     lost, _ = written(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "lost")
     out = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")

@@ -1,17 +1,18 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set is its distinct 5-word shingles. Documents of equal sets form a class at once. Of each
-class's 128 minima, 125 make the keys of 25 bands and the two low bits of all 128 are packed as a
-signature of four longs. Classes that share a band are candidates: the bit counts of their signatures,
-corrected for chance agreement, estimate the similarity, and candidates within six standard deviations of
-the threshold are confirmed on the full sets. Confirmed links make the components.
+A document's set is its distinct 5-word shingles. Documents of equal sets form a class at once. Each
+class has 128 minima: they make the keys of the bands that `layout` derives from the threshold, and the two
+low bits of all 128 are packed as a signature of four longs. Classes that share a band are candidates: the
+bit counts of their signatures, corrected for chance agreement, estimate the similarity, and candidates
+within six standard deviations of the threshold are confirmed on the full sets. Confirmed links make the
+components.
 
 No band emits all its pairs. First each class of a band is paired with the band's pivot only. Bands that
 then still hold several components are cut into blocks of about BLOCK classes; each two blocks of a band
 are compared at once, by a product of their shingle-incidence matrices over 16-bit shingle hashes (which
 can't miss a link), and only pairs of different components that reach the threshold there leave the
 comparison, to be confirmed as well. Pairs within a component can't change the result. A link at the
-threshold shares no band with probability 4e-7.
+threshold shares no band with probability 4e-7 at 85 (25 bands of 5) and 5e-8 at 80 (32 bands of 4).
 
 Null texts and texts without words are linked with nothing. Null ids take part but never name a component
 unless all its ids are null. Repeated rows are exact copies. An empty table gives no rows. Other columns
@@ -31,16 +32,26 @@ from ._common import components, drop, tune, written
 from ._text import batch_shingles, batch_words, mix
 
 K_WORDS = 5
-N_MINIMA, BANDS, ROWS = 128, 25, 5
+N_MINIMA = 128
 PLANES = 4  # two low bits of 128 minima: longs
-#: Agreeing minima that a pair of the threshold's similarity reaches but for six standard deviations.
-MIN_AGREE = 92
+#: Probability that a link at the threshold shares no band, at most.
+MISS = 4.5e-7
 #: Classes of a block, about.
 BLOCK = 256
-#: A link: 100 * intersection >= LINK * union.
+#: A link: 100 * intersection >= link * union. This is the link of op3's contract.
 LINK = 85
 
 
+def layout(link: int) -> tuple[int, int, int]:
+    """Bands, minima of a band, and agreeing minima that a link at the threshold reaches but for six standard deviations."""
+    s = link / 100
+    rows = next((r for r in range(N_MINIMA, 0, -1) if (1 - s**r) ** (N_MINIMA // r) <= MISS), 0)
+    if not rows or link > 100:
+        raise ValueError(f"no bands of {N_MINIMA} minima find links at {link} percent")
+    p = s + (1 - s) / 4  # two low bits agree by chance in 1 of 4
+    return N_MINIMA // rows, rows, int(N_MINIMA * p - 6 * (N_MINIMA * p * (1 - p)) ** 0.5)
+
+
 def _sets(texts: list[str | None], tables: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and where each text's begin."""
     words, _, _, _, before = batch_words([(t or "").encode("utf-8", "surrogatepass") for t in texts], True, tables)
@@ -67,7 +78,7 @@ def _classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"cls": keys, "text": batch["text"]})
 
 
-def _signatures(seed: int = 7):
+def _signatures(n_bands: int, n_rows: int, seed: int = 7):
     """id, class (16 bytes; null without words), set size, band keys, signature of every text."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,11 +96,11 @@ def _signatures(seed: int = 7):
                     minima = np.empty((N_MINIMA, len(some)), np.uint64)
                     for k in range(N_MINIMA):
                         minima[k] = np.minimum.reduceat((sets ^ flips[k]) * odds[k], begin)
-                    keys = np.empty((len(some), BANDS), np.uint64)
-                    for b in range(BANDS):
+                    keys = np.empty((len(some), n_bands), np.uint64)
+                    for b in range(n_bands):
                         h = np.full(len(some), b + 1, np.uint64)
-                        for r in range(ROWS):
-                            h = mix(h ^ minima[b * ROWS + r]) + np.uint64(b)
+                        for r in range(n_rows):
+                            h = mix(h ^ minima[b * n_rows + r]) + np.uint64(b)
                         keys[:, b] = h
                     spread = mix(minima)
                     bits = np.concatenate([(spread & np.uint64(1)), (spread >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8)
@@ -119,17 +130,22 @@ def estimate(agreeing: Column) -> Column:
     return (agreeing / N_MINIMA - 0.25) / 0.75
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tables: dict = {}
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            sets, at = _sets(batch["ta"].tolist() + batch["tb"].tolist(), tables)
-            n, ok = len(batch), []
-            for i in range(n):
-                a, b = sets[at[i] : at[i + 1]], sets[at[n + i] : at[n + i + 1]]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * common >= LINK * (len(a) + len(b) - common))
-            yield batch.loc[ok, ["a", "b"]]
+def _confirm(link: int):
+    """Pairs that are links, by their full sets."""
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict = {}
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                sets, at = _sets(batch["ta"].tolist() + batch["tb"].tolist(), tables)
+                n, ok = len(batch), []
+                for i in range(n):
+                    a, b = sets[at[i] : at[i + 1]], sets[at[n + i] : at[n + i + 1]]
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    ok.append(100 * common >= link * (len(a) + len(b) - common))
+                yield batch.loc[ok, ["a", "b"]]
+
+    return confirm
 
 
 def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,43 +191,48 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([pack(held, columns)], columns=["key", "block", "blocks", "cls", "roots", "n", "lens", "sets"])
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compared(link: int):
     """Pairs of two blocks' classes, of different components, that may be links."""
-    for batch in batches:
-        out: list[tuple[bytes, bytes]] = []
-        for r in batch.itertuples(index=False):
-            sides = []
-            for cls, roots, n, lens, sets in ((r.cls, r.roots, r.n, r.lens, r.sets), (r.cls2, r.roots2, r.n2, r.lens2, r.sets2)):
-                sides.append((np.frombuffer(cls, "V16"), np.frombuffer(roots, "V16"), np.frombuffer(n, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(sets, np.uint16)))
-            (c, rc, n, ln, s), (d, rd, m, lm, t) = sides
-            both = np.zeros(65536, bool)
-            seen = np.zeros(65536, bool)
-            both[s] = True
-            seen[t] = True
-            both &= seen
-            column = np.cumsum(both) - 1
-            width = int(both.sum())
-            matrices = []
-            for lens, flat in ((ln, s), (lm, t)):
-                keep = both[flat]
-                x = np.zeros((len(lens), width), np.float32)
-                x[np.repeat(np.arange(len(lens)), lens)[keep], column[flat[keep]]] = 1
-                matrices.append(x)
-            common = (matrices[0] @ matrices[1].T).astype(np.int64)
-            # Shingles of one set that share a short hash count once there: at most so many are missed.
-            common += np.minimum((n - ln)[:, None], (m - lm)[None])
-            common = np.minimum(common, np.minimum(n[:, None], m[None]))
-            fits = (100 * common >= LINK * (n[:, None] + m[None] - common)) & (rc[:, None] != rd[None])
-            out += [(c[i].tobytes(), d[j].tobytes()) for i, j in zip(*np.nonzero(fits))]
-        yield pd.DataFrame([(min(p), max(p)) for p in set(out)], columns=["a", "b"])
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for r in batch.itertuples(index=False):
+                sides = []
+                for cls, roots, n, lens, sets in ((r.cls, r.roots, r.n, r.lens, r.sets), (r.cls2, r.roots2, r.n2, r.lens2, r.sets2)):
+                    sides.append((np.frombuffer(cls, "V16"), np.frombuffer(roots, "V16"), np.frombuffer(n, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(sets, np.uint16)))
+                (c, rc, n, ln, s), (d, rd, m, lm, t) = sides
+                both = np.zeros(65536, bool)
+                seen = np.zeros(65536, bool)
+                both[s] = True
+                seen[t] = True
+                both &= seen
+                column = np.cumsum(both) - 1
+                width = int(both.sum())
+                matrices = []
+                for lens, flat in ((ln, s), (lm, t)):
+                    keep = both[flat]
+                    x = np.zeros((len(lens), width), np.float32)
+                    x[np.repeat(np.arange(len(lens)), lens)[keep], column[flat[keep]]] = 1
+                    matrices.append(x)
+                common = (matrices[0] @ matrices[1].T).astype(np.int64)
+                # Shingles of one set that share a short hash count once there: at most so many are missed.
+                common += np.minimum((n - ln)[:, None], (m - lm)[None])
+                common = np.minimum(common, np.minimum(n[:, None], m[None]))
+                fits = (100 * common >= link * (n[:, None] + m[None] - common)) & (rc[:, None] != rd[None])
+                out += [(c[i].tobytes(), d[j].tobytes()) for i, j in zip(*np.nonzero(fits))]
+            yield pd.DataFrame([(min(p), max(p)) for p in set(out)], columns=["a", "b"])
+
+    return compare
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", link: int = LINK) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row; `link` is the least similarity of a link in percent."""
+    n_bands, n_rows, min_agree = layout(link)
     spark = df.sparkSession
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed, _ = written(docs.mapInPandas(_signatures(), "id long, cls binary, n long, bands array<long>, planes array<long>"), "signed")
+    signed, _ = written(docs.mapInPandas(_signatures(n_bands, n_rows), "id long, cls binary, n long, bands array<long>, planes array<long>"), "signed")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes, _ = written(classes, "classes")
 
@@ -226,7 +247,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
         a = sig.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("planes").alias("pa"))
         b = sig.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("pb"))
         out = pairs.join(a, "a").join(b, "b").withColumn("agree", agree("pa", "pb"))
-        return out.where(f"agree >= {MIN_AGREE} and 100 * least(na, nb) >= {LINK} * greatest(na, nb)").select("a", "b", "agree")
+        return out.where(f"agree >= {min_agree} and 100 * least(na, nb) >= {link} * greatest(na, nb)").select("a", "b", "agree")
 
     # The texts of all classes in shared bands. Where an id is null or stands for several rows, they are
     # found by class instead, at the price of a second signing.
@@ -240,7 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-        return written(both.mapInPandas(_confirm, "a binary, b binary"), "links")[0]
+        return written(both.mapInPandas(_confirm(link), "a binary, b binary"), "links")[0]
 
     star = shared.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     star, _ = written(rated(star), "rated")
@@ -258,7 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     blocks, blocks_path = written(blocks, "blocks")
     left = blocks.select("*", F.explode(F.expr("sequence(block, blocks - 1)")).alias("with"))
     right = blocks.select(F.col("key"), F.col("block").alias("with"), *[F.col(c).alias(c + "2") for c in ("cls", "roots", "n", "lens", "sets")], F.explode(F.expr("sequence(0, block)")).alias("block"))
-    met = left.join(right, ["key", "block", "with"]).mapInPandas(_compared, "a binary, b binary").distinct()
+    met = left.join(right, ["key", "block", "with"]).mapInPandas(_compared(link), "a binary, b binary").distinct()
     met, _ = written(met.join(star, ["a", "b"], "left_anti"), "met")
     drop(spark, blocks_path)
     links = links.unionByName(confirmed(met))
