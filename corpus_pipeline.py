@@ -33,19 +33,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every group of near duplicates."""
-    found = neardedup.near_duplicates(docs, link=NEAR_LINK)
-    gone, one, n = fresh(docs, "gone", "one", "n")
-    lost, _ = written(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "lost")
-    out = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
-    # Of rows that repeat an id that stays, one row stays.
-    again = docs.groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(one)
-    if again.isEmpty():
-        return out
-    again, _ = written(again, "again")
-    single = out.join(again, F.col("doc_id").eqNullSafe(F.col(one)), "left_anti")
-    many = out.join(again, F.col("doc_id").eqNullSafe(F.col(one)), "left_semi")
-    return single.unionByName(many.dropDuplicates(["doc_id", "text"]))
+    """One row of every group of near duplicates: of least doc_id, null last.
+
+    Rows, not ids, are compared and removed: a null or repeated doc_id says nothing of another row's text.
+    Rows of one doc_id with equal texts are one document, even without words.
+    """
+    row, one, group, blank, id_, h, best, n = fresh(docs, "row", "one", "group", "blank", "id", "h", "best", "n")
+    docs_by_row, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = neardedup.near_duplicates(docs_by_row, row, link=NEAR_LINK)
+    # Texts without words are in no component; they repeat only as equal texts of one id.
+    found = found.select(F.col(row).alias(one), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias(group))
+    rows = docs_by_row.select(row, F.col("doc_id").alias(id_), F.xxhash64("text").alias(h), F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias(blank))
+    rows = rows.join(found, F.col(row) == F.col(one)).select(row, id_, h, group, *[F.when(F.col(group).isNull(), F.col(c)).alias(c + "0") for c in (id_, blank)])
+    keys = [group, id_ + "0", blank + "0"]
+    rows, _ = written(rows, "grouped")
+    first = F.min(F.struct(F.col(id_).isNull().alias("null"), F.col(id_), F.col(h), F.col(row)))[row]
+    many = rows.groupBy(*[F.col(k).alias(k + "1") for k in keys]).agg(first.alias(best), F.count("*").alias(n)).where(F.col(n) > 1)
+    same = [F.col(k).eqNullSafe(F.col(k + "1")) for k in keys]
+    lost, _ = written(rows.join(many, same).where(F.col(row) != F.col(best)).select(F.col(row).alias(one)), "lost")
+    return docs_by_row.join(lost, F.col(row) == F.col(one), "left_anti").drop(row)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,33 @@ def test_layout():
     assert neardedup.layout(80) == (32, 4, 84)
     with pytest.raises(ValueError):
         neardedup.layout(5)
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    """Exactly one row of each component stays, and no row goes for another row's text."""
+    rng = random.Random(4)
+    new = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d, e, f, g = (new() for _ in range(7))
+    docs = [
+        (1, a), (None, a), (None, b), (None, c),  # a copy without an id takes no other text with it
+        (5, d), (7, a + " x"), (7, e),  # nor does one whose id also stands for another text
+        (9, f), (9, f + " y"), (9, f.upper()),  # near copies under one id
+        (None, g), (None, g + " z"),  # near copies without ids
+        (11, ""), (11, ""), (12, ""), (None, None), (None, None), (None, " "), (12, None),  # without words: equal rows only
+    ]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(docs)], "doc_id long, text string, row int").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    by = {}
+    for (i, t), k in zip(docs, components([t for _, t in docs], 80)):
+        key = ("c", k) if shingles(t) else ("w", i, t)
+        by.setdefault(key, []).append((i, t))
+    rows = [(r["doc_id"], r["text"]) for r in got.collect()]
+    left = list(rows)
+    for own in by.values():
+        least = min((i for i, _ in own if i is not None), default=None)
+        kept = [x for x in left if x in own and x[0] == least]
+        assert len(kept) == 1
+        left.remove(kept[0])
+    assert not left
+    assert {(None, b), (None, c), (7, e), (5, d), (1, a)} <= set(rows)
