@@ -10,8 +10,9 @@ Nyström landmarks; as the kernel is a sum over subsequences, the trained machin
 for each (hashed) subsequence, and scoring a word is a sum of table entries. A logistic model over the two
 highest words, fitted on labelled documents that training didn't see, gives the score.
 
-Labels are learnt from at most TRAIN_ROWS labelled documents of each label, by hash of the id; that bound is
-the only sample. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
+Labels are learnt from at most TRAIN_ROWS labelled documents of each label, by hash of the id. Of their clean
+words, each of three turns takes the HARD_WORDS that score highest, kept for later turns, and EASY_WORDS at
+random as negatives. Only the fit is bounded so; scoring reads every word of every text. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
 labels that repeat an id the highest holds. Without labels of both kinds every score is 0. Other columns
 are not looked at. Words of any length are read whole, long ones in overlapping windows.
 """
@@ -32,6 +33,8 @@ from ._common import tune
 
 #: Labelled documents of either label that are used at most.
 TRAIN_ROWS = 3000
+#: Clean words that are negatives of the machine: the hardest of each turn, and a random choice of each turn, at most.
+HARD_WORDS, EASY_WORDS = 2000, 6000
 LAMBDA = 0.5
 LANDMARKS = 320
 #: Log-odds from which a word counts as toxic in each toxic document that holds it.
@@ -198,8 +201,8 @@ class Model:
                 return
             chosen, times = np.unique(pick, return_counts=True)
             clean_by = clean_words[np.argsort(-value[clean_words], kind="stable")]
-            hard |= set(clean_by[:2000].tolist())
-            easy = rng.choice(clean_words, min(len(clean_words), 6000), replace=False)
+            hard |= set(clean_by[:HARD_WORDS].tolist())
+            easy = rng.choice(clean_words, min(len(clean_words), EASY_WORDS), replace=False)
             negative = np.array(sorted(hard | set(easy.tolist())))
             top = chosen[np.argsort(-times, kind="stable")]
             marks = [words[i] for i in [*top[: LANDMARKS * 2 // 3], *clean_by[: LANDMARKS // 3]] if len(words[i]) > 1]
