@@ -1,7 +1,9 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose spans that may overlap: emails and their spelt-out forms, addresses of both
-families, card and account numbers, phone numbers with and without a country, social-security numbers.
+Generators propose spans that may overlap: emails and their spelt-out forms in brackets, IPv4 addresses and
+full eight-group IPv6 addresses, card and account numbers, phone numbers with and without a country,
+social-security numbers. Not proposed are compressed IPv6 addresses, spelt-out emails without brackets,
+national phone numbers outside the 3-3-4 form or a 00 prefix, and 14-digit cards.
 Boosted trees score each from its format and its context, the scores are calibrated on held-out rows, and
 each kind has the threshold at which its precision there meets a target. Selected spans are taken best
 first, without overlaps. The exact base patterns are always selected; the trees only add to them.
@@ -81,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: High-recall generators: kind and pattern. Repeats are bounded or can't overlap, so time is linear.
+#: Generators: kind and pattern. Repeats are bounded or can't overlap, so time is linear.
 _GENERATORS = tuple(
     (k, re.compile(p))
     for k, p in (
