@@ -52,13 +52,17 @@ def _rare(values: pd.Series) -> pd.Series:
     return pd.Series([parsed(v) for v in values], dtype="datetime64[us]")
 
 
-def parse_datetime_full(c: Column) -> Column:
-    """`parse_datetime`, and the rarer ISO forms through Python; only texts that could be such are sent there."""
-    plain = parse_datetime(c)
+def with_rare(plain: Column, c: Column) -> Column:
+    """`plain`, which is `parse_datetime` of c, or the rarer ISO forms through Python; only texts that could be such are sent there."""
     rare = F.when(plain.isNull() & c.rlike(r"^\d{4}") & c.rlike(r"^[\x21-\x7e][\x20-\x7e]{6,40}$"), c)
     return F.coalesce(plain, _rare(rare))
 
 
+def parse_datetime_full(c: Column) -> Column:
+    """`parse_datetime` and the rarer ISO forms. Where c is dear to parse, make a column of its plain form first and use `with_rare`."""
+    return with_rare(parse_datetime(c), c)
+
+
 def iso_date(c: Column, typed: Column | None = None) -> Column:
     """A date cell as yyyy-MM-dd; text of no known format stays (collapsed). `typed`: the cell is a date by type."""
     raw = text(c)

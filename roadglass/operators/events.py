@@ -75,6 +75,11 @@ def conditional_counts(df: DataFrame, by: Column, counts: dict[str, Column | Non
     return df.groupBy(by).agg(*[(F.count("*") if c is None else F.count_if(c)).alias(n) for n, c in counts.items()])
 
 
+def involving(df: DataFrame, people: DataFrame, on: str) -> DataFrame:
+    """Rows of df that some of the people belong to, each once; where only that matters and no count, nothing is grouped."""
+    return df.join(people.select(on), on, "left_semi")
+
+
 def pedestrian_counts(people: DataFrame) -> DataFrame:
     """Per crash: pedestrians involved, killed and injured."""
     people = metropolitan(people)
@@ -95,9 +100,9 @@ def build_events(crashes: DataFrame, people: DataFrame, ordered: bool = True) ->
         "time": lambda n: iso_time(_cell(crashes, n), _tagged(crashes, DATES, n), _tagged(crashes, TIMES, n)),
     }
     rows = crashes.select([how[kind](source).alias(out) for out, source, kind in COLUMNS if kind])
+    rows = rows.join(pedestrian_counts(people), "crash_id")
     year, month, day = date_parts(F.col("crash_date"))
-    rows = rows.withColumns({"year": year, "month": month, "day": day})
-    rows = rows.join(pedestrian_counts(people), "crash_id").select([out for out, _, _ in COLUMNS])
+    rows = rows.withColumns({"year": year, "month": month, "day": day}).select([out for out, _, _ in COLUMNS])
     return rows.orderBy(*ORDER) if ordered else rows
 
 

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.dates import parse_datetime, parse_datetime_full
+from ..functions.dates import parse_datetime, with_rare
 from ..functions.text import header_name, is_boolean_token, is_null_token, strip
-from ..sources import delimited
-from ..sources.registry import digest
+from ..sources import delimited, files
 from .events import valid_point
 
 #: Limits and thresholds, and the names of coordinate columns.
@@ -48,7 +47,10 @@ def first_values(values: DataFrame, n: int = SAMPLES) -> DataFrame:
 def classify(values: DataFrame, full: bool = True) -> DataFrame:
     """Adds kind (boolean, integer, float, datetime, string; null for null), num and ts. `full`: the rarer ISO dates too."""
     v = F.col("value")
-    values = values.withColumn("ts", (parse_datetime_full if full else parse_datetime)(F.when(~numbers.is_float(v) & ~is_boolean_token(v), v)))
+    text = F.when(~numbers.is_float(v) & ~is_boolean_token(v), v)
+    values = values.withColumn("ts", parse_datetime(text))
+    if full:
+        values = values.withColumn("ts", with_rare(F.col("ts"), text))
     kind = (
         F.when(v.isNull(), F.lit(None))
         .when(is_boolean_token(v), "boolean")
@@ -111,9 +113,13 @@ def column_profiles(df: DataFrame, columns: list[str], ordinal: Column | str, fu
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: row_count, and duplicate_row_count by stripped values, null and empty alike."""
-    values = [F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")).alias(f"v{i}") for i, c in enumerate(columns)]
-    groups = df.select(*values).groupBy(*[f"v{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
+    """One row: row_count, and duplicate_row_count by stripped values, null and empty alike.
+
+    Rows are told apart by SHA-256 of their values with their lengths, so 32 bytes of a row are shuffled, however long it is.
+    """
+    values = [F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
+    whole = F.concat_ws(",", *[x for v in values for x in (F.length(v).cast("string"), v)])
+    groups = df.select(F.unhex(F.sha2(whole, 256)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
@@ -140,35 +146,42 @@ def shown_number(x: float | None) -> str | None:
     return str(int(x)) if x == int(x) else format(x, ".12g")
 
 
-def warnings(rows: int, duplicates: int, malformed: int, coordinates: dict | None, columns: list[dict]) -> list[str]:
-    """What needs a look, in fixed order; the texts are fixed values."""
-    dated = any(c["inferred_type"] == "datetime" for c in columns)
-    general = [
-        (rows == 0, "Dataset contains no data rows."),
-        (duplicates > 0, f"Detected {duplicates} exact duplicate row(s)."),
-        (malformed > 0, f"Detected {malformed} malformed row(s) with extra fields."),
-        (coordinates is None, "No explicit latitude/longitude column pair was detected."),
-        (coordinates is not None and coordinates["valid_coordinate_pct"] < 90, "Less than 90% of non-null coordinate pairs are geographically valid."),
-        (not dated, "No temporal column reached the 90% datetime parse threshold."),
-    ]
-    own = [
-        w
-        for c in columns
-        for w in (
-            (c["null_pct"] >= 50, f"Column '{c['name']}' is at least 50% null."),
-            (c["unique_count_is_capped"], f"Column '{c['name']}' unique count reached the tracking cap ({UNIQUE_CAP})."),
-        )
-    ]
-    return [message for holds, message in general + own if holds]
+def column_messages(name: Column, null_pct: Column, capped: Column, cap: int = UNIQUE_CAP) -> Column:
+    """What in a column needs a look, as an array of texts, which are fixed values."""
+    head = F.concat(F.lit("Column '"), name)
+    null = F.when(null_pct >= 50, F.concat(head, F.lit("' is at least 50% null.")))
+    return F.array_compact(F.array(null, F.when(capped, F.concat(head, F.lit(f"' unique count reached the tracking cap ({cap}).")))))
+
+
+def general_messages(rows: Column, duplicates: Column, malformed: Column, valid_pct: Column, paired: Column, dated: Column) -> Column:
+    """What in the whole table needs a look, as an array of texts, which are fixed values. `paired`: it has a pair of coordinate columns."""
+    found = (
+        F.when(rows == 0, F.lit("Dataset contains no data rows.")),
+        F.when(duplicates > 0, F.format_string("Detected %d exact duplicate row(s).", duplicates)),
+        F.when(malformed > 0, F.format_string("Detected %d malformed row(s) with extra fields.", malformed)),
+        F.when(~paired, F.lit("No explicit latitude/longitude column pair was detected.")),
+        F.when(paired & (valid_pct < 90), F.lit("Less than 90% of non-null coordinate pairs are geographically valid.")),
+        F.when(~dated, F.lit("No temporal column reached the 90% datetime parse threshold.")),
+    )
+    return F.array_compact(F.array(*found))
+
+
+def temporal(profiles: DataFrame) -> DataFrame:
+    """The profiles of the columns that hold dates, in order."""
+    return profiles.where("inferred_type = 'datetime'").orderBy("pos")
 
 
 def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig", now: datetime | None = None) -> dict[str, Any]:
-    """The whole report of a delimited file."""
+    """The whole report of a delimited file, at any path that Spark reads."""
     table = delimited.scan(spark, path, delimiter, encoding)
+    size, sha256 = files.size_and_digest(spark, path)
     rows = table.rows.persist()
     try:
+        names = F.array(*map(F.lit, table.names))
+        found = column_profiles(rows, table.columns, delimited.ORDINAL).withColumn("name", F.element_at(names, F.col("pos") + 1))
+        found = found.withColumn("messages", column_messages(F.col("name"), F.col("null_pct"), F.col("unique_count_is_capped")))
+        by_pos = {r["pos"]: r.asDict() for r in found.collect()}  # one row a column
         counts = duplicate_rows(rows, table.columns).first()
-        found = {r["pos"]: r.asDict() for r in column_profiles(rows, table.columns, delimited.ORDINAL).collect()}  # one row a column
         lat, lon = coordinate_columns(table.names)
         coordinates = None
         if lat is not None and lon is not None:
@@ -177,10 +190,10 @@ def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None =
         bad = delimited.malformed(delimited.Table(rows, table.names, table.delimiter))
     finally:
         rows.unpersist()
-    empty = {"inferred_type": "empty", "non_null_count": 0, "null_count": 0, "null_pct": 0.0, "unique_count": 0, "unique_count_is_capped": False, "parse_success_pct": None, "sample_values": []}
-    columns = []
+    empty = {"inferred_type": "empty", "non_null_count": 0, "null_count": 0, "null_pct": 0.0, "unique_count": 0, "unique_count_is_capped": False, "parse_success_pct": None, "sample_values": [], "messages": []}
+    columns, messages = [], []
     for i, name in enumerate(table.names):
-        r = empty | found.get(i, {})
+        r = empty | by_pos.get(i, {})
         low, high = None, None
         if r["inferred_type"] in ("integer", "float"):
             low, high = shown_number(r["num_min"]), shown_number(r["num_max"])
@@ -188,12 +201,16 @@ def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None =
             low, high = r["ts_min"].isoformat(), r["ts_max"].isoformat()
         keep = ("inferred_type", "non_null_count", "null_count", "null_pct", "unique_count", "unique_count_is_capped", "parse_success_pct")
         columns.append({"name": name} | {k: r[k] for k in keep} | {"minimum": low, "maximum": high, "sample_values": list(r["sample_values"])})
+        messages += r["messages"]
     n, duplicates = counts["row_count"], counts["duplicate_row_count"]
+    dates = [c["name"] for c in columns if c["inferred_type"] == "datetime"]
+    valid = F.lit(coordinates and coordinates["valid_coordinate_pct"]).cast("double")
+    general = general_messages(F.lit(n), F.lit(duplicates), F.lit(bad), valid, F.lit(coordinates is not None), F.lit(bool(dates)))
     return {
         "source": str(path),
         "generated_at_utc": (now or datetime.now(UTC)).isoformat(),
-        "file_size_bytes": Path(path).stat().st_size,
-        "sha256": digest(path),
+        "file_size_bytes": size,
+        "sha256": sha256,
         "delimiter": table.delimiter,
         "row_count": n,
         "column_count": len(table.names),
@@ -201,6 +218,6 @@ def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None =
         "duplicate_row_pct": round(duplicates / n * 100, 2) if n else 0.0,
         "columns": columns,
         "coordinate_profile": coordinates,
-        "temporal_candidates": [c["name"] for c in columns if c["inferred_type"] == "datetime"],
-        "warnings": warnings(n, duplicates, bad, coordinates, columns),
+        "temporal_candidates": dates,
+        "warnings": [*spark.range(1).select(general).first()[0], *messages],
     }

@@ -49,14 +49,25 @@ def scored(df: DataFrame, provider: ScoreProvider | None = None, unit: str = "sp
     )
 
 
+#: Periods that a map takes at most; they are sent to every task.
+MAX_PERIODS = 10_000
+
+
 def risk_map(all_units: DataFrame, some_periods: DataFrame, provider: ScoreProvider | None = None) -> DataFrame:
-    """Every unit in every given period with its score; the given periods are few rows of a catalog."""
-    return scored(all_units.crossJoin(some_periods.select("period_id")), provider)
+    """Every unit in every given period with its score.
 
+    The periods are an array that each unit is exploded by, so the units are not shuffled; their number is checked.
+    """
+    ids = [r["period_id"] for r in some_periods.select("period_id").limit(MAX_PERIODS + 1).collect()]
+    if len(ids) > MAX_PERIODS:
+        raise ValueError(f"a map has {MAX_PERIODS} periods at most")
+    each = F.explode(F.array(*map(F.lit, ids)).cast("array<string>")).alias("period_id")
+    return scored(all_units.select("*", each), provider)
 
-def average(df: DataFrame, column: str = "value") -> DataFrame:
-    """One row: rows, and the mean of the values that are there (null if none)."""
-    return df.agg(F.count("*").alias("areas"), F.avg(column).alias("average_value"))
+
+def average(df: DataFrame, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each group `by`): rows, and the mean of the values that are there (null if none)."""
+    return df.groupBy(*by).agg(F.count("*").alias("areas"), F.avg(column).alias("average_value"))
 
 
 def with_names(df: DataFrame, names: DataFrame, on: str, name: str = "name") -> DataFrame:
@@ -65,17 +76,30 @@ def with_names(df: DataFrame, names: DataFrame, on: str, name: str = "name") ->
     return df.join(one, F.col(on) == F.col("__id"), "left").withColumn(name, F.coalesce("__name", F.col(on).cast("string"))).drop("__id", "__name")
 
 
-def keep_selection(items: DataFrame, selected: Column | str | None) -> DataFrame:
-    """The item that was selected if it is still there, else the first; no row of no items."""
-    return items.orderBy(F.coalesce(F.col("spatial_unit_id") == selected, F.lit(False)).desc(), "ordinal").limit(1)
+def keep_selection(items: DataFrame, selected: Column | str | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The item that was selected if it is still there, else the first (of each group `by`); no row of no items."""
+    first = F.struct(F.coalesce(F.col("spatial_unit_id") == selected, F.lit(False)).alias("chosen"), (-F.col("ordinal")).alias("early"))
+    best = items.groupBy(*by).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in items.columns]), first).alias("item"))
+    return best.where("item is not null").select("item.*")
+
+
+def first_units(all_units: DataFrame, n: int = 2) -> DataFrame:
+    """The first n units of the catalog, in order."""
+    return all_units.orderBy("ordinal").limit(n)
 
 
 def comparison_defaults(all_units: DataFrame) -> tuple[str, str]:
     """The two units a comparison starts from: the first and the second, or the first twice; empty without units."""
-    ids = [r["spatial_unit_id"] for r in all_units.orderBy("ordinal").limit(2).collect()]
+    ids = [r["spatial_unit_id"] for r in first_units(all_units).collect()]
     return (ids[0], ids[-1]) if ids else ("", "")
 
 
+def known(asked: DataFrame, catalog: DataFrame, on: str) -> DataFrame:
+    """Every row asked, with whether the catalog has its key."""
+    have = catalog.select(on).distinct().withColumn("known", F.lit(True))
+    return asked.join(have, on, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 class Service:
     """The operations of the risk interface, as DataFrames or rows, without a web server."""
 
@@ -99,10 +123,10 @@ class Service:
         return self.compare([(spatial_unit, period)]).first().asDict()
 
     def risk_map(self, period: str) -> DataFrame:
-        known = periods(self.spark).where(F.col("period_id") == period)
-        if known.isEmpty():
+        asked = known(self.spark.createDataFrame([(period,)], "period_id string"), periods(self.spark), "period_id")
+        if asked.where("known").isEmpty():
             raise LookupError("Unknown period")
-        out = risk_map(units(self.spark), known, self.provider).orderBy("ordinal")
+        out = risk_map(units(self.spark), asked, self.provider).orderBy("ordinal")
         return out.select("spatial_unit_id", "period_id", "value", "label", "provider", "model_version", "dataset_version", "name", "latitude", "longitude")
 
     def compare(self, queries: list[tuple[str, str]]) -> DataFrame:

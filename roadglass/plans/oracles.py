@@ -51,6 +51,29 @@ _INFERRED = f"""select *, case when n = 0 then 'empty' when greatest(boolean, in
   else 'datetime' end as inferred_type from ({_TYPES})"""
 _CAPPED = _cells("events", _EVENT_COLUMNS | {"value": "case when event_id % 5 < 3 then null else value::varchar end"}, "event_id")
 
+#: Orders and their lines as crash and people records, to the event table's 29 columns.
+_PEDESTRIANS = """select 'LIMA-' || l_orderkey as crash_id, count(*)::bigint as pedestrians_involved, (count(*) filter (l_linestatus = 'F'))::bigint as pedestrian_fatalities,
+  (count(*) filter (l_linestatus = 'O'))::bigint as pedestrian_injured from lineitem where l_returnflag = 'R' and l_linenumber <> 5 group by l_orderkey"""
+_BUILT = f"""with c as (
+  select *, 'LIMA-' || o_orderkey as crash_id, case when o_orderkey % 3 = 2 then 's/f' else strftime(o_orderdate, '%Y-%m-%d') end as crash_date
+  from orders where o_orderkey % 10 <> 0 and o_custkey % 5 <> 0)
+  select c.crash_id, crash_date, case when o_orderkey % 2 = 1 then '07:08:09' else '08:30' end as crash_time,
+    case when crash_date = 's/f' then '' else strftime(o_orderdate, '%Y') end as year, case when crash_date = 's/f' then '' else strftime(o_orderdate, '%m') end as month,
+    case when crash_date = 's/f' then '' else strftime(o_orderdate, '%d') end as day, replace(o_orderpriority, '-', ' - ') as district,
+    case when o_orderkey % 7 <> 0 then o_totalprice / 4000 end as latitude, (-77.5)::double as longitude, '' as crash_class,
+    (o_orderkey % 4)::bigint as fatalities_total, (o_orderkey % 3)::bigint as injured_total, null::bigint as vehicles_damaged,
+    pedestrians_involved, pedestrian_fatalities, pedestrian_injured, '' as zone, '' as road_type, '' as road_network, '' as road_code, '' as weather_condition, '' as zoning,
+    '' as road_characteristics, '' as road_longitudinal_profile, '' as road_surface, '' as vertical_sign_exists, '' as horizontal_sign_exists, '' as main_cause, '' as specific_cause
+  from c join ({_PEDESTRIANS}) p on c.crash_id = p.crash_id"""
+_CATALOG = """(values (0, 'cercado-de-lima', 'Cercado de Lima', -12.0464, -77.0428), (1, 'la-victoria', 'La Victoria', -12.0678, -77.0150),
+  (2, 'san-isidro', 'San Isidro', -12.0977, -77.0365), (3, 'miraflores', 'Miraflores', -12.1219, -77.0299), (4, 'santiago-de-surco', 'Santiago de Surco', -12.1456, -76.9919),
+  (5, 'san-miguel', 'San Miguel', -12.0776, -77.0884), (6, 'los-olivos', 'Los Olivos', -11.9912, -77.0708),
+  (7, 'san-juan-de-lurigancho', 'San Juan de Lurigancho', -11.9828, -77.0030)) t(ordinal, spatial_unit_id, name, latitude, longitude)"""
+#: The customers' file as its rows: texts, null for null tokens.
+_FILE = """select k, i, k::varchar as id, c_name as name, strftime(date '1992-01-01' + (k % 2000)::int, '%d/%m/%Y') as since, lat::varchar as lat, lon::varchar as lon,
+  case when k % 3 = 0 then ' N/A ' else c_mktsegment || ';' end as segment, lat as lat_value, lon as lon_value, date '1992-01-01' + (k % 2000)::int as day
+  from (select c_custkey as k, c_acctbal / 50 as lat, c_nationkey * 20 - 180 as lon, * from customer) join (values (0), (1)) t(i) on i = 0 or k % 50 = 0"""
+
 SQL = {
     "event_table": _EVENTS,
     "event_summary": f"""select count(*)::bigint as rows, (count(*) filter (o_totalprice between 1000 and 200000))::bigint as valid_rows,
@@ -115,7 +138,7 @@ SQL = {
       strftime(min(case when kind = 'datetime' then try_cast(v as timestamp) end), '%Y-%m-%d %H:%M:%S') as ts_min,
       strftime(max(case when kind = 'datetime' then try_cast(v as timestamp) end), '%Y-%m-%d %H:%M:%S') as ts_max from ({_KINDS}) group by pos, name""",
     "profile_samples": f"""select name, array_to_string((list(v order by f))[1:5], '|') as sample_values from (
-      select pos, name, v, min(o) as f from ({_CUSTOMER}) where v is not null group by pos, name, v) where name <> 'c_acctbal' group by pos, name""",
+      select pos, name, v, min(o) as f from ({_CUSTOMER}) where v is not null group by pos, name, v) group by pos, name""",
     "duplicate_rows": """select count(*)::bigint as row_count, (count(*) - count(distinct trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13))))::bigint as duplicate_row_count,
       round_even((count(*) - count(distinct trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)))) / count(*) * 100, 2) as duplicate_row_pct from documents""",
     "coordinate_quality": """select count(*)::bigint as paired_non_null_count, (count(*) filter (v))::bigint as valid_coordinate_count,
@@ -128,4 +151,53 @@ SQL = {
       select pos, (row_number() over (partition by pos order by a) - 1)::int as k, message from w""",
     "content_digest": "select doc_id, sha256(text) as sha256, strlen(text)::int as size_bytes from documents",
     "json_extract": "select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events",
+    "event_build": _BUILT,
+    "event_build_summary": f"""select count(*)::bigint as rows, (count(*) filter (latitude between -90 and 90))::bigint as valid_coordinate_rows,
+      coalesce(sum(pedestrian_fatalities), 0)::bigint as pedestrian_fatalities, coalesce(sum(pedestrian_injured), 0)::bigint as pedestrian_injured from ({_BUILT})""",
+    "event_build_by_year": f"select year, count(*)::bigint as events from ({_BUILT}) where year <> '' group by year",
+    "pedestrian_counts": _PEDESTRIANS,
+    "iso_times": "select event_id, case when event_id % 3 = 2 then strftime(ts, '%H:%M') else strftime(ts, '%H:%M:%S') end as time from events",
+    "date_offsets": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as moment from events",
+    "registry_json": """select (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as pos, n_name as id, n_name || '"é.xlsx' as filename from nation""",
+    "registry_all": """select * from (values (0, 'fatal_crashes_2021_2025', 'primary', '2026-02-27', 'fatal_crashes_2021_2025.xlsx', 114),
+      (1, 'people_fatal_crashes_2021_2025', 'primary', '2026-02-27', 'people_fatal_crashes_2021_2025.xlsx', 102),
+      (2, 'vehicles_fatal_crashes_2021_2025', 'supporting', '2026-02-27', 'vehicles_fatal_crashes_2021_2025.xlsx', 103),
+      (3, 'historical_crashes_2008_2025', 'context', '2025-12-18', 'historical_crashes_2008_2025.xlsx', 117)) t(pos, id, role, published, filename, url_length)""",
+    "risk_service": f"""select spatial_unit_id, 'period-b' as period_id, {_score("spatial_unit_id", "'period-b'")} as value, null::varchar as label, 'default' as provider,
+      'development' as model_version, 'unconfigured' as dataset_version, name, latitude::double as latitude, longitude::double as longitude from {_CATALOG}""",
+    "risk_service_body": f"""select 'health' as operation, '{{"status": "ok", "environment": "development"}}' as body union all
+      select 'metadata', '{{"provider": "default", "model_version": "development", "dataset_version": "unconfigured", "description": "Risk scoring provider used by the application."}}' union all
+      select 'risk', '{{"spatial_unit_id": "area-a", "period_id": "period-a", "value": ' || {_score("'area-a'", "'period-a'")} ||
+        ', "label": null, "provider": "default", "model_version": "development", "dataset_version": "unconfigured"}}' union all
+      select 'periods', '[{{"period_id": "period-a", "name": "Period A"}}, {{"period_id": "period-b", "name": "Period B"}}, {{"period_id": "period-c", "name": "Period C"}}]'""",
+    "risk_provider": """select n_name as spatial_unit_id, event_type as period_id, case when event_type <> 'error' then round(length(n_name) / 100, 2) end as value,
+      'by-length' as provider, '1' as model_version, 'none' as dataset_version from nation cross join (select distinct event_type from events)""",
+    "coordinate_names": """select * from (values (1, null, null, 'id'), (2, 1, null, 'latitud'), (3, 1, 2, 'lon'), (4, 1, 2, 'lat'), (5, 1, 2, 'longitud'), (6, 1, 2, 'strasse'),
+      (7, 1, 2, 'no ca')) t(columns, latitude, longitude, last_name)""",
+    "shown_numbers": """select c_custkey, case when x = floor(x) then x::bigint::varchar else format('{:.12g}', x) end as shown
+      from (select c_custkey, case when c_custkey % 2 = 0 then floor(c_acctbal) else c_acctbal end as x from customer)""",
+    "csv_sink": """select 'n_nationkey,name,v' as line union all select n_nationkey || ',' || case when n_nationkey % 2 = 0 then concat('"', n_name, ', ', repeat('"', 2), 'x', repeat('"', 3)) else n_name end || ',' ||
+      case n_nationkey % 3 when 0 then '' when 1 then (n_nationkey / 8)::varchar else '1e-07' end from nation""",
+    "csv_scan": f"""select ';' as delimiter, id, name, since, lat, lon, segment from ({_FILE})""",
+    "csv_malformed": f"""select count(*)::bigint as row_count, (count(*) filter (k % 100 = 7))::bigint as malformed_count from ({_FILE})""",
+    "profile_report": f"""with f as ({_FILE}), a as (select count(*) as n, count(*) filter (k % 3 <> 0) as m, count(distinct lat) as lats, count(distinct lon) as lons, count(distinct since) as days,
+        count(distinct case when k % 3 <> 0 then segment end) as segments, count(distinct k) as ks, min(k) as k0, max(k) as k1, min(lat_value) as a0, max(lat_value) as a1,
+        min(lon_value) as o0, max(lon_value) as o1, min(day) as d0, max(day) as d1 from f),
+      v as (select 'id' as name, id as v, k, i from f union all select 'name', name, k, i from f union all select 'since', since, k, i from f union all select ' LATITÚD ', lat, k, i from f
+        union all select 'Lon', lon, k, i from f union all select 'segment', segment, k, i from f where k % 3 <> 0),
+      s as (select name, array_to_string((list(v order by k))[1:5], '|') as sample_values from (select name, v, min(k) as k from v group by name, v) group by name),
+      r as (select 'id' as name, 'integer' as t, n, 0 as z, ks as u, 100.0::double as p, k0::varchar as lo, k1::varchar as hi from a union all
+        select 'name', 'string', n, 0, ks, null, null, null from a union all
+        select 'since', 'datetime', n, 0, days, 100.0, strftime(d0, '%Y-%m-%dT00:00:00'), strftime(d1, '%Y-%m-%dT00:00:00') from a union all
+        select ' LATITÚD ', 'float', n, 0, lats, 100.0, format('{{:.12g}}', a0), format('{{:.12g}}', a1) from a union all
+        select 'Lon', 'integer', n, 0, lons, 100.0, o0::varchar, o1::varchar from a union all
+        select 'segment', 'string', m, n - m, segments, null, null, null from a)
+      select name, t as inferred_type, n::bigint as non_null_count, z::bigint as null_count, round_even(z / (n + z) * 100, 2) as null_pct, u::bigint as unique_count, p as parse_success_pct,
+        lo as minimum, hi as maximum, sample_values from r join s using (name)""",
+    "profile_totals": f"""with f as ({_FILE}), t as (select count(*) as n, count(*) - count(distinct k) as d, count(*) filter (k % 100 = 7) as bad,
+        count(*) filter (lat_value between -90 and 90 and lon_value between -180 and 180) as ok from f)
+      select ';' as delimiter, n::bigint as row_count, 6::bigint as column_count, d::bigint as duplicate_row_count, round_even(d / n * 100, 2) as duplicate_row_pct, ' LATITÚD ' as latitude_column,
+        'Lon' as longitude_column, n::bigint as paired, ok::bigint as valid, round_even(ok / n * 100, 2) as valid_pct, 'since' as temporal,
+        'Detected ' || d || ' exact duplicate row(s).|Detected ' || bad || ' malformed row(s) with extra fields.' ||
+          case when round_even(ok / n * 100, 2) < 90 then '|Less than 90% of non-null coordinate pairs are geographically valid.' else '' end as warnings from t""",
 }

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..functions.score import bucket, color, hash_score, radius, shown
+from ..functions.text import header_name
 from ..operators import events, profile, risk
-from ..sources import registry
+from ..session import shared_dir
+from ..sources import delimited, files, registry, sinks
+from ..sources.xlsx import DATES, TIMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,8 +52,13 @@ def event_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_summary(spark: SparkSession, d: str) -> DataFrame:
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return _events(spark, d).agg(F.count("*").alias("rows"), F.count_if(F.col("o_totalprice").between(1000, 200000)).alias("valid_rows"), total("finished"), total("opened"))
+    """`events.summarise` of the orders; a price in range stands for a valid latitude."""
+    rows = _events(spark, d).select(
+        (F.col("o_totalprice") / 1000 - 100.5).alias("price"), F.col("finished").alias("pedestrian_fatalities"), F.col("opened").alias("pedestrian_injured")
+    )
+    place = F.when(F.col("price").between(-99.5, 99.5), F.lit(0.0)).otherwise(F.lit(91.0))
+    found = events.summarise(rows.select("*", place.alias("latitude"), F.lit(0.0).alias("longitude")))
+    return found.withColumnsRenamed({"valid_coordinate_rows": "valid_rows", "pedestrian_fatalities": "finished", "pedestrian_injured": "opened"})
 
 
 @query
@@ -64,7 +74,7 @@ def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def semi_join_orders(spark: SparkSession, d: str) -> DataFrame:
     returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(returned, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return events.involving(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), returned, "o_orderkey")
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -114,28 +124,26 @@ def risk_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def risk_overview(spark: SparkSession, d: str) -> DataFrame:
-    return _map(spark, d).groupBy("period_id").agg(F.count("*").alias("areas"), F.round(F.avg("value"), 6).alias("average_value"))
+    return risk.average(_map(spark, d), by=("period_id",)).withColumn("average_value", F.round("average_value", 6))
 
 
 @query
 def unit_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The first two units, which a comparison starts from."""
-    return _units(spark, d).orderBy("ordinal").limit(2)
+    return risk.first_units(_units(spark, d))
 
 
 @query
 def selection_carry_over(spark: SparkSession, d: str) -> DataFrame:
     """For each period the selected unit, or the first where it is gone."""
     items = _map(spark, d).where(F.col("value") > 0.4)
-    first = F.row_number().over(Window.partitionBy("period_id").orderBy((F.col("spatial_unit_id") == "5").desc(), "ordinal"))
-    return items.withColumn("rank", first).where("rank = 1").select("period_id", "spatial_unit_id", "value")
+    return risk.keep_selection(items, "5", ("period_id",)).select("period_id", "spatial_unit_id", "value")
 
 
 @query
 def period_exists(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([("click",), ("purchase",), ("no-such-period",)], "period_id string")
-    known = _periods(spark, d).withColumn("known", F.lit(True))
-    return asked.join(known, "period_id", "left").select("period_id", F.coalesce("known", F.lit(False)).alias("known"))
+    return risk.known(asked, _periods(spark, d), "period_id")
 
 
 @query
@@ -160,36 +168,36 @@ def registry_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def inventory_status(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels")
-    found = docs.join(labels, "doc_id", "left")
-    return found.select("doc_id", "source", F.when(F.col("quality").isNull(), "missing").otherwise("available").alias("status"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"))
+    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality")
+    found = registry.matched(docs, labels, "doc_id")
+    return found.select("doc_id", "source", "status", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"))
 
 
 @query
 def header_top1(spark: SparkSession, d: str) -> DataFrame:
     """The longest turn of each conversation, the earliest of equals."""
-    turns = table(spark, d, "conversations")
-    best = F.max_by(F.struct("turn", "role"), F.struct(F.length("text"), -F.col("turn")))
-    return turns.groupBy("conv_id").agg(best.alias("b"), F.max(F.length("text")).alias("score")).select("conv_id", "b.turn", "b.role", "score")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("length"))
+    return registry.best_row(turns, ["conv_id"], F.col("length"), "turn").select("conv_id", "turn", "role", "score")
 
 
 @query
 def header_rows(spark: SparkSession, d: str) -> DataFrame:
     """The lines of each document as a sheet: the row with most cells."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("i < 25")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = registry.first_rows(lines, "i", 25)
     sheet = lines.select(F.col("doc_id").alias("sheet_order"), F.col("doc_id").cast("string").alias("sheet"), (F.col("i") + 1).alias("row_index"), F.split("line", ",").alias("cells"), F.lit(40).alias("last_row"))
     return registry.header_rows(sheet).select("name", "rows", "header_row", F.size("columns").alias("n_columns"), F.array_join("columns", "|").alias("columns"))
 
 
 @query
 def prefix_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("turn < 3").select("conv_id", "turn", "role")
+    return registry.first_rows(table(spark, d, "conversations"), "turn", 3).select("conv_id", "turn", "role")
 
 
 @query
 def last_wins(spark: SparkSession, d: str) -> DataFrame:
-    last = F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id"))
-    return table(spark, d, "events").groupBy("user_id").agg(last.alias("e")).select("user_id", "e.*")
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return registry.last_wins(rows, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query
@@ -288,7 +296,7 @@ def profile_minmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def profile_samples(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d, "customer", _CUSTOMER, "c_custkey").select("name", F.array_join("sample_values", "|").alias("sample_values")).where("name <> 'c_acctbal'")
+    return _profile(spark, d, "customer", _CUSTOMER, "c_custkey").select("name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
 @query
@@ -306,29 +314,223 @@ def coordinate_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def temporal_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d, "events", _EVENT, "event_id").where("inferred_type = 'datetime'").select("pos", "name").orderBy("pos")
+    return profile.temporal(_profile(spark, d, "events", _EVENT, "event_id")).select("pos", "name")
 
 
 @query
 def profile_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """The per-column and temporal warnings of the events table."""
+    """The per-column warnings of the events table."""
     rows = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 5 < 3, F.lit(None)).otherwise(F.col("value")))
     found = profile.column_profiles(rows, _EVENT, "event_id", cap=500)
-    name = _names(found, _EVENT)
-    messages = F.array_compact(
-        F.array(
-            F.when(F.col("null_pct") >= 50, F.concat(F.lit("Column '"), name, F.lit("' is at least 50% null."))),
-            F.when(F.col("unique_count_is_capped"), F.concat(F.lit("Column '"), name, F.lit("' unique count reached the tracking cap (500)."))),
-        )
-    )
+    messages = profile.column_messages(_names(found, _EVENT), F.col("null_pct"), F.col("unique_count_is_capped"), 500)
     return found.select("pos", F.posexplode(messages).alias("k", "message")).orderBy("pos", "k")
 
 
 @query
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size_bytes"))
+    return files.content_digests(table(spark, d, "documents").select("doc_id", "text"), "text").withColumn("size_bytes", F.col("size_bytes").cast("int"))
 
 
 @query
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    return table(spark, d, "events").select("event_id", registry.field(F.col("props"), "k", "int").alias("k"))
+
+
+def _crashes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as crash records by header key: cells of every kind, some blank, some columns not there."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    typed_day, typed_time = k % 3 == 1, k % 2 == 1
+    cells = {
+        "CODIGO SINIESTRO": F.when(k % 10 == 0, "  ").otherwise(F.concat(F.lit(" LIMA-"), k.cast("string"), F.lit(" "))),
+        "FECHA SINIESTRO": F.when(k % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(typed_day, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).otherwise("s/f"),
+        "HORA SINIESTRO": F.when(typed_time, "07:08:09.5").otherwise(" 08:30 "),
+        "DEPARTAMENTO": F.when(F.col("o_custkey") % 5 == 0, "CALLAO").when(F.col("o_custkey") % 2 == 0, " LÍMA ").otherwise("Lima"),
+        "PROVINCIA": F.lit("lima"),
+        "DISTRITO": F.concat(F.lit(" "), F.replace("o_orderpriority", F.lit("-"), F.lit(" -  "))),
+        "COORDENADAS LATITUD": F.when(k % 7 == 0, "n/d").otherwise((F.col("o_totalprice") / 4000).cast("string")),
+        "COORDENADAS LONGITUD": F.lit(" -77.5 "),
+        "CANTIDAD DE FALLECIDOS": F.concat((k % 4).cast("string"), F.lit(".7")),
+        "CANTIDAD DE LESIONADOS": (k % 3).cast("string"),
+        "CANTIDAD DE VEHICULOS DANADOS": F.lit(" x "),
+        DATES: F.when(typed_day, F.array(F.lit("FECHA SINIESTRO"))),
+        TIMES: F.when(typed_time, F.array(F.lit("HORA SINIESTRO"))),
+    }
+    return table(spark, d, "orders").select(*[c.alias(n) for n, c in cells.items()])
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as the people of the crashes."""
+    cells = {
+        "CODIGO SINIESTRO": F.concat(F.lit("LIMA-"), F.col("l_orderkey").cast("string")),
+        "DEPARTAMENTO": F.lit("LIMA"),
+        "PROVINCIA": F.when(F.col("l_linenumber") == 5, "CALLAO").otherwise(" Lima"),
+        "TIPO PERSONA": F.when(F.col("l_returnflag") == "R", "Peatón").otherwise("CONDUCTOR"),
+        "GRAVEDAD": F.when(F.col("l_linestatus") == "F", "Fallecido").otherwise("LESIONADO"),
+    }
+    return table(spark, d, "lineitem").select(*[c.alias(n) for n, c in cells.items()])
+
+
+def _built(spark: SparkSession, d: str, ordered: bool = False) -> DataFrame:
+    return events.build_events(_crashes(spark, d), _people(spark, d), ordered)
+
+
+@query
+def event_build(spark: SparkSession, d: str) -> DataFrame:
+    """The event table's 29 columns in its order of three keys."""
+    return _built(spark, d, True)
+
+
+@query
+def event_build_summary(spark: SparkSession, d: str) -> DataFrame:
+    return events.summarise(_built(spark, d))
+
+
+@query
+def event_build_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return events.by_year(_built(spark, d))
+
+
+@query
+def pedestrian_counts(spark: SparkSession, d: str) -> DataFrame:
+    return events.pedestrian_counts(_people(spark, d))
+
+
+@query
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of the events as cells typed as a moment, as a time, or not at all."""
+    k, ts = F.col("event_id") % 3, F.col("ts")
+    raw = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(ts, "HH:mm:ss")).otherwise(F.date_format(ts, " HH:mm  "))
+    return table(spark, d, "events").select("event_id", dates.iso_time(raw, k == 0, k == 1).alias("time"))
+
+
+@query
+def date_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Moments with offsets, which are dropped and not converted."""
+    k, ts = F.col("event_id") % 4, F.col("ts")
+    tail = F.when(k == 0, "Z").when(k == 1, "+05:30").when(k == 2, "-0800").otherwise("")
+    raw = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), tail)
+    return table(spark, d, "events").select("event_id", F.date_format(dates.parse_datetime_full(raw), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+@query
+def registry_json(spark: SparkSession, d: str) -> DataFrame:
+    """Registry files, one a region, whose sources are its nations; of equal ids in a file the last entry holds."""
+    entry = F.struct(*[F.col("n_name").alias("id"), *[F.lit("x").alias(n) for n in ("role", "published")], F.concat(F.col("n_name"), F.lit('"é.xlsx')).alias("filename"), *[F.lit("").alias(n) for n in ("url", "scope", "purpose")]])
+    listed = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("s")))).alias("all"))
+    texts = listed.select(F.to_json(F.struct(F.transform("all", lambda x: x["s"]).alias("sources"))).alias("value"))
+    return registry.parsed(texts).select("pos", "id", "filename")
+
+
+@query
+def registry_all(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in registry in its order, with the length of each address."""
+    return registry.registry(spark).select("pos", "id", "role", "published", "filename", F.length("url").alias("url_length"))
+
+
+@query
+def risk_service(spark: SparkSession, d: str) -> DataFrame:
+    """What the interface answers for the map of one period of the catalog."""
+    return risk.Service(spark).risk_map("period-b")
+
+
+@query
+def risk_service_body(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies that the interface answers with, as JSON."""
+    s = risk.Service(spark)
+    found = [("health", s.body(s.health())), ("metadata", s.body(s.model_metadata())), ("risk", s.body(s.risk("area-a", "period-a"))), ("periods", s.body(s.periods()))]
+    return spark.createDataFrame(found, "operation string, body string")
+
+
+class _ByLength:
+    """A provider in place of the default one."""
+
+    provider, model_version, dataset_version, description = "by-length", "1", "none", "Scores by the length of a unit's name."
+
+    def score(self, unit: Column, period: Column) -> Column:
+        return F.when(period != "error", F.round(F.length(unit) / 100, 2))
+
+
+@query
+def risk_provider(spark: SparkSession, d: str) -> DataFrame:
+    named = _units(spark, d).withColumn("spatial_unit_id", F.col("name"))
+    return risk.risk_map(named, _periods(spark, d), _ByLength()).select("spatial_unit_id", "period_id", "value", "provider", "model_version", "dataset_version")
+
+
+@query
+def coordinate_names(spark: SparkSession, d: str) -> DataFrame:
+    """The coordinate columns of tables with one more column each, and header names for comparison."""
+    headers = ["id", " LATITÚD ", "Lon", "lat", "LONGITUD", "Straße", "Nº ÇA"]
+    found = [(n, *profile.coordinate_columns(headers[:n]), header_name(headers[n - 1])) for n in range(1, len(headers) + 1)]
+    return spark.createDataFrame(found, "columns int, latitude int, longitude int, last_name string")
+
+
+@query
+def shown_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as a report shows them, of every balance."""
+    shown = F.udf(lambda x: profile.shown_number(x), "string")
+    return table(spark, d, "customer").select("c_custkey", shown(F.when(F.col("c_custkey") % 2 == 0, F.floor("c_acctbal").cast("double")).otherwise(F.col("c_acctbal"))).alias("shown"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _local(path: str) -> Path:
+    """A path that the driver itself opens, as a single-file sink needs."""
+    return Path(path.removeprefix("file:"))
+
+
+@query
+def csv_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the nations' file: quotes only where needed, nulls as empty fields, doubles as Python prints them."""
+    path = _local(_scratch(spark, "nations"))
+    value = F.when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey") / 8).when(F.col("n_nationkey") % 3 == 2, 1e-7)
+    rows = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ', "x"').otherwise("")).alias("name"), value.alias("v"))
+    sinks.write_csv(rows, path)
+    lines = path.read_bytes().decode().split("\r\n")[:-1]  # the table has 25 rows at every size
+    path.unlink()
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def _customer_file(spark: SparkSession, d: str) -> str:
+    """Customers as one delimited file with blank lines, repeated rows and rows of too many fields; its folder."""
+    k = F.col("c_custkey")
+    segment = F.when(k % 3 == 0, F.lit(" N/A ")).otherwise(F.concat(F.lit('"'), "c_mktsegment", F.lit(';"')))
+    fields = (k.cast("string"), F.col("c_name"), F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (k % 2000).cast("int")), "dd/MM/yyyy"), (F.col("c_acctbal") / 50).cast("string"), (F.col("c_nationkey") * 20 - 180).cast("string"), segment)
+    line = F.concat(F.concat_ws(";", *fields), F.when(k % 100 == 7, ";more;and more").when(k % 100 == 9, "\n").otherwise(""))
+    twice = F.explode(F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("i")
+    lines = table(spark, d, "customer").select(k.alias("k"), twice, line.alias("line"))
+    lines = lines.union(spark.createDataFrame([(-1, 0, "id;name;since; LATITÚD ;Lon;segment")], "k long, i int, line string"))
+    folder = _scratch(spark, "customers")
+    lines.coalesce(1).sortWithinPartitions("k", "i").select("line").write.text(folder)
+    return folder
+
+
+@query
+def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a delimited file as scanned: delimiter found, fields beyond the header left out."""
+    found = delimited.scan(spark, _customer_file(spark, d))
+    return found.rows.select(F.lit(found.delimiter).alias("delimiter"), *[F.col(f"c{i}").alias(n) for i, n in enumerate(("id", "name", "since", "lat", "lon", "segment"))])
+
+
+@query
+def csv_malformed(spark: SparkSession, d: str) -> DataFrame:
+    found = delimited.scan(spark, _customer_file(spark, d))
+    return spark.createDataFrame([(found.rows.count(), delimited.malformed(found))], "row_count long, malformed_count long")
+
+
+@query
+def profile_report(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of a delimited file's report."""
+    report = profile.profile_file(spark, _customer_file(spark, d))
+    columns = [(r["name"], r["inferred_type"], r["non_null_count"], r["null_count"], r["null_pct"], r["unique_count"], r["parse_success_pct"], r["minimum"], r["maximum"], "|".join(r["sample_values"])) for r in report["columns"]]
+    return spark.createDataFrame(columns, "name string, inferred_type string, non_null_count long, null_count long, null_pct double, unique_count long, parse_success_pct double, minimum string, maximum string, sample_values string")
+
+
+@query
+def profile_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What a delimited file's report says of the whole file."""
+    r = profile.profile_file(spark, _customer_file(spark, d))
+    c = r["coordinate_profile"]
+    row = (r["delimiter"], r["row_count"], r["column_count"], r["duplicate_row_count"], r["duplicate_row_pct"], c["latitude_column"], c["longitude_column"], c["paired_non_null_count"], c["valid_coordinate_count"], c["valid_coordinate_pct"], "|".join(r["temporal_candidates"]), "|".join(r["warnings"]))
+    return spark.createDataFrame([row], "delimiter string, row_count long, column_count long, duplicate_row_count long, duplicate_row_pct double, latitude_column string, longitude_column string, paired long, valid long, valid_pct double, temporal string, warnings string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from dataclasses import dataclass
@@ -12,26 +13,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 SNIFFED = 8192
+HEADER_CHARS = 1 << 20
 #: Messages for files that can't be read.
 NO_HEADER, REPEATED_HEADER = "CSV has no header row", "CSV contains duplicate header names"
 CORRUPT, ORDINAL = "__corrupt", "__ordinal"
 
 
-def sniff(path: str | Path, encoding: str = "utf-8-sig") -> str:
+def _head(path: str | Path, encoding: str, spark: SparkSession | None, n: int) -> str:
+    """The first characters of a file from its first 4 * n bytes; without a session the file is the driver's own."""
+    if spark is not None:
+        data = files.head(spark, path, 4 * n)
+    else:
+        with open(path, "rb") as f:
+            data = f.read(4 * n)
+    text = codecs.getincrementaldecoder(encoding)().decode(data)
+    return text[:n]
+
+
+def sniff(path: str | Path, encoding: str = "utf-8-sig", spark: SparkSession | None = None) -> str:
     """The delimiter of a file by its first characters; a comma where nothing speaks for another."""
-    with open(path, encoding=encoding, newline="") as f:
-        head = f.read(SNIFFED)
+    head = _head(path, encoding, spark, SNIFFED)
     try:
         return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter if head else ","
     except csv.Error:
         return ","
 
 
-def header(path: str | Path, delimiter: str, encoding: str = "utf-8-sig") -> list[str]:
-    """The header's names; raises ValueError if there is none or a name repeats."""
-    with open(path, encoding=encoding, newline="") as f:
-        names = next((row for row in csv.reader(f, delimiter=delimiter) if row), [])
+def header(path: str | Path, delimiter: str, encoding: str = "utf-8-sig", spark: SparkSession | None = None) -> list[str]:
+    """The header's names; raises ValueError if there is none or a name repeats. Headers are under HEADER_CHARS characters."""
+    head = _head(path, encoding, spark, HEADER_CHARS)
+    names = next((row for row in csv.reader(io.StringIO(head, newline=""), delimiter=delimiter) if row), [])
     if not names:
         raise ValueError(NO_HEADER)
     if len(set(names)) < len(names):
@@ -60,16 +74,18 @@ def _too_long(delimiter: str, n: int) -> Column:
     return longer(F.col(CORRUPT))
 
 
-def scan(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig") -> Table:
-    """A file's rows as texts (missing fields are null), with ORDINAL in file order and CORRUPT on odd rows."""
-    if not Path(path).is_file():
-        raise FileNotFoundError(path)
-    delimiter = delimiter or sniff(path, encoding)
-    names = header(path, delimiter, encoding)
+def scan(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig", broken_lines: bool = True) -> Table:
+    """A file's rows as texts (missing fields are null), with ORDINAL in file order and CORRUPT on odd rows.
+
+    Fields may hold quoted line breaks, for which one task reads the file; where they don't, `broken_lines` = False
+    lets Spark split it. Any path that Spark reads; a folder must hold one file.
+    """
+    delimiter = delimiter or sniff(path, encoding, spark)
+    names = header(path, delimiter, encoding, spark)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
     rows = (
         spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
-        .options(header=True, multiLine=True, sep=delimiter, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        .options(header=True, multiLine=broken_lines, sep=delimiter, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
         .option("encoding", "UTF-8" if encoding.lower().replace("_", "-") in ("utf-8-sig", "utf-8", "utf8") else encoding)
         .option("maxCharsPerColumn", -1)
         .csv(str(path))
@@ -80,5 +96,6 @@ def scan(spark: SparkSession, path: str | Path, delimiter: str | None = None, en
 
 def malformed(table: Table) -> int:
     """Rows with more fields than the header."""
-    odd = table.rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    return odd.where(_too_long(table.delimiter, len(table.names))).count()
+    # Spark reads no file for its corrupt records alone, so a field is looked at too.
+    odd = F.col(CORRUPT).isNotNull() & (F.coalesce(F.length("c0"), F.lit(0)) >= 0)
+    return table.rows.select("c0", CORRUPT).where(odd).where(_too_long(table.delimiter, len(table.names))).count()
