@@ -28,41 +28,56 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
-def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+#: Removes the shuffle files of a query that is done; what `written` and `bucketed` make is read from the shared folder.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of n rows for what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def tune(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of n rows for what runs inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it again; cuts the lineage there. Gives the path too."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _WRITTEN[path] = None
-    df.write.option("compression", codec).parquet(path)
+    with setting(spark, _CLEAN_UP, "true"):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd") -> DataFrame:
+def bucketed_at(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Like written, as a table bucketed by a column, which later groups by it needn't shuffle."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     _WRITTEN[path] = name
-    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(name)
-    return spark.table(name)
+    with setting(spark, _CLEAN_UP, "true"):
+        df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name), path
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd") -> DataFrame:
+    """`bucketed_at` without the path."""
+    return bucketed_at(df, name, buckets, column, codec)[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:

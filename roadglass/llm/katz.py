@@ -1,18 +1,24 @@
-"""Katz backoff over words: Good-Turing discounted unigrams and bigrams, exactly normalised.
+"""Katz backoff over words: Good-Turing discounted n-grams of up to three words, exactly normalised.
 
-P(v|u) is the discounted relative frequency where the bigram was seen in training, else alpha(u) * P(v);
-P(v) is the discounted frequency of a known word, and the mass that discounting frees is the unknown
-word's. alpha(u) spreads exactly the mass that u's seen bigrams leave over the words not seen after u.
-A context whose counts are all too high to be discounted counts one observation more, so that it leaves mass.
+P(w|u v) is the discounted relative frequency where the trigram was seen in training, else alpha(u v) * P(w|v)
+where the context u v was seen, else P(w|v); P(w|v) is the same one word shorter, and P(w) the discounted
+frequency of a known word; the mass that discounting frees there is the unknown word's. alpha spreads exactly
+the mass that a context's seen n-grams leave over the words not seen after it. A context whose counts are all
+too high to be discounted counts one observation more, so that it leaves mass. A document's first token has
+the start mark as its only context, its second the mark and the first.
 
 How it is distributed. Blocks of documents keep their token sequences as places in their own word lists
-(one table in the shared folder, bucketed by block, so reading it needs no shuffle). Word lists and then
-lists of distinct bigrams are packed by bucket of their hash, merged where all blocks' lists of a bucket
-meet, and answered to the blocks: words by a number in the order of their counts, bigrams by their counts,
-contexts by their backoff weights. All bigrams of a context share a bucket, so its weight is found there;
-only contexts of more than N / (HOT * buckets) tokens are split by the second word, and their sums (at
-most HOT * buckets rows) go round by the driver. So does the table of distinct counts, at most
-sqrt(2 * N) rows. Nothing else that grows with the corpus leaves the executors.
+(one table in the shared folder, bucketed by block, so reading it needs no shuffle). Word lists, then lists
+of distinct bigrams, then of distinct trigrams are packed by bucket of their context's hash, merged where all
+blocks' lists of a bucket meet, and answered to the blocks: words by a number in the order of their counts,
+n-grams by their counts, contexts by their backoff weights. A trigram carries the count of its last two words,
+which its block has from the answers before, so a bucket needs no other table. There are as many buckets as
+the corpus has BUCKET_CHARS characters, so what one task holds stays the same at every size.
+
+All n-grams of a context share a bucket, so its weight is found there. Contexts of more than SPLIT tokens are
+split by their next word; their sums are added up by a groupBy and joined to the context's home bucket, which
+each block asks for the weight alone. Only the table of distinct word counts goes through the driver, at most
+sqrt(2 * N) rows.
 
 Words are told apart by 64-bit hashes. Null and empty texts hold the end token only. Repeated rows and ids
 are counted and scored row by row; null ids are in the fold of the text "null". An empty table gives no
@@ -30,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucketed, tune, written
+from ._common import bucketed, bucketed_at, drop, tune, written
 from ._text import batch_words, mix
 from .bpe import pack, unpack
 
@@ -38,10 +44,13 @@ from .bpe import pack, unpack
 MAX_DISCOUNTED = 5
 #: Characters after which a block is closed. With more memory a larger block shuffles fewer words and bigrams.
 BLOCK_CHARS = 8_000_000
-#: Characters of a block for each bucket at least, so that a packed row holds some hundreds of bigrams.
-BUCKET_CHARS = 4_000
-HOT = 50
-END, START, UNKNOWN = np.uint64(0xE5D), np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
+#: Characters of the corpus for each bucket, and partitions that buckets are dealt to at most.
+BUCKET_CHARS = 8_000_000
+MAX_PARTITIONS = 20_000
+#: Tokens of a context beyond which its n-grams are split over the buckets.
+SPLIT = 200_000
+#: Numbers that stand for no word: the question for a context's weight alone, the start mark, unknown words.
+END, NONE, START, UNKNOWN = np.uint64(0xE5D), np.uint32(0xFFFFFFFD), np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
 
 
 def _z(a: np.ndarray) -> bytes:
@@ -75,7 +84,9 @@ def discounts(n: list[int]) -> np.ndarray:
 class Words:
     """What the driver knows of the words: distinct counts from high to low with the first number of each, and the discounts."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, buckets: int):
+    docs = 0  # training documents
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.counts, self.first = counts, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.total, self.distinct = int((counts * sizes).sum()), int(sizes.sum())
         by = dict(zip(counts.tolist(), sizes.tolist()))
@@ -85,8 +96,6 @@ class Words:
         self.p[-1] = 1.0 if not self.total else max(1 - float((mass * sizes).sum()) / self.total, 0.0)
         if self.total and self.p[-1] <= 0:  # no count is low enough to be discounted
             self.p = np.append(counts / (self.total + 1), 1 / (self.total + 1))
-        #: Contexts whose number is below this are split.
-        self.hot = int(sizes[counts * HOT * buckets > self.total].sum())
 
     def at(self, number: np.ndarray) -> np.ndarray:
         """Place in `counts` of a word's number; the unknown word's is one past the end."""
@@ -181,197 +190,301 @@ def _numbered(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": 1, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": rows["n"].to_numpy(), "data": data, "more": None})
 
 
-def _tokens(row, answers: pd.DataFrame):
-    """A block's doc ids (null: masked), sizes, training marks, and its tokens' and contexts' numbers."""
-    bucket = _u(row["places"], np.uint32)
-    place = np.argsort(bucket, kind="stable")
-    number = np.empty(len(bucket), np.uint32)
-    answers = answers.sort_values("bucket")
-    number[place] = np.concatenate([_u(d, np.uint32) for d in answers["data"]])
-    meta = zstandard.decompress(row["meta"])
-    n = int(np.frombuffer(meta, np.int64, 1)[0])
-    ids, sizes = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.int64, n, 8 + 8 * n)
-    train, known = np.frombuffer(meta, np.uint8, n, 8 + 16 * n) == 1, np.frombuffer(meta, np.uint8, n, 8 + 17 * n) == 1
-    v = number[unpack(zstandard.decompress(row["seq"]))]
-    u = np.empty_like(v)
-    u[1:] = v[:-1]
-    u[np.cumsum(sizes) - sizes] = START
-    return ids, known, sizes, train, u, v
-
-
-def _buckets(u: np.ndarray, v: np.ndarray, words: Words, buckets: int) -> np.ndarray:
-    split = (u < words.hot) | (u == START)
-    with np.errstate(over="ignore"):
-        h = mix(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(split, v.astype(np.uint64) + np.uint64(1), np.uint64(0)))
-    return (h % np.uint64(buckets)).astype(np.uint32)
+class Block:
+    """A block's documents and tokens: numbers, and the number before each (the start mark at a document's first)."""
 
+    def __init__(self, row, numbers: pd.DataFrame):
+        bucket = _u(row["places"], np.uint32)
+        place = np.argsort(bucket, kind="stable")
+        number = np.empty(len(bucket), np.uint32)
+        number[place] = np.concatenate([_u(d, np.uint32) for d in numbers.sort_values("bucket")["data"]])
+        meta = zstandard.decompress(row["meta"])
+        n = int(np.frombuffer(meta, np.int64, 1)[0])
+        self.ids, self.sizes = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.int64, n, 8 + 8 * n)
+        self.train, self.known = np.frombuffer(meta, np.uint8, n, 8 + 16 * n) == 1, np.frombuffer(meta, np.uint8, n, 8 + 17 * n) == 1
+        self.word = number[unpack(zstandard.decompress(row["seq"]))]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[self.first] = START
+        self.taught = np.repeat(self.train, self.sizes)
 
-def _pairs(u: np.ndarray, v: np.ndarray, words: Words, buckets: int):
-    """Distinct pairs of known contexts in order of bucket, first and second word; the pair of each such token; which tokens those are."""
-    some = np.flatnonzero(u != UNKNOWN)
-    key, inverse = np.unique(u[some].astype(np.uint64) << np.uint64(32) | v[some].astype(np.uint64), return_inverse=True)
-    a, b = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    bucket = _buckets(a, b, words, buckets)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return a[order], b[order], bucket[order], rank[inverse], some
 
+class Grams:
+    """A block's distinct n-grams of one order, in order of bucket and context.
 
-def _asked(words, buckets: int):
-    """A block's distinct pairs with their training counts, packed by bucket."""
+    tokens: those that have such an n-gram; context: a number below 2**32 of each one's context in the block;
+    columns: the context's words, of each; total: training tokens of the context, of each.
+    """
 
-    def ask(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(blocks):
-            row = blocks.iloc[0]
-            _, _, sizes, train, u, v = _tokens(row, answers)
-            a, b, bucket, pair, some = _pairs(u, v, words.value, buckets)
-            counts = np.bincount(pair[np.repeat(train, sizes)[some]], minlength=len(a)).astype(np.uint32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else [0]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                first = np.concatenate([[0], np.flatnonzero(np.diff(a[x:y])) + 1])
-                lead, runs = np.diff(a[x:y][first], prepend=np.uint32(0)), np.diff(first, append=y - x)
-                seconds = b[x:y]
-                planes = np.stack([(seconds >> np.uint32(s)).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes()
-                lengths = pack(runs.astype(np.uint32))
-                blob = np.array([len(first), y - x], np.int64).tobytes() + lead.astype(np.uint32).tobytes() + lengths + planes
-                rows.append((int(row["block"]), int(bucket[x]), zstandard.compress(blob, 3), zstandard.compress(pack(counts[x:y]), 3), len(lengths)))
-        return pd.DataFrame(rows, columns=["block", "bucket", "data", "counts", "size"])
+    def __init__(self, tokens: np.ndarray, context: np.ndarray, columns: list[np.ndarray], word: np.ndarray, total: np.ndarray, buckets: int, split: int):
+        self.tokens, self.total, n = tokens, total, len(tokens)
+        hot = total > split
+        asked, at = np.unique(context[hot], return_index=True)
+        key = np.concatenate([context.astype(np.uint64) << np.uint64(32) | word, asked.astype(np.uint64) << np.uint64(32) | NONE])
+        source = np.concatenate([np.arange(n), np.flatnonzero(hot)[at]])
+        key, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        source, word = source[one], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        spread = hot[source] & (word != NONE)
+        bucket = home(_key([c[source] for c in columns]), buckets, np.where(spread, word.astype(np.uint64) + np.uint64(1), np.uint64(0)))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.bucket, self.word, self.hot = bucket[order], word[order], hot[source][order]
+        self.columns = [c[source[order]] for c in columns]
+        own = context[source[order]]
+        self.starts = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(self.bucket) != 0)])) if len(own) else np.zeros(0, np.int64)
+        self.run = np.zeros(len(own), np.int64)
+        self.run[self.starts[1:]] = 1
+        self.run = np.cumsum(self.run)
+        #: The n-gram of each token, and the run that answers for its context.
+        self.gram = rank[inverse[:n]]
+        teller = self.gram.copy()
+        teller[hot] = rank[inverse[n:]][np.searchsorted(asked, context[hot])]
+        self.teller = self.run[teller] if n else teller
+
+    def rows(self, block: int, counts: np.ndarray, lower: np.ndarray | None) -> pd.DataFrame:
+        """The n-grams packed by bucket, with training counts and the counts of what they back off to."""
+        out = []
+        ends = np.append(self.starts[1:], len(self.word))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.bucket)) + 1, [len(self.bucket)]]) if len(self.bucket) else [0]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            a, b = np.searchsorted(self.starts, [x, y])
+            first = self.starts[a:b]
+            runs, hot = pack((ends[a:b] - first).astype(np.uint32)), np.packbits(self.hot[first]).tobytes()
+            blob = np.array([b - a, y - x, len(runs), len(hot)], np.int64).tobytes() + runs + hot + b"".join(_planes(c[first]) for c in self.columns) + _planes(self.word[x:y])
+            more = None if lower is None else zstandard.compress(pack(lower[x:y]), 3)
+            out.append((block, int(self.bucket[x]), zstandard.compress(blob, 3), zstandard.compress(pack(counts[x:y]), 3), more))
+        return pd.DataFrame(out, columns=["block", "bucket", "data", "counts", "lower"])
+
+    def answered(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of the n-grams; weights and marks of the runs."""
+        answers = answers.sort_values("bucket")
+        if not len(answers):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        n = np.concatenate([unpack(zstandard.decompress(d)) for d in answers["data"]]).astype(np.int64)
+        parts = [_u(m, np.float64) for m in answers["more"]]
+        return n, np.concatenate([p[: len(p) // 2] for p in parts]), np.concatenate([p[len(p) // 2 :] for p in parts])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, those of like weight together."""
+    return np.stack([(x >> np.uint32(s)).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes()
+
+
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """The words of a context, one or two, as one number."""
+    out = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        out = out << np.uint64(32) | c
+    return out
 
-    return ask
+
+def home(key: np.ndarray, buckets: int, word: np.ndarray | int = 0) -> np.ndarray:
+    """The bucket of a context, or of its n-gram with a word."""
+    with np.errstate(over="ignore"):
+        return (mix(mix(key) + np.uint64(0x9E3779B97F4A7C15) * word) % np.uint64(buckets)).astype(np.uint32)
 
 
-def _read(data: bytes, counts: bytes, size: int):
-    blob = zstandard.decompress(data)
-    k, n = np.frombuffer(blob, np.int64, 2)
-    a = np.cumsum(np.frombuffer(blob, np.uint32, k, 16), dtype=np.uint32)
-    runs = unpack(blob[16 + 4 * k : 16 + 4 * k + size]).astype(np.int64)
-    planes = np.frombuffer(blob, np.uint8, 4 * n, 16 + 4 * k + size).reshape(4, n).astype(np.uint32)
-    b = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
-    return a, runs, b, unpack(zstandard.decompress(counts)).astype(np.int64)
+def _bigrams(block: Block, words: Words, buckets: int, split: int) -> Grams:
+    """Of all tokens after a known word or the start mark."""
+    some = np.flatnonzero(block.before != UNKNOWN)
+    u = block.before[some]
+    total = np.where(u == START, words.docs, words.count(u))
+    return Grams(some, u, [u], block.word[some], total, buckets, split)
 
 
-def _merged_pairs(rows: pd.DataFrame):
-    """Seen pairs of a bucket as (context << 32 | word), their counts, and each row's (contexts, runs, keys)."""
-    own, keys, counts = [], [], []
-    for data, c, size in zip(rows["data"], rows["counts"], rows["size"]):
-        a, runs, b, n = _read(data, c, size)
-        key = np.repeat(a, runs).astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        own.append((a, runs, key))
-        keys.append(key[n > 0])
-        counts.append(n[n > 0])
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64), own
+def _trigrams(block: Block, two: Grams, n: np.ndarray, buckets: int, split: int) -> Grams:
+    """Of all tokens after two of the same document (or one and the start mark) that training holds together."""
+    gram = np.full(len(block.word), -1, np.int64)
+    gram[two.tokens] = two.gram
+    context = np.full(len(block.word), -1, np.int64)
+    context[1:] = gram[:-1]
+    context[block.first] = -1
+    some = np.flatnonzero(context >= 0)
+    some = some[n[context[some]] > 0]
+    c = context[some]
+    return Grams(some, c.astype(np.uint32), [two.columns[0][c], two.word[c]], block.word[some], n[c], buckets, split)
 
 
-def _sums(key: np.ndarray, counts: np.ndarray, words: Words):
-    """Contexts of the seen pairs, the unigram mass of the words seen after each, and each one's pairs by count 1 to MAX_DISCOUNTED."""
-    a = (key >> np.uint64(32)).astype(np.uint32)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1]) if len(a) else np.zeros(0, np.int64)
-    if not len(a):
-        return a, np.zeros(0), np.zeros((0, MAX_DISCOUNTED))
-    mass = np.add.reduceat(words.p[words.at((key & np.uint64(0xFFFFFFFF)).astype(np.uint32))], first)
-    low = np.stack([np.add.reduceat((counts == r).astype(np.int64), first) for r in range(1, MAX_DISCOUNTED + 1)], 1)
-    return a[first], mass, low
+def _asked(words, buckets: int, split: int, order: int):
+    """A block's distinct n-grams with their training counts, packed by bucket."""
 
+    def ask(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return pd.DataFrame(columns=["block", "bucket", "data", "counts", "lower"])
+        row = blocks.iloc[0]
+        block = Block(row, answers[answers["kind"] == 1])
+        grams, lower = _bigrams(block, words.value, buckets, split), None
+        if order == 3:
+            n, _, extra = grams.answered(answers[answers["kind"] == 2])
+            code = np.zeros(len(block.word), np.uint32)
+            code[grams.tokens] = n[grams.gram] * 2 + extra[grams.teller].astype(np.int64)
+            grams = _trigrams(block, grams, n, buckets, split)
+            lower = np.zeros(len(grams.word), np.uint32)
+            lower[grams.gram] = code[grams.tokens]
+        counts = np.bincount(grams.gram[block.taught[grams.tokens]], minlength=len(grams.word)).astype(np.uint32)
+        return grams.rows(int(row["block"]), counts, lower)
+
+    return ask
 
-def _surveyed(words):
-    """Of a bucket: counts of counts (context null), and the sums of its split contexts."""
+
+class Bucket:
+    """The n-grams of a bucket that training holds, and what each row asked for."""
+
+    def __init__(self, rows: pd.DataFrame, columns: int):
+        keys, runs, words, counts, lower, self.asked = [], [], [], [], [], []
+        for data, c, more in zip(rows["data"], rows["counts"], rows["lower"]):
+            blob = zstandard.decompress(data)
+            k, n, size, bits = np.frombuffer(blob, np.int64, 4)
+            at = 32
+            runs.append(unpack(blob[at : at + size]).astype(np.int64))
+            at += size
+            hot = np.unpackbits(np.frombuffer(blob, np.uint8, bits, at), count=k).astype(bool)
+            at += bits
+            read = []
+            for m in (*[k] * columns, n):
+                planes = np.frombuffer(blob, np.uint8, 4 * m, at).reshape(4, m).astype(np.uint32)
+                read.append(planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24)
+                at += 4 * m
+            keys.append(_key(read[:-1]))
+            words.append(read[-1])
+            counts.append(unpack(zstandard.decompress(c)).astype(np.int64))
+            lower.append(unpack(zstandard.decompress(more)).astype(np.int64) if columns > 1 else None)
+            self.asked.append((hot, runs[-1]))
+        sizes = np.cumsum([len(k) for k in keys])[:-1]
+        self.key, context = np.unique(np.concatenate(keys), return_inverse=True)
+        self.contexts = np.split(context, sizes)
+        own = [np.repeat(c, r).astype(np.uint64) << np.uint64(32) | w for c, r, w in zip(self.contexts, runs, words)]
+        self.grams = own
+        seen = np.concatenate([k[n > 0] for k, n in zip(own, counts)])
+        self.gram, one, at = np.unique(seen, return_index=True, return_inverse=True)
+        self.count = np.bincount(at, weights=np.concatenate([n[n > 0] for n in counts]), minlength=len(self.gram)).astype(np.int64)
+        self.lower = np.concatenate([x[n > 0] for x, n in zip(lower, counts)])[one] if columns > 1 else None
+        self.hot = np.zeros(len(self.key), bool)
+        for c, (hot, _) in zip(self.contexts, self.asked):
+            self.hot[c] |= hot
+
+    def sums(self, words: Words, factors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context: the mass that the shorter model gives to the words seen after it, its n-grams by count 1 to MAX_DISCOUNTED, its tokens."""
+        context, word = (self.gram >> np.uint64(32)).astype(np.int64), (self.gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        if self.lower is None:
+            p = words.p[words.at(word)]
+        else:
+            c, extra = self.lower >> 1, self.lower & 1
+            v = (self.key[context] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            p = discounted(c, factors) / (words.count(v) + extra)
+        n = len(self.key)
+        mass = np.bincount(context, weights=p, minlength=n)
+        low = np.stack([np.bincount(context[self.count == r], minlength=n) for r in range(1, MAX_DISCOUNTED + 1)], 1)
+        return mass, low, np.bincount(context, weights=self.count, minlength=n).astype(np.int64)
+
+
+def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return np.where(counts <= MAX_DISCOUNTED, factors[np.minimum(counts, MAX_DISCOUNTED)], 1.0) * counts
+
+
+_SUMS = [f"l{r}" for r in range(1, MAX_DISCOUNTED + 2)]
+
+
+def _surveyed(words, shorter, columns: int, buckets: int):
+    """Of a bucket: its counts of counts (no context), and the sums of its split contexts with their home buckets."""
 
     def survey(rows: pd.DataFrame) -> pd.DataFrame:
-        w = words.value
-        key, counts, _ = _merged_pairs(rows)
-        a, mass, low = _sums(key, counts, w)
-        hot = (a < w.hot) | (a == START)
-        out = pd.DataFrame({"u": pd.array(a[hot].astype(np.int64), "Int64"), "mass": mass[hot], "low": list(np.pad(low[hot], ((0, 0), (0, 1))))})
-        total = pd.DataFrame({"u": pd.array([None], "Int64"), "mass": [0.0], "low": [np.bincount(counts[counts <= MAX_DISCOUNTED + 1], minlength=MAX_DISCOUNTED + 2)[1:].astype(np.int64)]})
-        return pd.concat([total, out])
+        b = Bucket(rows, columns)
+        mass, low, tokens = b.sums(words.value, shorter and shorter.value)
+        hot = np.flatnonzero(b.hot & (tokens > 0))
+        out = pd.DataFrame(low[hot], columns=_SUMS[:-1]).assign(**{_SUMS[-1]: 0}, mass=mass[hot], tokens=tokens[hot], bucket=home(b.key[hot], buckets).astype(np.int64))
+        out.insert(0, "context", pd.array(b.key[hot].view(np.int64), "Int64"))
+        total = np.bincount(b.count[b.count <= MAX_DISCOUNTED + 1], minlength=MAX_DISCOUNTED + 2)[1:]
+        total = pd.DataFrame([total], columns=_SUMS).assign(context=pd.array([None], "Int64"), mass=0.0, tokens=0, bucket=0)
+        return pd.concat([total[out.columns], out])
 
     return survey
 
 
-def _weights(a: np.ndarray, mass: np.ndarray, low: np.ndarray, total: np.ndarray, factors: np.ndarray):
+def _weights(mass: np.ndarray, low: np.ndarray, total: np.ndarray, factors: np.ndarray):
     """Backoff weights of contexts, and whether each counts one observation more."""
     freed = (low * np.arange(1, MAX_DISCOUNTED + 1) * (1 - factors[1:])).sum(1)
-    extra = freed <= 0
-    left = np.where(extra, 1 / (total + 1), freed / total)
-    return left / np.maximum(1 - mass, 1e-300), extra
-
-
-def _answered(words, bigrams):
-    """Each row's answer: its pairs' counts (0: unseen), and its contexts' backoff weights and marks."""
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        w, (factors, hot) = words.value, bigrams.value
-        key, counts, own = _merged_pairs(rows)
-        a, mass, low = _sums(key, counts, w)
-        total = np.where(a == START, w.docs, w.count(a))
-        alpha, extra = _weights(a, mass, low, np.maximum(total, 1), factors)
-        for i in np.flatnonzero((a < w.hot) | (a == START)).tolist():
-            alpha[i], extra[i] = hot[int(a[i])]
+    extra, total = freed <= 0, np.maximum(total, 1)
+    return np.where(extra, 1 / (total + 1), freed / total) / np.maximum(1 - mass, 1e-300), extra
+
+
+def _answered(words, factors, shorter, columns: int):
+    """Each row's answer: its n-grams' counts (0: unseen), and its contexts' backoff weights and marks."""
+    names = ["kind", "block", "bucket", "n", "data", "more"]
+
+    def answer(rows: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        b = Bucket(rows, columns)
+        mass, low, tokens = b.sums(words.value, shorter and shorter.value)
+        if len(split):  # the whole sums of the contexts that have their home here
+            keys = split["context"].to_numpy(np.int64).view(np.uint64)
+            at = np.minimum(np.searchsorted(b.key, keys), len(b.key) - 1)
+            ok = b.key[at] == keys
+            at = at[ok]
+            mass[at], low[at], tokens[at] = split["mass"].to_numpy(float)[ok], split[_SUMS[:-1]].to_numpy(np.int64)[ok], split["tokens"].to_numpy(np.int64)[ok]
+        alpha, extra = _weights(mass, low, tokens, factors.value)
+        alpha, extra = np.where(tokens > 0, alpha, 1.0), extra & (tokens > 0)
         data, more = [], []
-        for ctx, runs, keys in own:
-            at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
-            n = np.where(key[at] == keys, counts[at], 0) if len(key) else np.zeros(len(keys), np.int64)
-            k = np.minimum(np.searchsorted(a, ctx), max(len(a) - 1, 0))
-            seen = a[k] == ctx if len(a) else np.zeros(len(ctx), bool)
-            weight = np.where(seen, alpha[k], 1.0) if len(a) else np.ones(len(ctx))
-            mark = np.where(seen, extra[k], False) if len(a) else np.zeros(len(ctx), bool)
-            for i in np.flatnonzero(~seen & ((ctx < w.hot) | (ctx == START))).tolist():
-                weight[i], mark[i] = hot.get(int(ctx[i]), (1.0, False))
+        for context, grams, (_, runs) in zip(b.contexts, b.grams, b.asked):
+            at = np.minimum(np.searchsorted(b.gram, grams), max(len(b.gram) - 1, 0))
+            n = np.where(b.gram[at] == grams, b.count[at], 0) if len(b.gram) else np.zeros(len(grams), np.int64)
             missed = np.add.reduceat((n == 0).astype(np.int64), np.cumsum(runs) - runs) > 0
             data.append(zstandard.compress(pack(n.astype(np.uint32)), 3))
-            more.append(_z(np.concatenate([np.where(missed, weight, 0.0), mark.astype(np.float64)])))
-        return pd.DataFrame({"kind": 2, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(k) for _, _, k in own], "data": data, "more": more})
+            more.append(_z(np.concatenate([np.where(missed, alpha[context], 0.0), extra[context].astype(np.float64)])))
+        return pd.DataFrame({"kind": 1 + columns, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(g) for g in b.grams], "data": data, "more": more})
 
     return answer
 
 
-def _scored(words, bigrams, buckets: int):
+def _scored(words, factors, buckets: int, split: int):
     """The documents of one block with their scores."""
     columns = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
 
+    def backed(log: np.ndarray, grams: Grams, answers: pd.DataFrame, factor: np.ndarray) -> np.ndarray:
+        """log10 probabilities of one order from those of the order below; and the counts of the n-grams."""
+        n, weight, extra = grams.answered(answers)
+        if len(grams.tokens):
+            c = n[grams.gram]
+            with np.errstate(divide="ignore"):
+                longer = np.log10(discounted(c, factor)) - np.log10(grams.total + extra[grams.teller])
+                log[grams.tokens] = np.where(c > 0, longer, np.log10(weight[grams.teller]) + log[grams.tokens])
+        return n
+
     def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame(columns=columns)
-        w, (factors, _) = words.value, bigrams.value
-        ids, known, sizes, train, u, v = _tokens(blocks.iloc[0], answers[answers["kind"] == 1])
-        a, b, bucket, pair, some = _pairs(u, v, w, buckets)
-        place = w.at(v)
+        w, block = words.value, Block(blocks.iloc[0], answers[answers["kind"] == 1])
+        place = w.at(block.word)
         c = np.concatenate([w.counts, [0]])[place]
-        logs = np.log10(w.p[place])
-        if len(a):
-            got = answers[answers["kind"] == 2].sort_values("bucket")
-            n = np.concatenate([unpack(zstandard.decompress(d)) for d in got["data"]]).astype(np.int64)
-            parts = [_u(m, np.float64) for m in got["more"]]
-            weight = np.concatenate([p[: len(p) // 2] for p in parts])
-            extra = np.concatenate([p[len(p) // 2 :] for p in parts])
-            ctx = np.cumsum(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(bucket) != 0)])) - 1
-            total = np.where(a == START, w.docs, w.count(a)) + extra[ctx]
-            factor = np.where(n <= MAX_DISCOUNTED, factors[np.minimum(n, MAX_DISCOUNTED)], 1.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.where(n > 0, np.log10(factor * n / total), np.log10(weight[ctx]) + np.log10(w.p[w.at(b)]))
-            logs[some] = value[pair]
+        log = np.log10(w.p[place])
+        two = _bigrams(block, w, buckets, split)
+        n = backed(log, two, answers[answers["kind"] == 2], factors[2].value)
+        backed(log, _trigrams(block, two, n, buckets, split), answers[answers["kind"] == 3], factors[3].value)
         base = np.log10((c + 0.5) / (w.total + 0.5 * (w.distinct + 1)))
-        at = np.cumsum(sizes) - sizes
-        out = {"id": pd.array([i if ok else None for i, ok in zip(ids.tolist(), known)], "Int64"), "train": train, "n_tokens": sizes}
-        out |= {"n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)}
+        out = {"id": pd.array([i if ok else None for i, ok in zip(block.ids.tolist(), block.known)], "Int64"), "train": block.train, "n_tokens": block.sizes}
+        out |= {"n_known": np.add.reduceat((c > 0).astype(np.int64), block.first), "base_score": np.add.reduceat(base, block.first), "score": np.add.reduceat(log, block.first)}
         return pd.DataFrame(out)
 
     return score
 
 
-def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS, split: int = SPLIT) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     `train_from` tells from an array of crc32(id as text) modulo 5 which rows to learn from.
     """
     spark = df.sparkSession
     tune(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(parts, block_chars // BUCKET_CHARS))
+    send = spark.sparkContext.broadcast
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    fold = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null"))) % 5
+    folds = docs.groupBy(fold.alias("f")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()  # at most 5 rows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, sum(r["chars"] for r in folds) // bucket_chars)
+    deals = min(buckets, MAX_PARTITIONS)
     made = docs.mapInPandas(_split(buckets, train_from, block_chars), "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary")
     made = bucketed(made, "lm_blocks", parts, "block")
     lists = made.where("kind = 1").select("block", "bucket", "n", "data", "meta")
@@ -379,36 +492,35 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
 
     histogram, _ = written(lists.groupBy("bucket").applyInPandas(_histogram, "bucket int, c long, n long"), "histogram")
     by_count = histogram.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("c")).collect()  # at most sqrt(2 * N) rows
-    w = Words(np.array([r["c"] for r in by_count], np.int64), np.array([r["n"] for r in by_count], np.int64), buckets)
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    folds = ids.groupBy((F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null"))) % 5).alias("f")).count().collect()
-    w.docs = sum(r["count"] for r in folds if train_from(np.array([r["f"]]))[0])
-    words = spark.sparkContext.broadcast(w)
+    w = Words(np.array([r["c"] for r in by_count], np.int64), np.array([r["n"] for r in by_count], np.int64))
+    w.docs = sum(r["n"] for r in folds if train_from(np.array([r["f"]]))[0])
+    words = send(w)
 
     # The first number of each count in each bucket.
     within = Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = spark.createDataFrame([(int(c), int(f)) for c, f in zip(w.counts, w.first)], "c long, f long")
     starts = histogram.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(first, "c").select("bucket", "c", (F.col("f") + F.col("before")).alias("first"))
     schema = "kind int, block long, bucket int, n int, data binary, more binary"
-    numbers, _ = written(lists.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInPandas(_numbered, schema), "numbers")
-
-    asked = blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(_asked(words, buckets), "block long, bucket int, data binary, counts binary, size int")
-    asked = bucketed(asked.repartition(buckets, "bucket"), "lm_pairs", buckets, "bucket", "lz4")
-    survey, _ = written(asked.groupBy("bucket").applyInPandas(_surveyed(words), "u long, mass double, low array<long>"), "survey")
-    sums = [F.sum(F.col("low")[i]).alias(f"l{i}") for i in range(MAX_DISCOUNTED + 1)]
-    got = {r["u"]: r for r in survey.groupBy("u").agg(F.sum("mass").alias("mass"), *sums).collect()}  # at most HOT * buckets + 2 rows
-    seen = got.pop(None, None)
-    factors = discounts([int(seen[f"l{i}"] or 0) if seen else 0 for i in range(MAX_DISCOUNTED + 1)])
-    hot = {}
-    for u, r in got.items():
-        a, low = np.array([u], np.uint32), np.array([[r[f"l{i}"] for i in range(MAX_DISCOUNTED)]])
-        total = np.array([w.docs]) if u == int(START) else w.count(a)
-        alpha, extra = _weights(a, np.array([r["mass"]]), low, np.maximum(total, 1), factors)
-        hot[u] = (float(alpha[0]), bool(extra[0]))
-    bigrams = spark.sparkContext.broadcast((factors, hot))
-    replies = asked.groupBy("bucket").applyInPandas(_answered(words, bigrams), schema)
-    answers = numbers.unionByName(replies)
+    answers, _ = written(lists.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInPandas(_numbered, schema), "numbers")
+
+    factors: dict = {2: None, 3: None}
+    for order in factors:
+        columns, shorter = order - 1, factors.get(order - 1)
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_asked(words, buckets, split, order), "block long, bucket int, data binary, counts binary, lower binary")
+        asked, asked_path = bucketed_at(asked.repartition(deals, "bucket"), "lm_grams", deals, "bucket")
+        sums = ", ".join(f"{c} long" for c in _SUMS)
+        survey = asked.groupBy("bucket").applyInPandas(_surveyed(words, shorter, columns, buckets), f"context long, {sums}, mass double, tokens long, bucket long")
+        survey, _ = written(survey, "survey")
+        survey = survey.groupBy("context", "bucket").agg(*[F.sum(c).alias(c) for c in [*_SUMS, "mass", "tokens"]])
+        seen = survey.where("context is null").first()
+        factors[order] = send(discounts([int(seen[c] or 0) if seen else 0 for c in _SUMS]))
+        whole = survey.where("context is not null").withColumn("bucket", F.col("bucket").cast("int"))
+        replies = asked.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInPandas(_answered(words, factors[order], shorter, columns), schema)
+        if order == 2:
+            replies, _ = written(replies, "replies")
+            drop(spark, asked_path)
+        answers = answers.unionByName(replies)
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _scored(words, bigrams, buckets), "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+        _scored(words, factors, buckets, split), "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(w.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,20 +9,22 @@ from roadglass.llm import katz
 
 
 def model(docs, train):
-    """The model from plain dictionaries: log10 probability of a word after a context, and what else a row needs."""
+    """The model from plain dictionaries: log10 probability of a word after up to two, and what else a row needs."""
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + ["</s>"]
-    one, two, n_docs = Counter(), Counter(), 0
+    one, two, three, n_docs = Counter(), Counter(), Counter(), 0
     for i, t in docs:
         if train(i):
             w = words(t)
             n_docs += 1
             one.update(w)
             two.update(zip(["<s>", *w[:-1]], w))
+            three.update(zip(["<s>", *w], w, w[1:]))
     total = sum(one.values())
-    counts = Counter(one.values())
-    d1 = katz.discounts([counts[r] for r in range(1, 7)])
-    counts = Counter(two.values())
-    d2 = katz.discounts([counts[r] for r in range(1, 7)])
+    factors = []
+    for grams in (one, two, three):
+        counts = Counter(grams.values())
+        factors.append(katz.discounts([counts[r] for r in range(1, 7)]))
+    d1, d2, d3 = factors
     cut = lambda d, c: d[c] if c <= 5 else 1.0
     p = {w: cut(d1, c) * c / total for w, c in one.items()}
     unknown = 1 - sum(p.values()) if total else 1.0
@@ -33,43 +35,62 @@ def model(docs, train):
         seen[u] += p[v]
         freed[u] += c * (1 - cut(d2, c))
 
-    def logp(u, v):
+    def after_one(u, v):
         if u != "<s>" and u not in one or u == "<s>" and not n_docs:
-            return math.log10(p.get(v, unknown))
+            return p.get(v, unknown)
         extra = freed[u] <= 0
         n = (n_docs if u == "<s>" else one[u]) + extra
         if c := two.get((u, v), 0):
-            return math.log10(cut(d2, c) * c / n)
+            return cut(d2, c) * c / n
         left = 1 / n if extra else freed[u] / n
-        return math.log10(left / (1 - seen[u]) * p.get(v, unknown))
+        return left / (1 - seen[u]) * p.get(v, unknown)
 
-    return words, one, total, logp
+    for (u, v, w), c in three.items():
+        seen[u, v] += after_one(v, w)
+        freed[u, v] += c * (1 - cut(d3, c))
 
+    def logp(context, w):
+        if len(context) < 2 or context not in two:
+            return math.log10(after_one(context[-1], w))
+        extra = freed[context] <= 0
+        n = two[context] + extra
+        if c := three.get((*context, w), 0):
+            return math.log10(cut(d3, c) * c / n)
+        left = 1 / n if extra else freed[context] / n
+        return math.log10(left / (1 - seen[context]) * after_one(context[-1], w))
 
-def check(spark, docs, blocks=katz.BLOCK_CHARS):
+    return words, one, two, total, logp
+
+
+def contexts(w):
+    return [tuple(["<s>", *w][max(0, i - 1) : i + 1]) for i in range(len(w))]
+
+
+def check(spark, docs, blocks=katz.BLOCK_CHARS, **how):
     train = lambda i: zlib.crc32(str("null" if i is None else i).encode()) % 5 != 1
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    rows = katz.score(df, lambda f: f != 1, block_chars=blocks).collect()
-    words, one, total, logp = model(docs, train)
+    rows = katz.score(df, lambda f: f != 1, block_chars=blocks, **how).collect()
+    words, one, two, total, logp = model(docs, train)
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     got = sorted(((r["doc_id"], r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows), key=key)
     want = []
     for i, t in docs:
         w = words(t)
         base = sum(math.log10((one[x] + 0.5) / (total + 0.5 * (len(one) + 1))) for x in w)
-        want.append((i, train(i), len(w), sum(x in one for x in w), total, base, sum(logp(u, v) for u, v in zip(["<s>", *w[:-1]], w))))
+        want.append((i, train(i), len(w), sum(x in one for x in w), total, base, sum(logp(c, x) for c, x in zip(contexts(w), w))))
     want.sort(key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
-    for u in ["<s>", *[w for w in one if w != "</s>"][:5]]:
-        assert sum(10 ** logp(u, v) for v in one) + 10 ** logp(u, "no such word") == pytest.approx(1, abs=1e-9)
+    for c in [("<s>",), *[(w,) for w in one if w != "</s>"][:5], *[c for c in two if c[1] != "</s>"][:8], ("no", "such")]:
+        assert sum(10 ** logp(c, v) for v in one) + 10 ** logp(c, "no such word") == pytest.approx(1, abs=1e-9)
 
 
 def test_documents(spark, sf_documents):
     docs = [(r["doc_id"], r["text"]) for r in sf_documents.collect()]
     check(spark, docs)
     check(spark, docs, 5000)
+    check(spark, docs, 20_000, bucket_chars=20_000, split=50)  # many buckets, most contexts split over them
 
 
 def test_odd(spark, odd, odd_texts):
