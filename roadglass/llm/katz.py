@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bucketed, bucketed_at, drop, tune, written
-from ._text import batch_words, mix
+from ._text import batch_words, distinct, mix
 from .bpe import pack, unpack
 
 #: Counts up to which Good-Turing discounts.
@@ -45,7 +45,7 @@ MAX_DISCOUNTED = 5
 #: Characters after which a block is closed. With more memory a larger block shuffles fewer words and bigrams.
 BLOCK_CHARS = 8_000_000
 #: Characters of the corpus for each bucket, and partitions that buckets are dealt to at most.
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 16_000_000
 MAX_PARTITIONS = 20_000
 #: Tokens of a context beyond which its n-grams are split over the buckets.
 SPLIT = 200_000
@@ -126,7 +126,8 @@ def _split(buckets: int, train_from, block_chars: int):
             known = np.concatenate([h[4] for h in held])
             ids = np.concatenate([h[2] for h in held])
             held.clear()
-            hashes, seq, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            hashes, _, seq = distinct(tokens)
+            n = np.bincount(seq, minlength=len(hashes))
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -191,57 +192,65 @@ def _numbered(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
 
 
 class Block:
-    """A block's documents and tokens: numbers, and the number before each (the start mark at a document's first)."""
+    """A block's documents and tokens.
+
+    numbers: of the block's words by place, and at the end the start mark's; place, before: each token's word and the
+    one before it (the start mark at a document's first), as places.
+    """
 
     def __init__(self, row, numbers: pd.DataFrame):
         bucket = _u(row["places"], np.uint32)
         place = np.argsort(bucket, kind="stable")
-        number = np.empty(len(bucket), np.uint32)
-        number[place] = np.concatenate([_u(d, np.uint32) for d in numbers.sort_values("bucket")["data"]])
+        self.numbers = np.full(len(bucket) + 1, START, np.uint32)
+        self.numbers[place] = np.concatenate([_u(d, np.uint32) for d in numbers.sort_values("bucket")["data"]])
         meta = zstandard.decompress(row["meta"])
         n = int(np.frombuffer(meta, np.int64, 1)[0])
         self.ids, self.sizes = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.int64, n, 8 + 8 * n)
         self.train, self.known = np.frombuffer(meta, np.uint8, n, 8 + 16 * n) == 1, np.frombuffer(meta, np.uint8, n, 8 + 17 * n) == 1
-        self.word = number[unpack(zstandard.decompress(row["seq"]))]
+        self.place = unpack(zstandard.decompress(row["seq"])).astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[self.first] = START
+        self.before = np.empty_like(self.place)
+        self.before[1:] = self.place[:-1]
+        self.before[self.first] = len(bucket)
         self.taught = np.repeat(self.train, self.sizes)
 
 
 class Grams:
     """A block's distinct n-grams of one order, in order of bucket and context.
 
-    tokens: those that have such an n-gram; context: a number below 2**32 of each one's context in the block;
-    columns: the context's words, of each; total: training tokens of the context, of each.
+    tokens: those that have such an n-gram; context: each one's context, as a number below `contexts`; columns: the
+    context's words, by that number; total: training tokens of the context, by that number.
     """
 
-    def __init__(self, tokens: np.ndarray, context: np.ndarray, columns: list[np.ndarray], word: np.ndarray, total: np.ndarray, buckets: int, split: int):
-        self.tokens, self.total, n = tokens, total, len(tokens)
+    def __init__(self, block: Block, tokens: np.ndarray, context: np.ndarray, columns: list[np.ndarray], total: np.ndarray, buckets: int, split: int):
+        self.tokens, n, last = tokens, len(tokens), len(block.numbers)  # the last place asks for a context alone
+        used = np.zeros(len(total), bool)
+        used[context] = True
         hot = total > split
-        asked, at = np.unique(context[hot], return_index=True)
-        key = np.concatenate([context.astype(np.uint64) << np.uint64(32) | word, asked.astype(np.uint64) << np.uint64(32) | NONE])
-        source = np.concatenate([np.arange(n), np.flatnonzero(hot)[at]])
-        key, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-        source, word = source[one], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        spread = hot[source] & (word != NONE)
-        bucket = home(_key([c[source] for c in columns]), buckets, np.where(spread, word.astype(np.uint64) + np.uint64(1), np.uint64(0)))
-        order = np.argsort(bucket, kind="stable")
+        asked = np.flatnonzero(used & hot)
+        key = np.concatenate([context * (last + 1) + block.place[tokens], asked * (last + 1) + last])
+        key, _, inverse = distinct(key, len(total) * (last + 1))
+        own, place = np.divmod(key.astype(np.int64), last + 1)
+        word = np.append(block.numbers, NONE)[place]
+        spread = hot[own] & (word != NONE)
+        bucket = home(_key([c[own] for c in columns]), buckets, np.where(spread, word.astype(np.uint64) + np.uint64(1), np.uint64(0)))
+        order = np.sort(bucket.astype(np.uint64) << np.uint64(32) | np.arange(len(bucket), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+        order = order.astype(np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.bucket, self.word, self.hot = bucket[order], word[order], hot[source][order]
-        self.columns = [c[source[order]] for c in columns]
-        own = context[source[order]]
-        self.starts = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(self.bucket) != 0)])) if len(own) else np.zeros(0, np.int64)
-        self.run = np.zeros(len(own), np.int64)
-        self.run[self.starts[1:]] = 1
-        self.run = np.cumsum(self.run)
-        #: The n-gram of each token, and the run that answers for its context.
-        self.gram = rank[inverse[:n]]
-        teller = self.gram.copy()
-        teller[hot] = rank[inverse[n:]][np.searchsorted(asked, context[hot])]
-        self.teller = self.run[teller] if n else teller
+        #: Places in order of context and word, and the other way.
+        self.sorted, self.rank = order, rank
+        own = own[order]
+        self.bucket, self.word, self.place, self.hot = bucket[order], word[order], place[order], hot[own]
+        self.columns = [c[own] for c in columns]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.starts, self.run = np.flatnonzero(new), np.cumsum(new) - 1
+        #: Of each n-gram: training tokens of its context. Of each token: its n-gram, and the run that answers for its context.
+        self.total, self.gram = total[own], rank[inverse[:n]]
+        home_run = np.full(len(total), -1)
+        home_run[asked] = self.run[rank[inverse[n:]]]
+        self.teller = np.where(hot[own], home_run[own], self.run)
 
     def rows(self, block: int, counts: np.ndarray, lower: np.ndarray | None) -> pd.DataFrame:
         """The n-grams packed by bucket, with training counts and the counts of what they back off to."""
@@ -252,7 +261,7 @@ class Grams:
             a, b = np.searchsorted(self.starts, [x, y])
             first = self.starts[a:b]
             runs, hot = pack((ends[a:b] - first).astype(np.uint32)), np.packbits(self.hot[first]).tobytes()
-            blob = np.array([b - a, y - x, len(runs), len(hot)], np.int64).tobytes() + runs + hot + b"".join(_planes(c[first]) for c in self.columns) + _planes(self.word[x:y])
+            blob = np.array([b - a, y - x, len(runs), len(hot)], np.int64).tobytes() + runs + hot + _planes(np.diff(self.columns[0][first], prepend=np.uint32(0))) + b"".join(_planes(c[first]) for c in self.columns[1:]) + _planes(self.word[x:y])
             more = None if lower is None else zstandard.compress(pack(lower[x:y]), 3)
             out.append((block, int(self.bucket[x]), zstandard.compress(blob, 3), zstandard.compress(pack(counts[x:y]), 3), more))
         return pd.DataFrame(out, columns=["block", "bucket", "data", "counts", "lower"])
@@ -288,23 +297,28 @@ def home(key: np.ndarray, buckets: int, word: np.ndarray | int = 0) -> np.ndarra
 
 def _bigrams(block: Block, words: Words, buckets: int, split: int) -> Grams:
     """Of all tokens after a known word or the start mark."""
-    some = np.flatnonzero(block.before != UNKNOWN)
-    u = block.before[some]
-    total = np.where(u == START, words.docs, words.count(u))
-    return Grams(some, u, [u], block.word[some], total, buckets, split)
+    # Contexts in order of their numbers, so that those of a row lie close together.
+    order = np.argsort(block.numbers)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    total = words.count(block.numbers)
+    total[-1] = words.docs
+    some = np.flatnonzero((block.numbers != UNKNOWN)[block.before])
+    return Grams(block, some, rank[block.before[some]], [block.numbers[order]], total[order], buckets, split)
 
 
 def _trigrams(block: Block, two: Grams, n: np.ndarray, buckets: int, split: int) -> Grams:
     """Of all tokens after two of the same document (or one and the start mark) that training holds together."""
-    gram = np.full(len(block.word), -1, np.int64)
+    gram = np.full(len(block.place), -1, np.int64)
     gram[two.tokens] = two.gram
-    context = np.full(len(block.word), -1, np.int64)
+    context = np.full(len(block.place), -1, np.int64)
     context[1:] = gram[:-1]
     context[block.first] = -1
     some = np.flatnonzero(context >= 0)
-    some = some[n[context[some]] > 0]
-    c = context[some]
-    return Grams(some, c.astype(np.uint32), [two.columns[0][c], two.word[c]], block.word[some], n[c], buckets, split)
+    some = some[n[context[some]] > 0] if len(n) else some
+    # Contexts in order of their words, so that a row's first words are mostly what the one before had.
+    by = two.rank
+    return Grams(block, some, two.sorted[context[some]], [two.columns[0][by], two.word[by]], n[by], buckets, split)
 
 
 def _asked(words, buckets: int, split: int, order: int):
@@ -318,11 +332,12 @@ def _asked(words, buckets: int, split: int, order: int):
         grams, lower = _bigrams(block, words.value, buckets, split), None
         if order == 3:
             n, _, extra = grams.answered(answers[answers["kind"] == 2])
-            code = np.zeros(len(block.word), np.uint32)
-            code[grams.tokens] = n[grams.gram] * 2 + extra[grams.teller].astype(np.int64)
+            code = np.zeros(len(block.place), np.uint32)
+            code[grams.tokens] = (n * 2 + extra[grams.teller].astype(np.int64))[grams.gram]
             grams = _trigrams(block, grams, n, buckets, split)
             lower = np.zeros(len(grams.word), np.uint32)
-            lower[grams.gram] = code[grams.tokens]
+            taught = block.taught[grams.tokens]
+            lower[grams.gram[taught]] = code[grams.tokens[taught]]
         counts = np.bincount(grams.gram[block.taught[grams.tokens]], minlength=len(grams.word)).astype(np.uint32)
         return grams.rows(int(row["block"]), counts, lower)
 
@@ -347,33 +362,35 @@ class Bucket:
                 planes = np.frombuffer(blob, np.uint8, 4 * m, at).reshape(4, m).astype(np.uint32)
                 read.append(planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24)
                 at += 4 * m
-            keys.append(_key(read[:-1]))
+            keys.append(_key([np.cumsum(read[0], dtype=np.uint32), *read[1:-1]]))
             words.append(read[-1])
             counts.append(unpack(zstandard.decompress(c)).astype(np.int64))
             lower.append(unpack(zstandard.decompress(more)).astype(np.int64) if columns > 1 else None)
             self.asked.append((hot, runs[-1]))
-        sizes = np.cumsum([len(k) for k in keys])[:-1]
-        self.key, context = np.unique(np.concatenate(keys), return_inverse=True)
-        self.contexts = np.split(context, sizes)
-        own = [np.repeat(c, r).astype(np.uint64) << np.uint64(32) | w for c, r, w in zip(self.contexts, runs, words)]
-        self.grams = own
-        seen = np.concatenate([k[n > 0] for k, n in zip(own, counts)])
-        self.gram, one, at = np.unique(seen, return_index=True, return_inverse=True)
-        self.count = np.bincount(at, weights=np.concatenate([n[n > 0] for n in counts]), minlength=len(self.gram)).astype(np.int64)
-        self.lower = np.concatenate([x[n > 0] for x, n in zip(lower, counts)])[one] if columns > 1 else None
+        self.key, _, context = distinct(np.concatenate(keys))
+        self.contexts = np.split(context, np.cumsum([len(k) for k in keys])[:-1])
+        word, place = distinct(np.concatenate(words), 1 << 32)[::2]
+        own = np.repeat(context, np.concatenate(runs)) * len(word) + place
+        gram, one, at = distinct(own, len(self.key) * len(word))
+        # Training counts of all n-grams asked for, in the rows' order; then of those that training holds.
+        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(gram)).astype(np.int64)
+        self.answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
+        self.context, place = np.divmod(gram.astype(np.int64)[total > 0], len(word))
+        self.count, self.word = total[total > 0], word[place].astype(np.uint32)
+        self.lower = np.concatenate(lower)[one[total > 0]] if columns > 1 else None
         self.hot = np.zeros(len(self.key), bool)
         for c, (hot, _) in zip(self.contexts, self.asked):
             self.hot[c] |= hot
 
     def sums(self, words: Words, factors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each context: the mass that the shorter model gives to the words seen after it, its n-grams by count 1 to MAX_DISCOUNTED, its tokens."""
-        context, word = (self.gram >> np.uint64(32)).astype(np.int64), (self.gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        context = self.context
         if self.lower is None:
-            p = words.p[words.at(word)]
+            p = words.p[words.at(self.word)]
         else:
             c, extra = self.lower >> 1, self.lower & 1
-            v = (self.key[context] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            p = discounted(c, factors) / (words.count(v) + extra)
+            v = words.count((self.key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            p = discounted(c, factors) / (v[context] + extra)
         n = len(self.key)
         mass = np.bincount(context, weights=p, minlength=n)
         low = np.stack([np.bincount(context[self.count == r], minlength=n) for r in range(1, MAX_DISCOUNTED + 1)], 1)
@@ -428,13 +445,11 @@ def _answered(words, factors, shorter, columns: int):
         alpha, extra = _weights(mass, low, tokens, factors.value)
         alpha, extra = np.where(tokens > 0, alpha, 1.0), extra & (tokens > 0)
         data, more = [], []
-        for context, grams, (_, runs) in zip(b.contexts, b.grams, b.asked):
-            at = np.minimum(np.searchsorted(b.gram, grams), max(len(b.gram) - 1, 0))
-            n = np.where(b.gram[at] == grams, b.count[at], 0) if len(b.gram) else np.zeros(len(grams), np.int64)
+        for context, n, (_, runs) in zip(b.contexts, b.answers, b.asked):
             missed = np.add.reduceat((n == 0).astype(np.int64), np.cumsum(runs) - runs) > 0
             data.append(zstandard.compress(pack(n.astype(np.uint32)), 3))
             more.append(_z(np.concatenate([np.where(missed, alpha[context], 0.0), extra[context].astype(np.float64)])))
-        return pd.DataFrame({"kind": 1 + columns, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(g) for g in b.grams], "data": data, "more": more})
+        return pd.DataFrame({"kind": 1 + columns, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(n) for n in b.answers], "data": data, "more": more})
 
     return answer
 
@@ -447,23 +462,23 @@ def _scored(words, factors, buckets: int, split: int):
         """log10 probabilities of one order from those of the order below; and the counts of the n-grams."""
         n, weight, extra = grams.answered(answers)
         if len(grams.tokens):
-            c = n[grams.gram]
             with np.errstate(divide="ignore"):
-                longer = np.log10(discounted(c, factor)) - np.log10(grams.total + extra[grams.teller])
-                log[grams.tokens] = np.where(c > 0, longer, np.log10(weight[grams.teller]) + log[grams.tokens])
+                longer = np.log10(discounted(n, factor)) - np.log10(grams.total + extra[grams.teller])
+                shorter = np.log10(weight[grams.teller])
+            log[grams.tokens] = np.where((n > 0)[grams.gram], longer[grams.gram], shorter[grams.gram] + log[grams.tokens])
         return n
 
     def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame(columns=columns)
         w, block = words.value, Block(blocks.iloc[0], answers[answers["kind"] == 1])
-        place = w.at(block.word)
-        c = np.concatenate([w.counts, [0]])[place]
-        log = np.log10(w.p[place])
+        at = w.at(block.numbers)
+        by_place = np.concatenate([w.counts, [0]])[at]
+        log, c = np.log10(w.p[at])[block.place], by_place[block.place]
         two = _bigrams(block, w, buckets, split)
         n = backed(log, two, answers[answers["kind"] == 2], factors[2].value)
         backed(log, _trigrams(block, two, n, buckets, split), answers[answers["kind"] == 3], factors[3].value)
-        base = np.log10((c + 0.5) / (w.total + 0.5 * (w.distinct + 1)))
+        base = np.log10((by_place + 0.5) / (w.total + 0.5 * (w.distinct + 1)))[block.place]
         out = {"id": pd.array([i if ok else None for i, ok in zip(block.ids.tolist(), block.known)], "Int64"), "train": block.train, "n_tokens": block.sizes}
         out |= {"n_known": np.add.reduceat((c > 0).astype(np.int64), block.first), "base_score": np.add.reduceat(base, block.first), "score": np.add.reduceat(log, block.first)}
         return pd.DataFrame(out)
