@@ -3,7 +3,8 @@
 Encoding: each block of documents is split into pre-tokens with their positions, which are kept as the
 block's sequence of places in its own list of distinct words. Only the distinct words of a block are
 shuffled, packed by bucket of the word's hash; where all blocks' copies of a word meet, it is encoded
-once. The ids go back to the blocks and take their positions. The blocks are written to the shared folder once, bucketed by block,
+once. There are as many buckets as the corpus has BUCKET_CHARS characters, so the words that a task keeps,
+one bucket's, are as many at every size. The ids go back to the blocks and take their positions. The blocks are written to the shared folder once, bucketed by block,
 so that they need no shuffle, and are read from there on both ways: a lost executor can't number the words
 of a block anew.
 
@@ -30,10 +31,9 @@ from ._common import bucketed, tune
 
 #: Characters after which a block is closed. With more memory a larger block shuffles fewer words.
 BLOCK_CHARS = 8_000_000
-#: Characters of a block for each bucket of its words at least, so that a packed row holds some hundreds.
-BUCKET_CHARS = 20_000
-#: Words that a task keeps the ids of; beyond it forgets them and encodes a word again when it returns.
-KEPT_WORDS = 2_000_000
+#: Characters of the corpus for each bucket of words, and partitions that buckets are dealt to at most.
+BUCKET_CHARS = 8_000_000
+MAX_PARTITIONS = 20_000
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -124,26 +124,28 @@ def unpack(b: bytes) -> np.ndarray:
     return out
 
 
-def _encode_words(ranks, pattern: str):
-    """Packed words to packed ids; each distinct word of a task is encoded once."""
+def _encode_words(ranks):
+    """Packed words, in order of bucket, to packed ids; each distinct word is encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        merged = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(ranks.value), special_tokens={})._encode_single_piece
+        # A pattern that takes any text whole: what comes here are matches of the tokenizer's pattern already.
+        merged = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=parse_ranks(ranks.value), special_tokens={}).encode_ordinary
         known: dict[bytes, bytes] = {}
+        current = None
         for b in batches:
             out = []
-            for data, n in zip(b["data"], b["n"]):
+            for data, n, bucket in zip(b["data"], b["n"], b["bucket"]):
+                if bucket != current:
+                    known, current = {}, bucket
                 blob, at, ids = zstandard.decompress(data), 4 * n, []
                 for size in np.frombuffer(blob, np.uint32, n).tolist():
                     w = blob[at : at + size]
                     at += size
                     found = known.get(w)
                     if found is None:
-                        if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        found = known[w] = np.array(merged(w), np.uint16).tobytes()
+                        found = known[w] = np.array(merged(w.decode()), np.uint16).tobytes()
                     ids.append(found)
                 sizes = np.fromiter(map(len, ids), np.uint32, n) // 2
                 out.append(zstandard.compress(sizes.astype(np.uint32).tobytes() + b"".join(ids), 6))
@@ -195,7 +197,7 @@ def _assemble(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.array(np.where(known == 1, docs, 0), "Int64").copy() if known.all() else pd.array([d if ok else None for d, ok in zip(docs.tolist(), known)], "Int64"), "ids": out})
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, finish=None) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, finish=None, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """id and ids (binary: unsigned little-endian 16-bit ids, the vocabulary being under 65,536) of every row.
 
     `finish` is a function from a DataFrame of these to another, and its result's schema; it runs where the
@@ -207,11 +209,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(3 * parts, block_chars // BUCKET_CHARS))
+    buckets = max(parts, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars)
+    deals = min(buckets, MAX_PARTITIONS)
     schema = "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary"
     made = bucketed(docs.mapInPandas(_split_blocks(pattern, block_chars, buckets), schema), "bpe_blocks", parts, "block")
     words = made.where("kind = 1").select("block", "bucket", "data", "n")
-    words = words.repartition(parts, "bucket").mapInPandas(_encode_words(read_ranks(spark, ranks_path), pattern), "block long, bucket int, n int, ids binary")
+    words = words.repartition(deals, "bucket").sortWithinPartitions("bucket")
+    words = words.mapInPandas(_encode_words(read_ranks(spark, ranks_path)), "block long, bucket int, n int, ids binary")
     blocks = made.where("kind = 0").select("block", "bucket", "seq", "meta", "places")
     return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assembled(finish and finish[0]), finish[1] if finish else "id long, ids binary")
 

@@ -14,7 +14,7 @@ def shingles(t):
     return frozenset([tuple(w)]) if len(w) < 5 else frozenset(zip(w, w[1:], w[2:], w[3:], w[4:]))
 
 
-def brute(docs):
+def brute(docs, link=85):
     """Place to component by all links at the threshold."""
     sets = [shingles(t) for _, t in docs]
     places = defaultdict(list)
@@ -30,7 +30,7 @@ def brute(docs):
         for x in s:
             places[x].append(i)
         for j, k in common.items():
-            if 100 * k >= 85 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= link * (len(s) + len(sets[j]) - k):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):
@@ -87,3 +87,23 @@ def test_empty(empty):
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_documents(spark, sf_documents, sf):
     check(spark, [(r["doc_id"], r["text"]) for r in sf_documents.collect()])
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """The text of a class is looked up by id and text, so ids that repeat or are null mislead nothing."""
+    rng = random.Random(9)
+    new = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = new(), new(), new()
+    check(spark, [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, c), (None, a), (4, c + " z"), (None, c), (1, c)])
+
+
+def test_estimates_of_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-(1 << 63), 1 << 63, (5, 4)), rng.integers(-(1 << 63), 1 << 63, (7, 4))
+    b[3] = a[2]
+    got = neardedup._estimates(a, b)
+    bits = lambda x, k: (int(x[k // 64]) >> k % 64 & 1, int(x[2 + k // 64]) >> k % 64 & 1)
+    want = [[neardedup.estimate(sum(bits(x, k) == bits(y, k) for k in range(128))) for y in b] for x in a]
+    assert np.allclose(got, want) and got[2, 3] == 1

@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, sf_documents):
     docs, kept = kept, out["near_dedup"](spark, kept, SF)
     assert kept.columns == docs.columns
     rows = text(docs)
-    assert text(kept) == [x for x, (_, c) in zip(rows, near_brute(rows)) if c == x[0]]
+    assert text(kept) == [x for x, (_, c) in zip(rows, near_brute(rows, corpus_pipeline.NEAR_LINK)) if c == x[0]]
 
     docs, kept = kept, out["pii"](spark, kept, SF)
     assert kept.columns == docs.columns and kept.count() == docs.count()

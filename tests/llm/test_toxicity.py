@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roadglass.llm import queries, toxicity
@@ -55,7 +56,7 @@ def test_kernel_against_definition():
 
 def test_held_out_accuracy_and_disguises():
     train = made(600, 1)
-    model = toxicity.Model([(toxicity.units(t), y, i % 4 == 0) for i, t, y in train])
+    model = toxicity.Model([(toxicity.sentences(t), y, i % 4 == 0) for i, t, y in train])
     for disguise, least in ((False, 0.99), (True, 0.9)):
         test = made(400, 2, disguise)
         s = model.scores([t for _, t, _ in test])
@@ -83,6 +84,44 @@ def test_odd_and_empty(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty, some), "text", "s").count() == 0
 
 
+@pytest.mark.parametrize(("sf", "accuracy", "recall"), [("sf0.01", 0.94, 0.6), ("sf0.1", 0.98, 0.9)])
+def test_held_out_labels(spark, sf, accuracy, recall):
+    """Accuracy on the labels that training doesn't read."""
+    sf = f"/root/testdata/{sf}"
+    got = queries.QUERIES["op5_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    rows = [(r["predicted"], r["toxic"]) for r in got.where("toxic is not null").collect()]
+    assert len(rows) >= 50 and sum(p == y for p, y in rows) >= accuracy * len(rows)
+    assert sum(p for p, y in rows if y) >= recall * sum(y for _, y in rows)
+
+
+def test_machine_against_brute_force():
+    """With every word a landmark, the folded machine is the kernel machine of all words, solved by plain gradient steps."""
+    good, bad = ["dimwit", "dimwits", "halfwit", "halfwits"], sorted({w + e for w in PLAIN for e in ("", "s", "ing") if len(w + e) > 1})
+    words = [*good, *bad]
+    model = toxicity.Model([])
+    with np.errstate(over="ignore"):
+        times = np.full(len(good), 5.0)
+        model._solve(words, words, np.arange(len(good)), times, np.arange(len(good), len(words)), 40)
+        k = toxicity._kernel(words, words).astype(np.float64)
+        got = toxicity.word_scores(words, model.table, model.bias)
+    y, cost = np.array([1.0] * len(good) + [-1.0] * len(bad)), np.array([5.0] * len(good) + [0.5] * len(bad))
+    # f = k a + b; ridge on the kernel norm and on b, squared hinge: least by Newton's steps on the dual weights.
+    a, b = np.zeros(len(words)), 0.0
+    for _ in range(50):
+        on = y * (k @ a + b) < 1
+        m = np.block([[k[np.ix_(on, on)] + np.diag(1 / cost[on]), np.ones((on.sum(), 1))], [np.ones((1, on.sum())), -np.eye(1)]])
+        solved = np.linalg.solve(m, np.append(y[on], 0.0))
+        a, b = np.zeros(len(words)), solved[-1]
+        a[on] = solved[:-1]
+    assert np.abs(got - (k @ a + b)).max() < 0.05, np.abs(got - (k @ a + b)).max()
+
+
+def test_sentences():
+    got = toxicity.sentences("You are kind. See i. d. i. o. t. there!\nLast line\n\n")
+    assert [sorted(u) for u in got] == [["are", "kind", "you"], ["d.", "i.", "idiot", "o.", "see", "t.", "there"], ["last", "line"]]
+    assert toxicity.sentences(None) == toxicity.sentences("") == toxicity.sentences(" \n ") == []
+
+
 def test_query(spark, sf_documents):
     q = queries.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.001")
     assert q.columns == ["doc_id", "held_out", "score", "predicted"] and q.count() == sf_documents.count()
