@@ -88,13 +88,17 @@ def distinct(keys: np.ndarray, top: int = 0) -> tuple[np.ndarray, np.ndarray, np
     """
     bits = max(len(keys) - 1, 1).bit_length()
     if top and max(top - 1, 1).bit_length() + bits <= 64:
-        both = np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
-        order, ordered = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+        ordered = keys.astype(np.uint64)
+        ordered <<= np.uint64(bits)
+        ordered |= np.arange(len(keys), dtype=np.uint64)
+        ordered.sort()
+        order = (ordered & np.uint64((1 << bits) - 1)).astype(np.int32)
+        ordered >>= np.uint64(bits)
     else:
-        order = np.argsort(keys)
+        order = np.argsort(keys).astype(np.int32)
         ordered = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return ordered[new], order[new], inverse

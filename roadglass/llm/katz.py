@@ -45,7 +45,7 @@ MAX_DISCOUNTED = 5
 #: Characters after which a block is closed. With more memory a larger block shuffles fewer words and bigrams.
 BLOCK_CHARS = 8_000_000
 #: Characters of the corpus for each bucket, and partitions that buckets are dealt to at most.
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 12_000_000
 MAX_PARTITIONS = 20_000
 #: Tokens of a context beyond which its n-grams are split over the buckets.
 SPLIT = 200_000
@@ -207,7 +207,7 @@ class Block:
         n = int(np.frombuffer(meta, np.int64, 1)[0])
         self.ids, self.sizes = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.int64, n, 8 + 8 * n)
         self.train, self.known = np.frombuffer(meta, np.uint8, n, 8 + 16 * n) == 1, np.frombuffer(meta, np.uint8, n, 8 + 17 * n) == 1
-        self.place = unpack(zstandard.decompress(row["seq"])).astype(np.int64)
+        self.place = unpack(zstandard.decompress(row["seq"])).astype(np.int32)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.before = np.empty_like(self.place)
         self.before[1:] = self.place[:-1]
@@ -228,27 +228,30 @@ class Grams:
         used[context] = True
         hot = total > split
         asked = np.flatnonzero(used & hot)
-        key = np.concatenate([context * (last + 1) + block.place[tokens], asked * (last + 1) + last])
+        key = np.concatenate([context.astype(np.int64) * (last + 1) + block.place[tokens], asked * (last + 1) + last])
         key, _, inverse = distinct(key, len(total) * (last + 1))
-        own, place = np.divmod(key.astype(np.int64), last + 1)
+        own = (key // np.uint64(last + 1)).astype(np.int32)
+        place = (key - own.astype(np.uint64) * np.uint64(last + 1)).astype(np.int32)
+        del key
         word = np.append(block.numbers, NONE)[place]
         spread = hot[own] & (word != NONE)
         bucket = home(_key([c[own] for c in columns]), buckets, np.where(spread, word.astype(np.uint64) + np.uint64(1), np.uint64(0)))
-        order = np.sort(bucket.astype(np.uint64) << np.uint64(32) | np.arange(len(bucket), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
-        order = order.astype(np.int64)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        order = bucket.astype(np.uint64) << np.uint64(32) | np.arange(len(bucket), dtype=np.uint64)
+        order.sort()
+        order = (order & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         #: Places in order of context and word, and the other way.
         self.sorted, self.rank = order, rank
         own = own[order]
-        self.bucket, self.word, self.place, self.hot = bucket[order], word[order], place[order], hot[own]
+        self.bucket, self.word, self.hot = bucket[order], word[order], hot[own]
         self.columns = [c[own] for c in columns]
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (self.bucket[1:] != self.bucket[:-1])
-        self.starts, self.run = np.flatnonzero(new), np.cumsum(new) - 1
+        self.starts, self.run = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - np.int32(1)
         #: Of each n-gram: training tokens of its context. Of each token: its n-gram, and the run that answers for its context.
         self.total, self.gram = total[own], rank[inverse[:n]]
-        home_run = np.full(len(total), -1)
+        home_run = np.full(len(total), -1, np.int32)
         home_run[asked] = self.run[rank[inverse[n:]]]
         self.teller = np.where(hot[own], home_run[own], self.run)
 
@@ -299,22 +302,21 @@ def _bigrams(block: Block, words: Words, buckets: int, split: int) -> Grams:
     """Of all tokens after a known word or the start mark."""
     # Contexts in order of their numbers, so that those of a row lie close together.
     order = np.argsort(block.numbers)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     total = words.count(block.numbers)
     total[-1] = words.docs
-    some = np.flatnonzero((block.numbers != UNKNOWN)[block.before])
+    some = np.flatnonzero((block.numbers != UNKNOWN)[block.before]).astype(np.int32)
     return Grams(block, some, rank[block.before[some]], [block.numbers[order]], total[order], buckets, split)
 
 
 def _trigrams(block: Block, two: Grams, n: np.ndarray, buckets: int, split: int) -> Grams:
     """Of all tokens after two of the same document (or one and the start mark) that training holds together."""
-    gram = np.full(len(block.place), -1, np.int64)
-    gram[two.tokens] = two.gram
-    context = np.full(len(block.place), -1, np.int64)
-    context[1:] = gram[:-1]
+    context = np.full(len(block.place) + 1, -1, np.int32)
+    context[two.tokens + 1] = two.gram
+    context = context[:-1]
     context[block.first] = -1
-    some = np.flatnonzero(context >= 0)
+    some = np.flatnonzero(context >= 0).astype(np.int32)
     some = some[n[context[some]] > 0] if len(n) else some
     # Contexts in order of their words, so that a row's first words are mostly what the one before had.
     by = two.rank
@@ -333,7 +335,7 @@ def _asked(words, buckets: int, split: int, order: int):
         if order == 3:
             n, _, extra = grams.answered(answers[answers["kind"] == 2])
             code = np.zeros(len(block.place), np.uint32)
-            code[grams.tokens] = (n * 2 + extra[grams.teller].astype(np.int64))[grams.gram]
+            code[grams.tokens] = (n * 2 + extra[grams.teller].astype(np.int64)).astype(np.uint32)[grams.gram]
             grams = _trigrams(block, grams, n, buckets, split)
             lower = np.zeros(len(grams.word), np.uint32)
             taught = block.taught[grams.tokens]
@@ -370,14 +372,21 @@ class Bucket:
         self.key, _, context = distinct(np.concatenate(keys))
         self.contexts = np.split(context, np.cumsum([len(k) for k in keys])[:-1])
         word, place = distinct(np.concatenate(words), 1 << 32)[::2]
-        own = np.repeat(context, np.concatenate(runs)) * len(word) + place
-        gram, one, at = distinct(own, len(self.key) * len(word))
+        gram = np.repeat(context.astype(np.int64), np.concatenate(runs))
+        gram *= len(word)
+        gram += place
+        gram, _, at = distinct(gram, len(self.key) * len(word))
         # Training counts of all n-grams asked for, in the rows' order; then of those that training holds.
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(gram)).astype(np.int64)
+        counts = np.concatenate(counts)
+        total = np.bincount(at, weights=counts, minlength=len(gram)).astype(np.int64)
         self.answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
         self.context, place = np.divmod(gram.astype(np.int64)[total > 0], len(word))
         self.count, self.word = total[total > 0], word[place].astype(np.uint32)
-        self.lower = np.concatenate(lower)[one[total > 0]] if columns > 1 else None
+        self.lower = None
+        if columns > 1:  # the rows of training tokens have it, all alike
+            self.lower = np.zeros(len(gram), np.int64)
+            self.lower[at[counts > 0]] = np.concatenate(lower)[counts > 0]
+            self.lower = self.lower[total > 0]
         self.hot = np.zeros(len(self.key), bool)
         for c, (hot, _) in zip(self.contexts, self.asked):
             self.hot[c] |= hot
