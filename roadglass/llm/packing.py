@@ -5,8 +5,8 @@ lengths, over all documents) goes to the driver. There, all pairs and triples of
 fill a window exactly are enumerated, their repeat counts are solved against the histogram as
 non-negative least squares, and rounded down. What is left over is packed greedily in order of length,
 cutting a piece where a window is full, so at most one window of the whole corpus is padded. Each piece
-finds its window from its rank among the pieces of its length, which is its partition's start plus its
-rank there; no length, however common, is gathered in one task.
+finds its window from its rank among the pieces of its length, which is its chunk's start plus its rank
+there; chunks are GROUP_PIECES pieces at most, and no length, however common, is gathered in one task.
 
 The pieces are written to the shared folder once, so ranks stay what they are if an executor is lost.
 Null and empty texts hold the closing id only. Repeated rows and ids are packed row by row. An empty
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from ._common import tune, written
 
 WINDOW = 1024
-#: Coordinate steps of the solver for each length; a bound on the driver's work, whatever the corpus.
-STEPS_PER_LENGTH = 4
+#: Pieces that are placed at once; a document's pieces may lie in two chunks.
+GROUP_PIECES = 20_000
+#: Coordinate steps of the solver for each length at most; they end at their optimum well before, this only bounds the driver's work.
+STEPS_PER_LENGTH = 200
+#: Share of the rests by which no single count could still be bettered at the end, or a quarter of a rest.
+TOLERANCE = 1e-7
 ROUNDS = 3
 
 
@@ -78,6 +82,28 @@ def _solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     cols = np.concatenate(combos)
     if not len(cols):
         return []
+    x = least_squares(cols, histogram)
+    avail, plan = histogram.astype(np.int64).copy(), []
+    for j in np.argsort(-x, kind="stable").tolist():
+        if x[j] < 1:
+            break
+        lengths = tuple(int(n) for n in cols[j] if n)
+        need = {n: lengths.count(n) for n in lengths}
+        k = min([int(x[j]), *(int(avail[n]) // m for n, m in need.items())])
+        if k:
+            for n, m in need.items():
+                avail[n] -= k * m
+            plan.append((lengths, k))
+    return plan
+
+
+def least_squares(cols: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Counts of combinations, none negative, that use each length nearest to as often as it occurs, in least squares.
+
+    Greedy coordinate steps: always the combination whose best count changes the sum most, until none changes by more than
+    TOLERANCE. This favours few combinations with large counts, which lose little by rounding.
+    """
+    window = len(histogram)
     left = histogram.astype(float)
     left[0] = 0
     # A length used k times in a combination counts k times; squares sum over distinct lengths.
@@ -89,28 +115,19 @@ def _solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     order = np.argsort(flat, kind="stable")
     first = np.searchsorted(flat[order], np.arange(window + 1))
     grad = left[cols].sum(1)
-    for _ in range(STEPS_PER_LENGTH * len(have)):
+    least = max(0.25, TOLERANCE * left.sum())
+    for _ in range(STEPS_PER_LENGTH * window):
         steps = np.maximum(grad / square, -x)
-        j = int((np.abs(steps) * root).argmax())
-        step = steps[j]
-        if abs(step) < 0.25:
+        size = np.abs(steps)
+        if size.max() < least:
             break
+        j = int((size * root).argmax())
+        step = steps[j]
         x[j] += step
         for n in cols[j]:
             if n:
                 np.subtract.at(grad, order[first[n] : first[n + 1]] // 3, step)
-    avail, plan = histogram.astype(np.int64).copy(), []
-    for j in np.argsort(-x, kind="stable").tolist():
-        if x[j] < 1:
-            break
-        lengths = tuple(int(n) for n in cols[j] if n)
-        need = {n: lengths.count(n) for n in lengths}
-        k = min([int(x[j]), *(int(avail[n]) // m for n, m in need.items())])
-        if k:
-            for n, m in need.items():
-                avail[n] -= k * m
-            plan.append((lengths, k))
-    return plan
+    return x
 
 
 def _tokenised(vocab, pattern: str, end_id: int, window: int):
@@ -121,7 +138,7 @@ def _tokenised(vocab, pattern: str, end_id: int, window: int):
         from pyspark import TaskContext
 
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocab.value, special_tokens={}).encode_ordinary
-        part, n = TaskContext.get().partitionId(), 0
+        part, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
             for doc, text in zip(batch["id"].array, batch["text"].array):
@@ -135,7 +152,7 @@ def _tokenised(vocab, pattern: str, end_id: int, window: int):
                     rows.append((doc, full * window, len(rest), None, len(ids), n, rest.astype("<u2").tobytes()))
                     n += 1
             out = pd.DataFrame(rows, columns=["id", "start", "length", "crc", "total", "n", "ids"])
-            yield out.assign(part=part, id=out["id"].astype("Int64"), crc=out["crc"].astype("Int64"))[["part", "n", "id", "start", "length", "crc", "total", "ids"]]
+            yield out.assign(part=part + out["n"] // GROUP_PIECES, id=out["id"].astype("Int64"), crc=out["crc"].astype("Int64"))[["part", "n", "id", "start", "length", "crc", "total", "ids"]]
 
     return pieces
 
@@ -194,7 +211,7 @@ def pack(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", t
     tune(spark)
     vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))  # as large as the vocabulary, whatever the corpus
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "part int, n long, id long, start long, length int, crc long, total long, ids binary"
+    schema = "part long, n long, id long, start long, length int, crc long, total long, ids binary"
     pieces, _ = written(docs.mapInPandas(_tokenised(vocab, pattern, end_id, window), schema), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

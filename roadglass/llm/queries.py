@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, katz, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
+from ._common import written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +62,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy costs, from the stored ledger by its bits alone."""
+    led, _ = written(quality.ledger(_read(spark, sf_dir, "documents"), "text", "doc_id"), "ledger")
+    return quality.ablation(led, "v1")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -86,6 +93,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_katz": op10_katz,
+    "quality_ablation": quality_ablation,
 }
 
 _OP7 = r"""
@@ -142,6 +150,13 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from b
 """
 
+_ABLATION = f"""
+with b as (select failed_bits as bits from ({_OP8})),
+r as (select * from (values ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('no_letters', 32)) t(rule, bit))
+select rule, (count(*) filter (bits & bit <> 0))::bigint as failed, (count(*) filter (bits = bit))::bigint as failed_only_here,
+  (count(*) filter (bits & ~bit = 0))::bigint as kept_without from b cross join r group by rule
+"""
+
 _OP4 = """
 with recursive bits as (
   select range as i, range::bigint as c, 0 as k from range(256)
@@ -171,4 +186,4 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE_SQL = {"op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8}
+ORACLE_SQL = {"op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}

@@ -2,7 +2,7 @@
 
 Every url has an address: scheme, fragment, tracking parameters and a closing "/" or index page make no
 difference to it. `<link rel="canonical">` and `<meta http-equiv="refresh">` in a page join its address to
-the target's; the connected components of these edges are the aliases. A url that a rule fits keeps that
+the target's (its entities decoded); the connected components of these edges are the aliases. A url that a rule fits keeps that
 rule's verdict. Any other is blocked if a rule blocks one of its aliases and none allows one, else allowed.
 
 Null urls, and those without "://", have no host, path or address and are allowed. Equal urls are judged
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components
+from ._common import components, written
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -67,17 +67,30 @@ def rule_of(rules: tuple, host_col: Column, path_col: Column) -> Column:
     return found if found is not None else F.lit(None).cast("struct<name:string,verdict:string>")
 
 
+def unescaped(c: Column) -> Column:
+    """An attribute's value: what stands for its characters in HTML replaced by them, "&" last."""
+    for text, character in (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(text), F.lit(character))
+    return c
+
+
 def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """id, host, path, rule, verdict of every row."""
-    u = F.col(url)
-    base = pages.select(F.col(id_col).alias("id"), u.alias("url"), host(u).alias("host"), path(u).alias("path"))
-    base = base.withColumn("r", rule_of(rules, F.col("host"), F.col("path")))
-    base = base.select("id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"), address(F.col("url")).alias("address"))
-
-    linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(u.alias("url"), F.col(html).alias("html"))
-    targets = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
-    links = linked.select("url", F.explode(targets).alias("t")).withColumn("target", absolute(F.col("t"), F.col("url")))
-    links = links.select(address(F.col("url")).alias("u"), address(F.col("target")).alias("v"), rule_of(rules, host(F.col("target")), path(F.col("target"))).alias("r"))
+    """id, host, path, rule, verdict of every row.
+
+    Pages are read once: what is needed of them, which is short, is written to the shared folder.
+    """
+    u, h = F.col(url), F.col(html)
+    ruled_by = rule_of(rules, host(u), path(u))
+    found = F.concat(F.regexp_extract_all(h, F.lit(CANONICAL), 1), F.regexp_extract_all(h, F.lit(REFRESH), 1))
+
+    def link(t: Column) -> Column:
+        whole = absolute(unescaped(t), u)
+        return F.struct(address(whole).alias("v"), rule_of(rules, host(whole), path(whole)).alias("r"))
+
+    links = F.when(h.rlike(r"(?i)canonical|http-equiv"), F.transform(found, link))
+    base = pages.select(F.col(id_col).alias("id"), host(u).alias("host"), path(u).alias("path"), ruled_by.alias("r"), address(u).alias("address"), links.alias("links"))
+    base, _ = written(base.select("id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"), "address", "links"), "pages")
+    links = base.where("links is not null").select(F.col("address").alias("u"), F.inline("links"))
     nodes = components(links)
 
     # Only addresses that a rule fits can decide for others.

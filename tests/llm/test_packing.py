@@ -84,3 +84,38 @@ def test_ids_as_tokenizers_library():
     texts = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)} " for c in range(k, min(k + 64, 0x10000)) if not 0xD800 <= c < 0xE000) for k in range(0, 0x10000, 64)]
     for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
         assert e.ids == enc.encode_ordinary(t), t
+
+
+def test_solver_is_optimal():
+    """No count of a combination, raised or lowered by itself, brings the sum of squares down by more than the tolerance allows."""
+    import itertools
+
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        window = 48
+        histogram = np.bincount(np.minimum(rng.exponential(14, 20_000).astype(int) + 1, window - 1), minlength=window)
+        cols = np.array([(*c, *[0] * (3 - len(c))) for k in (2, 3) for c in itertools.combinations_with_replacement(range(1, window), k) if sum(c) == window])
+        x = packing.least_squares(cols, histogram)
+        assert (x >= 0).all()
+        use = np.zeros((window, len(cols)))
+        for j, c in enumerate(cols):
+            for n in c[c > 0]:
+                use[n, j] += 1
+        loss = lambda v: float(((use @ v - histogram) ** 2)[1:].sum())
+        gradient, square = use.T @ (histogram - use @ x), (use**2).sum(0)
+        assert (np.abs(np.maximum(gradient / square, -x)) < 0.26).all()
+        # The optimum, by projected gradient steps to convergence.
+        y, z, t = x.copy(), x.copy(), 1.0
+        rate = 1 / np.linalg.norm(use, 2) ** 2
+        for _ in range(20_000):
+            new = np.maximum(z + rate * (use.T @ (histogram - use @ z)), 0)
+            t, momentum = (1 + (1 + 4 * t * t) ** 0.5) / 2, (t - 1) / ((1 + (1 + 4 * t * t) ** 0.5) / 2)
+            z, y = new + momentum * (new - y), new
+        assert loss(x) <= loss(y) + 0.01 * float((histogram[1:] ** 2).sum())
+
+
+def test_most_rests_are_packed_by_the_solver():
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        histogram = np.bincount(np.minimum(rng.exponential(300, 100_000).astype(int) + 1, 1023), minlength=1024)
+        assert sum(k * 1024 for _, k in packing.solve(histogram)) > 0.75 * (histogram * np.arange(1024)).sum()
