@@ -187,7 +187,8 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     while len(rows) < n:
         kind, good = rng.choice(KINDS), rng.random() < 0.5
         if kind == "secret":
-            s = "".join(rng.choice(rng.choice(["0123456789abcdef", letters])) for _ in range(rng.choice([24, 32, 40, 40, 64])))
+            signs = rng.choice(["0123456789abcdef", "0123456789ABCDEF", letters, letters + "__--"])
+            s = "".join(rng.choice(signs) for _ in range(rng.choice([20, 24, 32, 40, 40, 64])))
             if good:
                 cue = rng.choice(['token = "', "token: ", "api_key=", 'password = "', "secret: ", "Bearer ", 'auth_token="', "private key: "])
             elif rng.random() < 0.5:
@@ -302,7 +303,7 @@ def fitted(seed: int = 11) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray]:
         cuts = np.full(len(KINDS), 1.01)
         for k in range(len(KINDS)):
             own = hx[:, 0] == k
-            for cut in np.unique(calibrated[own])[::-1] if own.any() else ():
+            for cut in np.unique(calibrated[own & (calibrated >= 0.5)])[::-1]:  # likelier than not, besides
                 chosen = own & (calibrated >= cut)
                 if hy[chosen].mean() >= TARGET_PRECISION:
                     cuts[k] = cut
@@ -312,7 +313,7 @@ def fitted(seed: int = 11) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray]:
     return _FITTED[seed]
 
 
-_MAYBE = re.compile(r"[0-9]|[\[({][ ]?(?:at|AT|At|@)[ ]?[\])}]")
+_MAYBE = re.compile(r"[0-9]| (?:at|AT) [A-Za-z0-9-]{2,63} (?:dot|DOT) |[\[({][ ]?(?:at|AT|At|@)[ ]?[\])}]")
 
 
 def all_spans(text: str, model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
