@@ -30,6 +30,8 @@ from ._common import fresh, tune
 
 TRAIN_ROWS = 6000
 TARGET_PRECISION = 0.98
+#: Calibrated probability that every selected span has, besides.
+LEAST_SURE = 0.8
 #: The kinds in their order of listing; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 
@@ -303,7 +305,7 @@ def fitted(seed: int = 11) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray]:
         cuts = np.full(len(KINDS), 1.01)
         for k in range(len(KINDS)):
             own = hx[:, 0] == k
-            for cut in np.unique(calibrated[own & (calibrated >= 0.5)])[::-1]:  # likelier than not, besides
+            for cut in np.unique(calibrated[own & (calibrated >= LEAST_SURE)])[::-1]:
                 chosen = own & (calibrated >= cut)
                 if hy[chosen].mean() >= TARGET_PRECISION:
                     cuts[k] = cut
