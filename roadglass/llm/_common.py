@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,16 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints/roadglass"
 #: Rows and bytes of an Arrow batch; whole texts in a batch are what a Python worker's memory goes by.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+_TUNED = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 #: Paths and table names that this process has written to the shared folder.
 _WRITTEN: dict[str, str | None] = {}
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; what a driver that died has left there goes by its id."""
+    return f"{shared_dir(spark).rstrip('/')}/roadglass-{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -44,9 +51,9 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bounds the Arrow batches of texts, for as long as the session or `settled` lasts."""
+    for key, value in _TUNED.items():
+        spark.conf.set(key, value)
 
 
 def arrow_rows(spark: SparkSession, n: int):
@@ -57,7 +64,7 @@ def arrow_rows(spark: SparkSession, n: int):
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it again; cuts the lineage there. Gives the path too."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN[path] = None
     with setting(spark, _CLEAN_UP, "true"):
         df.write.option("compression", codec).parquet(path)
@@ -68,7 +75,7 @@ def bucketed_at(df: DataFrame, name: str, buckets: int, column: str, codec: str
     """Like written, as a table bucketed by a column, which later groups by it needn't shuffle."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    path = f"{folder(spark)}/{name}"
     _WRITTEN[path] = name
     with setting(spark, _CLEAN_UP, "true"):
         df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(name)
@@ -89,12 +96,32 @@ def drop(spark: SparkSession, path: str) -> None:
         spark.sql(f"drop table if exists {name}")
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes every table that this process has written; results that still read them must be saved before."""
-    for path in list(_WRITTEN):
+def sweep(spark: SparkSession, but: Collection[str] = ()) -> None:
+    """Removes every table that this process has written, except some; results that still read them must be saved before."""
+    for path in [p for p in _WRITTEN if p not in but]:
         drop(spark, path)
 
 
+def settled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of a session whose result is written to the shared folder before it returns.
+
+    The tables that were written on the way are removed, and the session's settings are what they were.
+    """
+
+    @functools.wraps(make)
+    def run(spark: SparkSession, *args, **more) -> DataFrame:
+        before, settings = set(_WRITTEN), {k: spark.conf.get(k) for k in _TUNED}
+        try:
+            out, path = written(make(spark, *args, **more), make.__name__)
+        finally:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+        sweep(spark, before | {path})
+        return out
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, in any case."""
     have = {c.lower() for c in df.columns}

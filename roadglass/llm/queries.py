@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, katz, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
-from ._common import written
+from ._common import settled, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@settled
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, finish=bpe.digests(spark, ranks))
@@ -26,10 +27,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+@settled
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+@settled
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return shards.shard(docs).select(
@@ -45,10 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@settled
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_read(spark, sf_dir, "pages"))
 
@@ -62,16 +67,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the newest policy costs, from the stored ledger by its bits alone."""
     led, _ = written(quality.ledger(_read(spark, sf_dir, "documents"), "text", "doc_id"), "ledger")
     return quality.ablation(led, "v1")
 
 
+@settled
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@settled
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_read(spark, sf_dir, "documents"), _not_one).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
