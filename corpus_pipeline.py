@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet to the shared folder and read again as the
 next one's input. The first four return the columns of their input. Rows of one doc_id with equal texts
-are one document; null and empty texts are rejected by the first stage; extra columns are carried along.
+are one document; null and empty texts are rejected by the first stage; texts of any length are read whole;
+an empty table gives no rows; extra columns are carried along, under whatever names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadglass.llm import neardedup, packing, pii, quality, toxicity
-from roadglass.llm._common import fresh, written
+from roadglass.llm._common import fresh, settled, written
 
 #: Near duplicates of the pipeline: similarity of five-word shingles in percent, at least.
 NEAR_LINK = 80
@@ -75,9 +76,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@settled
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over all documents."""
+    """The stages one after the other over all documents; each is written, what it wrote on the way goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = settled(stage)(spark, docs, sf_dir)
+    return docs
