@@ -71,14 +71,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed_at(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Like written, as a table bucketed by a column, which later groups by it needn't shuffle."""
+def bucketed_at(df: DataFrame, name: str, buckets: int, column: str, codec: str = "zstd", apart: str | None = None) -> tuple[DataFrame, str]:
+    """Like written, as a table bucketed by a column, which later groups by it needn't shuffle; each value of `apart` in a folder of its own."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{folder(spark)}/{name}"
     _WRITTEN[path] = name
     with setting(spark, _CLEAN_UP, "true"):
-        df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(name)
+        writer = df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column)
+        (writer.partitionBy(apart) if apart else writer).saveAsTable(name)
     return spark.table(name), path
 
 

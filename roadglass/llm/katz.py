@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucketed, bucketed_at, drop, tune, written
+from ._common import bucketed_at, drop, tune, written
 from ._text import batch_words, distinct, mix
 from .bpe import pack, unpack
 
 #: Counts up to which Good-Turing discounts.
 MAX_DISCOUNTED = 5
 #: Characters after which a block is closed. With more memory a larger block shuffles fewer words and bigrams.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 #: Characters of the corpus for each bucket, and partitions that buckets are dealt to at most.
 BUCKET_CHARS = 12_000_000
 MAX_PARTITIONS = 20_000
@@ -482,15 +482,17 @@ def _scored(words, factors, buckets: int, split: int):
             return pd.DataFrame(columns=columns)
         w, block = words.value, Block(blocks.iloc[0], answers[answers["kind"] == 1])
         at = w.at(block.numbers)
-        by_place = np.concatenate([w.counts, [0]])[at]
-        log, c = np.log10(w.p[at])[block.place], by_place[block.place]
-        two = _bigrams(block, w, buckets, split)
-        n = backed(log, two, answers[answers["kind"] == 2], factors[2].value)
-        backed(log, _trigrams(block, two, n, buckets, split), answers[answers["kind"] == 3], factors[3].value)
-        base = np.log10((by_place + 0.5) / (w.total + 0.5 * (w.distinct + 1)))[block.place]
+        counts = np.concatenate([w.counts, [0]])[at]
+        sums = lambda by_place: np.add.reduceat(by_place[block.place], block.first)
         out = {"id": pd.array([i if ok else None for i, ok in zip(block.ids.tolist(), block.known)], "Int64"), "train": block.train, "n_tokens": block.sizes}
-        out |= {"n_known": np.add.reduceat((c > 0).astype(np.int64), block.first), "base_score": np.add.reduceat(base, block.first), "score": np.add.reduceat(log, block.first)}
-        return pd.DataFrame(out)
+        out |= {"n_known": sums((counts > 0).astype(np.int32)).astype(np.int64), "base_score": sums(np.log10((counts + 0.5) / (w.total + 0.5 * (w.distinct + 1))))}
+        log = np.log10(w.p[at])[block.place]
+        grams = _bigrams(block, w, buckets, split)
+        n = backed(log, grams, answers[answers["kind"] == 2], factors[2].value)
+        grams = _trigrams(block, grams, n, buckets, split)
+        del n
+        backed(log, grams, answers[answers["kind"] == 3], factors[3].value)
+        return pd.DataFrame(out | {"score": np.add.reduceat(log, block.first)})
 
     return score
 
@@ -510,7 +512,7 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
     buckets = max(parts, sum(r["chars"] for r in folds) // bucket_chars)
     deals = min(buckets, MAX_PARTITIONS)
     made = docs.mapInPandas(_split(buckets, train_from, block_chars), "kind int, block long, bucket int, n int, data binary, seq binary, meta binary, places binary")
-    made = bucketed(made, "lm_blocks", parts, "block")
+    made, made_path = bucketed_at(made, "lm_blocks", parts, "block", apart="kind")
     lists = made.where("kind = 1").select("block", "bucket", "n", "data", "meta")
     blocks = made.where("kind = 0").select("block", "seq", "meta", "places")
 
@@ -526,6 +528,7 @@ def score(df: DataFrame, train_from, id_col: str = "doc_id", text: str = "text",
     starts = histogram.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(first, "c").select("bucket", "c", (F.col("f") + F.col("before")).alias("first"))
     schema = "kind int, block long, bucket int, n int, data binary, more binary"
     answers, _ = written(lists.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInPandas(_numbered, schema), "numbers")
+    drop(spark, f"{made_path}/kind=1")  # the lists are numbered
 
     factors: dict = {2: None, 3: None}
     for order in factors:

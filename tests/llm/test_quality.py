@@ -42,3 +42,11 @@ def test_sql(spark):
     q = queries.QUERIES["op8_quality_rules"](spark, "/root/testdata/sf0.001")
     cols = ", ".join(q.columns)
     assert sorted(map(tuple, q.collect())) == sorted(con.sql(f"select {cols} from ({queries.ORACLE_SQL['op8_quality_rules']})").fetchall())
+
+
+def test_ablation_query(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["quality_ablation"](spark, sf).collect())
+    assert got == sorted(con.sql(queries.ORACLE_SQL["quality_ablation"]).fetchall())

@@ -92,3 +92,10 @@ def test_empty_and_native(spark):
     assert judge(spark, []) == {}
     q = queries.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.001")
     assert "Python" not in q._jdf.queryExecution().toString()
+
+
+def test_entities_in_links(spark):
+    """A link's target is read with its entities decoded."""
+    page = '<link rel="canonical" href="http://x.org/a?b=1&amp;c=2">'
+    got = judge(spark, [(1, "http://x.org/a?b=1&c=2", ""), (2, "http://y.org/copy", page), (3, "http://example.net/fr/z", page.replace("amp;", "#38;")), (4, "http://x.org/a?b=1", "")])
+    assert [got[i][3] for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
