@@ -57,10 +57,18 @@ def fold(value: object) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def key(values: pd.Series) -> pd.Series:
-    """`fold` of a column; Spark has no compatibility decomposition."""
+def _folded(values: pd.Series) -> pd.Series:
+    """`fold` of the values that are there; Spark has no compatibility decomposition."""
     known: dict = {}
-    return pd.Series([known[v] if v in known else known.setdefault(v, fold(v)) for v in values], dtype=object)
+    return pd.Series([None if v is None else known[v] if v in known else known.setdefault(v, fold(v)) for v in values], dtype=object)
+
+
+def key(c: Column | str) -> Column:
+    """`fold` of a column: ASCII by expressions, only other texts through Python."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    ascii_ = ~c.rlike(r"[^\x00-\x7F]")
+    plain = F.trim(F.upper(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")))
+    return F.coalesce(F.when(ascii_, plain), _folded(F.when(~ascii_, c)), F.lit(""))
 
 
 def key_latin(c: Column) -> Column:
