@@ -8,9 +8,9 @@ latent part. A sentence of a clean document is to stay below -1, so each of its
 the sentence that speaks most for the label is its witness and is to rise above 1 by its word (first by the
 log-odds of the words, then by the machine itself), and so are words as good as never seen in other documents.
 
-The machine is exact for all clean sentences, though it holds few at a time: it is solved for the words that
-lie highest, all other clean words are scored, those beyond the margin join, and so on until none is left out.
-It works in the space of the Nyström landmarks; as the kernel is a sum over subsequences, the trained machine
+The first two turns, which only choose witnesses, take the FIRST_WORDS highest clean words. The last is solved
+for all of them, by Newton steps whose sums go over CHUNK words at a time and leave out those that are beyond
+the margin, so it holds the features of few words at once. It works in the space of the Nyström landmarks; as the kernel is a sum over subsequences, the trained machine
 is folded into one weight for each (hashed) subsequence, and scoring a word is a sum of table entries. A
 logistic model over a document's two highest words, fitted on labelled documents that training didn't see,
 gives the score; on the documents of sf0.1, two words tell more than two sentences do (3 false alarms, not 12).
@@ -39,10 +39,12 @@ from ._common import tune
 
 #: Labelled documents of either label that are used at most, and the characters that one has at most.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 10_000
-#: Highest clean words that the machine is first solved for, and rounds until the words beyond the margin are all in.
-FIRST_WORDS, ROUNDS = 4000, 40
+#: Highest clean words that the machine of the first turns is solved for; words whose features are held at once.
+FIRST_WORDS, CHUNK = 4000, 4096
 LAMBDA = 0.5
 LANDMARKS = 320
+#: Newton steps at most; they end when no word enters or leaves the margin.
+NEWTON = 12
 #: Log-odds from which a word counts as toxic in each toxic document that holds it.
 STRONG = 3.5
 BITS = 20
@@ -142,20 +144,6 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the squared-hinge machine (last one: bias), by Newton steps on its active rows."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)], dtype=np.float64)
-    w = np.zeros(x.shape[1])
-    for _ in range(12):
-        active = y * (x @ w) < 1
-        a = x[active] * cost[active, None]
-        step = np.linalg.solve(x[active].T @ a + ridge * np.eye(len(w)), a.T @ y[active])
-        if np.abs(step - w).max() < 1e-6:
-            break
-        w = step
-    return w
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Intercept and two slopes, none below 0, of weighted rows, by Newton steps with a small ridge."""
     x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
@@ -221,35 +209,48 @@ class Model:
             order = clean[np.argsort(-value[clean], kind="stable")]
             top = chosen[np.argsort(-times, kind="stable")]
             marks = [words[i] for i in [*top[: LANDMARKS * 2 // 3], *order[: LANDMARKS // 3]] if len(words[i]) > 1]
-            if not marks or not self._solve(words, marks, chosen, times * 3000.0 / len(pick), order, ROUNDS if turn == 2 else 2):
+            if not marks:
                 return
+            self._solve(words, marks, chosen, times * 3000.0 / len(pick), order if turn == 2 else order[:FIRST_WORDS])
 
-    def _solve(self, words: list[str], marks: list[str], chosen: np.ndarray, times: np.ndarray, clean: np.ndarray, rounds: int) -> bool:
-        """The machine of the chosen words against all clean ones (highest first), in the landmarks' space."""
+    def _solve(self, words: list[str], marks: list[str], chosen: np.ndarray, times: np.ndarray, clean: np.ndarray) -> None:
+        """The squared-hinge machine of the chosen words against the clean ones, in the landmarks' space, folded into the table.
+
+        Newton steps on the rows within the margin, which nearly all clean words are: their sums are those of all
+        clean words less those of the few beyond it.
+        """
         mid = _kernel(marks, marks).astype(np.float64)
         values, vectors = np.linalg.eigh((mid + mid.T) / 2)
         keep = values > 1e-3 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        at, codes_of = zip(*[(at, (codes, weight, norm)) for at, codes, weight, norm in _codes(marks)])
-        inside, new = np.zeros(len(words), bool), clean[:FIRST_WORDS]
-        held, x = np.zeros(0, np.int64), np.zeros((0, root.shape[1]))
-        good = _kernel([words[i] for i in chosen], marks) @ root
-        for _ in range(rounds):
-            held, x = np.concatenate([held, new]), np.vstack([x, _kernel([words[i] for i in new], marks) @ root])
-            inside[new] = True
-            y = np.concatenate([np.ones(len(chosen)), -np.ones(len(held))])
-            cost = np.concatenate([np.maximum(times, 2.0), np.full(len(held), 0.5)])
-            w = _machine(np.vstack([good, x]), y, cost)
+
+        def features(of: np.ndarray) -> np.ndarray:
+            return np.hstack([_kernel([words[i] for i in of], marks) @ root, np.ones((len(of), 1))])
+
+        def sums(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            square, total = np.zeros((root.shape[1] + 1,) * 2), np.zeros(root.shape[1] + 1)
+            for a in range(0, len(of), CHUNK):
+                x = features(of[a : a + CHUNK])
+                square += 0.5 * (x.T @ x)
+                total += 0.5 * x.sum(0)
+            return square, total
+
+        good, cost = features(chosen), np.maximum(times, 2.0)
+        every, folded = sums(clean), list(_codes(marks))
+        beyond, w = np.zeros(0, np.int64), np.zeros(root.shape[1] + 1)
+        for _ in range(NEWTON):
+            out = sums(beyond)
+            near = good @ w < 1
+            x = good[near] * cost[near, None]
+            w = np.linalg.solve(every[0] - out[0] + good[near].T @ x + np.eye(len(w)), x.sum(0) - every[1] + out[1])
             beta = root @ w[:-1]
             self.table, self.bias = np.zeros(1 << BITS, np.float32), float(w[-1])
-            for own, (codes, weight, norm) in zip(at, codes_of):
-                for i, c in zip(own, codes):
+            for at, codes, weight, norm in folded:
+                for i, c in zip(at, codes):
                     np.add.at(self.table, c, (beta[i] * weight / norm).astype(np.float32))
-            out = clean[~inside[clean]]
-            new = out[word_scores([words[i] for i in out], self.table, self.bias) > -1 + 1e-3]
-            if not len(new):
+            before, beyond = beyond, clean[word_scores([words[i] for i in clean], self.table, self.bias) < -1]
+            if len(before) == len(beyond) and (before == beyond).all() and ((good @ w < 1) == near).all():
                 break
-        return True
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts, 0 to 1."""

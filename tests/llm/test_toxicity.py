@@ -101,7 +101,7 @@ def test_machine_against_brute_force():
     model = toxicity.Model([])
     with np.errstate(over="ignore"):
         times = np.full(len(good), 5.0)
-        model._solve(words, words, np.arange(len(good)), times, np.arange(len(good), len(words)), 40)
+        model._solve(words, words, np.arange(len(good)), times, np.arange(len(good), len(words)))
         k = toxicity._kernel(words, words).astype(np.float64)
         got = toxicity.word_scores(words, model.table, model.bias)
     y, cost = np.array([1.0] * len(good) + [-1.0] * len(bad)), np.array([5.0] * len(good) + [0.5] * len(bad))
