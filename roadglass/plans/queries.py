@@ -508,21 +508,32 @@ def _customer_file(spark: SparkSession, d: str) -> str:
 
 @query
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of a delimited file as scanned: delimiter found, fields beyond the header left out."""
+    """The rows of a delimited file as scanned: delimiter found, fields beyond the header left out. The file stays, as the rows are read from it."""
     found = delimited.scan(spark, _customer_file(spark, d))
     return found.rows.select(F.lit(found.delimiter).alias("delimiter"), *[F.col(f"c{i}").alias(n) for i, n in enumerate(("id", "name", "since", "lat", "lon", "segment"))])
 
 
 @query
 def csv_malformed(spark: SparkSession, d: str) -> DataFrame:
-    found = delimited.scan(spark, _customer_file(spark, d))
-    return spark.createDataFrame([(found.rows.count(), delimited.malformed(found))], "row_count long, malformed_count long")
+    folder = _customer_file(spark, d)
+    found = delimited.scan(spark, folder)
+    row = (found.rows.count(), delimited.malformed(found))
+    files.remove(spark, folder)
+    return spark.createDataFrame([row], "row_count long, malformed_count long")
+
+
+def _report(spark: SparkSession, d: str) -> dict:
+    """The customers' file's report."""
+    folder = _customer_file(spark, d)
+    report = profile.profile_file(spark, folder)
+    files.remove(spark, folder)
+    return report
 
 
 @query
 def profile_report(spark: SparkSession, d: str) -> DataFrame:
     """The columns of a delimited file's report."""
-    report = profile.profile_file(spark, _customer_file(spark, d))
+    report = _report(spark, d)
     columns = [(r["name"], r["inferred_type"], r["non_null_count"], r["null_count"], r["null_pct"], r["unique_count"], r["parse_success_pct"], r["minimum"], r["maximum"], "|".join(r["sample_values"])) for r in report["columns"]]
     return spark.createDataFrame(columns, "name string, inferred_type string, non_null_count long, null_count long, null_pct double, unique_count long, parse_success_pct double, minimum string, maximum string, sample_values string")
 
@@ -530,7 +541,7 @@ def profile_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def profile_totals(spark: SparkSession, d: str) -> DataFrame:
     """What a delimited file's report says of the whole file."""
-    r = profile.profile_file(spark, _customer_file(spark, d))
+    r = _report(spark, d)
     c = r["coordinate_profile"]
     row = (r["delimiter"], r["row_count"], r["column_count"], r["duplicate_row_count"], r["duplicate_row_pct"], c["latitude_column"], c["longitude_column"], c["paired_non_null_count"], c["valid_coordinate_count"], c["valid_coordinate_pct"], "|".join(r["temporal_candidates"]), "|".join(r["warnings"]))
     return spark.createDataFrame([row], "delimiter string, row_count long, column_count long, duplicate_row_count long, duplicate_row_pct double, latitude_column string, longitude_column string, paired long, valid long, valid_pct double, temporal string, warnings string")

@@ -1,4 +1,4 @@
-"""Files at any path that Spark reads: what is there, their first bytes, their size and digest."""
+"""Files at any path that Spark reads: their first bytes, their size and digest."""
 
 from __future__ import annotations
 
@@ -42,6 +42,12 @@ def head(spark: SparkSession, path: str | Path, n: int) -> bytes:
     return next(pieces(spark, path, n), b"")
 
 
+def remove(spark: SparkSession, path: str | Path) -> None:
+    """Removes a file or folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def digest(path: str | Path) -> str:
     """SHA-256 of a local file, read in pieces."""
     with open(path, "rb") as f:
