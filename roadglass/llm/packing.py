@@ -28,7 +28,7 @@ from ._common import tune, written
 
 WINDOW = 1024
 #: Pieces that are placed at once; a document's pieces may lie in two chunks.
-GROUP_PIECES = 20_000
+GROUP_PIECES = 8_000
 #: Coordinate steps of the solver for each length at most; they end at their optimum well before, this only bounds the driver's work.
 STEPS_PER_LENGTH = 200
 #: Share of the rests by which no single count could still be bettered at the end, or a quarter of a rest.

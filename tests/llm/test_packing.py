@@ -119,3 +119,9 @@ def test_most_rests_are_packed_by_the_solver():
         rng = np.random.default_rng(seed)
         histogram = np.bincount(np.minimum(rng.exponential(300, 100_000).astype(int) + 1, 1023), minlength=1024)
         assert sum(k * 1024 for _, k in packing.solve(histogram)) > 0.75 * (histogram * np.arange(1024)).sum()
+
+
+def test_small_chunks(odd, odd_texts, monkeypatch):
+    """Ranks go on from chunk to chunk, whatever their size."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 3)
+    check(packing.pack(odd, VOCAB, P.PATTERN).collect(), odd_texts)
