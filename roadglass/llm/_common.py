@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 from collections.abc import Callable, Collection, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,13 @@ LOCAL_SHARED = "/tmp/checkpoints/roadglass"
 #: Rows and bytes of an Arrow batch; whole texts in a batch are what a Python worker's memory goes by.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 _TUNED = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-#: Paths and table names that this process has written to the shared folder.
+#: What was written outside of any `settled` call: path to table name.
 _WRITTEN: dict[str, str | None] = {}
+#: The registry of the innermost `settled` call of this thread; each call has one of its own.
+_REGISTRY: ContextVar[dict[str, str | None]] = ContextVar("roadglass_written", default=_WRITTEN)
+#: Settings in force: the value before the first of them, and those that are held now, the newest last.
+_HELD: dict[tuple[int, str], tuple[str, list[tuple[object, str]]]] = {}
+_HOLD = threading.Lock()
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,21 +46,38 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _session(spark: SparkSession) -> int:
+    """Tells sessions apart; several Python objects may stand for one."""
+    return spark._jsparkSession.hashCode()
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for what runs inside."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
+    """A session setting for what runs inside.
+
+    Callers in several threads share the session: the newest setting holds, and the last one out restores what was before the first.
+    """
+    mine, own = object(), (_session(spark), key)
+    with _HOLD:
+        before, held = _HELD.setdefault(own, (spark.conf.get(key), []))
+        held.append((mine, value))
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _HOLD:
+            held[:] = [x for x in held if x[0] is not mine]
+            spark.conf.set(key, held[-1][1] if held else before)
+            if not held:
+                del _HELD[own]
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of texts, for as long as the session or `settled` lasts."""
-    for key, value in _TUNED.items():
-        spark.conf.set(key, value)
+    """Bounds the Arrow batches of texts, for as long as the session lasts; inside `settled` they are bounded already."""
+    with _HOLD:
+        for key, value in _TUNED.items():
+            if (_session(spark), key) not in _HELD:
+                spark.conf.set(key, value)
 
 
 def arrow_rows(spark: SparkSession, n: int):
@@ -65,7 +89,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     """Writes df as Parquet into the shared folder and reads it again; cuts the lineage there. Gives the path too."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = None
+    _REGISTRY.get()[path] = None
     with setting(spark, _CLEAN_UP, "true"):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -76,7 +100,7 @@ def bucketed_at(df: DataFrame, name: str, buckets: int, column: str, codec: str
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{folder(spark)}/{name}"
-    _WRITTEN[path] = name
+    _REGISTRY.get()[path] = name
     with setting(spark, _CLEAN_UP, "true"):
         writer = df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column)
         (writer.partitionBy(apart) if apart else writer).saveAsTable(name)
@@ -93,31 +117,36 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if name := _WRITTEN.pop(path, None):
+    if name := _REGISTRY.get().pop(path, None):
         spark.sql(f"drop table if exists {name}")
 
 
 def sweep(spark: SparkSession, but: Collection[str] = ()) -> None:
-    """Removes every table that this process has written, except some; results that still read them must be saved before."""
-    for path in [p for p in _WRITTEN if p not in but]:
+    """Removes every table that this call, or this process outside of such calls, has written, except some; results that still read them must be saved before."""
+    for path in [p for p in _REGISTRY.get() if p not in but]:
         drop(spark, path)
 
 
 def settled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A function of a session whose result is written to the shared folder before it returns.
 
-    The tables that were written on the way are removed, and the session's settings are what they were.
+    The tables that were written on the way are removed, and the session's settings are what they were. Each call
+    knows its own tables only, so calls in several threads of a session leave each other's alone.
     """
 
     @functools.wraps(make)
     def run(spark: SparkSession, *args, **more) -> DataFrame:
-        before, settings = set(_WRITTEN), {k: spark.conf.get(k) for k in _TUNED}
+        mine: dict[str, str | None] = {}
+        outer = _REGISTRY.set(mine)
         try:
-            out, path = written(make(spark, *args, **more), make.__name__)
+            with ExitStack() as stack:
+                for key, value in _TUNED.items():
+                    stack.enter_context(setting(spark, key, value))
+                out, path = written(make(spark, *args, **more), make.__name__)
+            sweep(spark, {path})
         finally:
-            for k, v in settings.items():
-                spark.conf.set(k, v)
-        sweep(spark, before | {path})
+            _REGISTRY.reset(outer)
+            _REGISTRY.get().update(mine)
         return out
 
     return run

@@ -1,3 +1,5 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -41,3 +43,28 @@ def test_components_of_a_hub_and_a_path(spark):
     by = {r["node"]: r["root"] for r in found}
     assert len(found) == 300 + 101 and len({by[i] for i in range(300)}) == 1 and len({by[i] for i in range(1000, 1101)}) == 1
     assert by[0] != by[1000]
+
+
+def test_settled_calls_in_threads_leave_each_other_alone(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    setting, gate = spark.conf.get(rows), threading.Barrier(3, timeout=120)
+
+    def slow(spark, n):
+        kept, _ = _common.written(spark.range(n), "slow")
+        gate.wait()  # all have written before any ends
+        inner = _common.settled(lambda spark: kept.selectExpr("id + 1 as id"))
+        inner.__wrapped__.__name__ = "inner"
+        out = inner(spark)
+        gate.wait()
+        return out
+
+    with ThreadPoolExecutor(3) as pool:
+        outs = list(pool.map(lambda n: _common.settled(slow)(spark, n), (10, 20, 30)))
+    assert [df.count() for df in outs] == [10, 20, 30] and spark.conf.get(rows) == setting
+
+
+def test_queries_in_threads(spark):
+    names = ("op4_byte_shards", "op7_url_filter", "op8_quality_rules", "op13_kd_clusters")
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda n: queries.QUERIES[n](spark, SF).count(), names))
+    assert counts == [200, 50, 200, 500]
