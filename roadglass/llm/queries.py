@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, katz, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
+from . import bpe, katz, kdmeans, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
 from ._common import settled, written
 
 
@@ -22,6 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnRenamed("id", "doc_id")
 
 
+@settled
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_read(spark, sf_dir, "documents"), "text", "doc_id")
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -40,6 +41,7 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -58,6 +60,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_read(spark, sf_dir, "pages"))
 
 
+@settled
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(_read(spark, sf_dir, "documents"), "text", "doc_id")
     led = quality.apply_policy(led, "v1", "kept")
@@ -86,6 +89,11 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
+def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def _not_one(fold):
     return fold != 1
 
@@ -101,6 +109,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_katz": op10_katz,
+    "op13_kd_clusters": op13_kd_clusters,
     "quality_ablation": quality_ablation,
 }
 
@@ -194,4 +203,32 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE_SQL = {"op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
+
+
+def _kd_round(n: int) -> str:
+    """Centroids of round n from those of the round before."""
+    return f"""
+o{n} as (select r, e, (select c.k from c{n - 1} c order by list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.k limit 1) as k from v),
+s{n} as (select k, list(floor_mean order by i) as e from (
+  select k, i, sum(x) as s, count(*) as n, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as floor_mean
+  from (select k, unnest(e) as x, generate_subscripts(e, 1) as i from o{n}) group by k, i) group by k),
+c{n} as materialized (select c.k, coalesce(s.e, c.e) as e from c{n - 1} c left join s{n} s on s.k = c.k),"""
+
+
+_OP13 = f"""
+with v as materialized (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(64 * x::double)::hugeint) as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select k - 1 as k, e from (select e, row_number() over (order by sha256('1:' || vec_id::varchar) nulls last, e) as k from v) where k <= 16),
+{_kd_round(1)}{_kd_round(2)}{_kd_round(3)}
+d as (
+  select vec_id, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as distance,
+    row_number() over (partition by v.r order by list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.k) as place
+  from v cross join c3 c)
+select d.vec_id, d.k::int as cluster, distance::bigint as distance, (sum(distance) over (partition by d.k))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256
+from d join c3 c on c.k = d.k where place = 1
+"""
+
+ORACLE_SQL = {"op13_kd_clusters": _OP13, "op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
