@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, katz, kdmeans, neardedup, packing, pii, quality, shards, topk, toxicity, urlrules
+from . import bpe, katz, kdmeans, neardedup, packing, pii, quality, shards, topk, toxicity, trie, urlrules
 from ._common import settled, written
 
 
@@ -89,6 +89,11 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_read(spark, sf_dir, "conversations")).drop("position", "subtree_end")
+
+
 @settled
 def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdmeans.cluster(_read(spark, sf_dir, "embeddings"))
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_katz": op10_katz,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_kd_clusters": op13_kd_clusters,
     "quality_ablation": quality_ablation,
 }
@@ -174,11 +180,14 @@ select rule, (count(*) filter (bits & bit <> 0))::bigint as failed, (count(*) fi
   (count(*) filter (bits & ~bit = 0))::bigint as kept_without from b cross join r group by rule
 """
 
-_OP4 = """
-with recursive bits as (
+_CRC_TABLE = """bits as (
   select range as i, range::bigint as c, 0 as k from range(256)
   union all select i, xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), k + 1 from bits where k < 8),
 tab as (select list(c order by i) as t from bits where k = 8),
+"""
+
+_OP4 = f"""
+with recursive {_CRC_TABLE}
 h as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint + 1 as size from documents),
 y as (select doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::bigint) as y from h),
 d as (
@@ -231,4 +240,34 @@ select d.vec_id, d.k::int as cluster, distance::bigint as distance, (sum(distanc
 from d join c3 c on c.k = d.k where place = 1
 """
 
-ORACLE_SQL = {"op13_kd_clusters": _OP13, "op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
+_OP12 = f"""
+with recursive {_CRC_TABLE}
+t as (
+  select conv_id as c, coalesce(text, '') as text, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as key,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+  from conversations where conv_id is not null),
+h as (
+  select c, c - c % 100 as p, list_transform(regexp_extract_all(hex(encode(c::varchar)), '..'), lambda x: ('0x' || x)::bigint) as y, count(*) as m from t group by c),
+g as (
+  select c, p, m, xor(list_reduce(y, lambda a, v: xor(a >> 8, t[xor(a & 255, v) + 1]), 4294967295::bigint), 4294967295) % 6 as h from h, tab),
+r as (
+  select g.c, t.pos, t.key, t.text, 0 as half from g join t on t.c = g.p and t.pos < g.h
+  union all select g.c, t.pos, t.key, t.text, 1 from g join t on t.c = g.c and t.pos >= g.h),
+s as (select c, row_number() over (partition by c order by half, pos) as d, key, length(text) as size from r),
+x as (select g.c, list(s.key order by s.d) filter (s.key is not null) as keys, list(s.size order by s.d) filter (s.key is not null) as sizes from g left join s on s.c = g.c group by g.c),
+w as (select c, coalesce(keys, []) as keys, coalesce(sizes, []) as sizes from x),
+q as (select c, keys[:d] as node, d, coalesce(sizes[d], 0) as size, d = len(keys) as last from (select c, keys, sizes, unnest(range(len(keys) + 1)) as d from w)),
+n as materialized (
+  select node, d, min(c) as conv_id, count(*) as n_convs, max(size) as size, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends_sha256
+  from q group by node, d),
+k as (select node[:d - 1] as node, count(*) as n_children from n where d > 0 group by all),
+f as (select n.*, coalesce(k.n_children, 0) as n_children from n left join k on k.node = n.node),
+u as (
+  select over_node, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * size) as saved_tokens
+  from (select f.*, f.node[:e] as over_node from (select *, unnest(range(d + 1)) as e from f) f) group by over_node)
+select f.conv_id, f.d::bigint as depth, p.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+  u.n_leaves::bigint as n_leaves, u.saved_tokens::bigint as saved_tokens, f.ends_sha256
+from f join u on u.over_node = f.node left join n p on f.d > 0 and p.node = f.node[:f.d - 1]
+"""
+
+ORACLE_SQL = {"op12_prefix_trie": _OP12, "op13_kd_clusters": _OP13, "op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
