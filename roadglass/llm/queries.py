@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, katz, kdmeans, neardedup, packing, pii, quality, shards, topk, toxicity, trie, urlrules
+from . import bpe, katz, kdmeans, neardedup, nndescent, packing, pii, quality, shards, topk, toxicity, trie, urlrules
 from ._common import settled, written
 
 
@@ -89,6 +89,11 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@settled
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_links(_read(spark, sf_dir, "embeddings"))
+
+
 @settled
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_read(spark, sf_dir, "conversations")).drop("position", "subtree_end")
@@ -114,6 +119,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_katz": op10_katz,
+    "op11_nn_descent": op11_nn_descent,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_kd_clusters": op13_kd_clusters,
     "quality_ablation": quality_ablation,
@@ -240,6 +246,19 @@ select d.vec_id, d.k::int as cluster, distance::bigint as distance, (sum(distanc
 from d join c3 c on c.k = d.k where place = 1
 """
 
+_OP11 = """
+with recursive v as (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: x::double) as e from embeddings),
+g as (
+  select r, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.r, b.r as o from g a join g b on a.r <> b.r and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) >= 0.95),
+c as (select r, r as o from v union select c.r, l.o from c join l on l.r = c.o),
+m as (select c.r, min(v.vec_id) as component_id from c join v on v.r = c.o group by c.r)
+select v.vec_id, (select count(*) from l where l.r = v.r)::bigint as n_links, m.component_id, v.vec_id is not distinct from m.component_id as kept
+from v join m on m.r = v.r
+"""
+
 _OP12 = f"""
 with recursive {_CRC_TABLE}
 t as (
@@ -270,4 +289,4 @@ select f.conv_id, f.d::bigint as depth, p.conv_id as parent_conv_id, f.n_convs::
 from f join u on u.over_node = f.node left join n p on f.d > 0 and p.node = f.node[:f.d - 1]
 """
 
-ORACLE_SQL = {"op12_prefix_trie": _OP12, "op13_kd_clusters": _OP13, "op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
+ORACLE_SQL = {"op11_nn_descent": _OP11, "op12_prefix_trie": _OP12, "op13_kd_clusters": _OP13, "op4_byte_shards": _OP4, "op6_top_k": _OP6, "op7_url_filter": _OP7, "op8_quality_rules": _OP8, "quality_ablation": _ABLATION}
