@@ -4,7 +4,7 @@ Generators propose spans that may overlap: emails and their spelt-out forms, wit
 addresses and IPv6 addresses whole or compressed, card and account numbers, phone numbers with and without a
 country, social-security numbers, and long words with digits, which may be secrets (tokens, keys, passwords).
 Boosted trees score each from its format and its context, the scores are calibrated on held-out rows, and
-each kind has the threshold at which its precision there meets a target. Selected spans are taken best
+each kind has the least threshold at which its precision there meets a target. Selected spans are taken best
 first, without overlaps. The exact base patterns are always selected; the trees only add to them.
 
 The trees are fitted on the driver on a bounded, seeded set of generated examples (TRAIN_ROWS), as no table
@@ -121,6 +121,8 @@ _CUES = (
 )
 
 
+#: How addresses mostly end.
+_NAMED = re.compile(r"(?i)(?:\.|dot)[\])}]?[ ]?(?:com|org|net|edu|gov|io|info|eu|de|fr|es|it|uk|us|co)$")
 _HEX = frozenset("0123456789abcdefABCDEF")
 
 
@@ -158,6 +160,11 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         len(set(span)),
         float(set(span) <= _HEX),
         span.count("_") + span.count("-"),
+        span.count(":"),
+        sum(c in "[](){}" for c in span),
+        float(kind == "email" and _NAMED.search(span) is not None),
+        float(before[-1:].isdigit() or before[-2:-1].isdigit()),
+        max(map(len, re.findall(r"[A-Za-z0-9]+", span)), default=0),
         *[float(bool(c.search(before))) for c in _CUES],
     ]
 
@@ -204,11 +211,13 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             h = lambda: f"{rng.randrange(65536):x}"
             s = ":".join(h() for _ in range(rng.randint(1, 4))) + "::" + ":".join(h() for _ in range(rng.randint(1, 3)))
             cue = rng.choice(cues["ip"] + ["", w() + " "])
-            if not good:
+            if not good or not any(len(x) > 2 for x in s.split(":")):
+                good = False
                 s, cue = rng.choice([(f"{d(2)}::{d(2)}", ""), (f"{w()}::{w()}", ""), (f"{rng.choice('abcdef')}::{rng.choice('abcdef')}", "x"), (":".join(["1"] * 6) + "::" + ":".join(["2"] * 4), "")])
         elif kind == "email":
-            s = f"{w()} {rng.choice(['[at]', '(at)', '{at}', '[ at ]'])} {w()} {rng.choice(['[dot]', '(dot)', '{dot}'])} com" if good else f"{w()} (at) {w()}.{w()}"
-            cue = rng.choice(cues["email"] + ["", w() + " "]) if good else rng.choice(["", "met ", "stayed "])
+            at, dot, end = rng.choice(["[at]", "(at)", "{at}", "[ at ]", "[@]"]), rng.choice([" [dot] ", " (dot) ", "{dot}", " [.] ", "."]), rng.choice(["com", "com", "org", "net", "edu", "io", "de", "fr"])
+            s = f"{w()}{rng.choice(['.', '_', ''])}{w()} {at} {w()}{dot}{end}" if good else f"{w()} {at} {w()}{rng.choice(['.', dot])}{w()}x"
+            cue = rng.choice(cues["email"] + ["", "", w() + " ", w() + ", "]) if good else rng.choice(["", "met ", "stayed ", w() + " "])
         elif kind == "ip":
             s, cue = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), ""
             if not good:
@@ -217,7 +226,10 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             number = with_check(rng.choice(["3" + rng.choice("068") + d(11), rng.choice("3456") + d(14), rng.choice("3456") + d(14)])) if good else d(rng.choice([14, 16, 16]))
             sep = rng.choice(["", " ", "-"]) if good else rng.choice(["", " ", "-", "."])
             s = sep.join((number[:4], number[4:10], number[10:])) if len(number) == 14 else grouped(number, 4, sep)
+            good = number[0] in "3456" and luhn(number)  # as for the base pattern, a valid number is a card wherever it stands
             cue = rng.choice(cues["card"] * (1 + good) + [w() + " "]) if good else rng.choice(bad + [w() + " "] * 4)
+            if rng.random() < 0.4:  # other numbers stand before it
+                cue = rng.choice([f"{d(rng.randint(1, 4))} ", f"{w()} {d(1)}.{d(1)}.{d(2)}.{d(1)} ", f"{d(16)} ", grouped(d(16), 4, " ") + " ", f"{d(2)}-", f"+{d(9)}, "])
         elif kind == "phone":
             a, b, c = d(3), d(3), d(4)
             s = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {d(3)} {d(4)} {d(2)}", f"0{rng.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{rng.randint(1, 9)}{d(2)}/{d(4)}{d(3)}", f"0{rng.randint(1, 9)}{d(3)} {d(3)} {d(4)}"]) if good else rng.choice([f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}-{b}-{c}", f"00{d(2)}{d(4)}{d(4)}", f"0{rng.randint(1, 9)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{rng.randint(1, 9)}{d(3)}-{d(3)}{d(4)}"])
@@ -234,7 +246,8 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         for k, p in _GENERATORS:
             for m in p.finditer(text):
                 rows.append(features(text, k, *m.span()))
-                labels.append(float(good and k == kind))
+                here = m.start() < len(head) + len(s) and m.end() > len(head)  # not a number that only stands before it
+                labels.append(float(k == kind and (good if here else k == "card" and m.group()[0] in "3456" and luhn("".join(_DIGIT.findall(m.group()))))))
     return np.array(rows[:n]), np.array(labels[:n])
 
 
@@ -244,31 +257,34 @@ class Trees:
     def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24):
         self.rounds, self.depth, self.rate, self.bins, self.trees, self.bias = rounds, depth, rate, bins, [], 0.0
 
-    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+    def _grow(self, at: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+        """A tree over the rows whose bins are `at`; sums of each bin give the gain of every cut of a feature at once."""
         leaf = float(g.sum() / (h.sum() + 1.0))
         if depth == 0 or len(g) < 20:
             return leaf
         best, gain = None, 1e-3 + g.sum() ** 2 / (h.sum() + 1.0)
-        for j in range(x.shape[1]):
-            values = np.unique(x[:, j])
-            if len(values) > self.bins:
-                values = np.unique(np.quantile(values, np.linspace(0, 1, self.bins)))
-            for cut in values[:-1]:
-                left = x[:, j] <= cut
-                score = sum(g[m].sum() ** 2 / (h[m].sum() + 1.0) for m in (left, ~left))
-                if score > gain:
-                    best, gain = (j, float(cut)), score
+        for j, cuts in enumerate(self.cuts):
+            if not len(cuts):
+                continue
+            gl, hl = (np.bincount(at[:, j], v, len(cuts) + 1).cumsum()[:-1] for v in (g, h))
+            score = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0)
+            if score.max() > gain:
+                best, gain = (j, int(score.argmax())), score.max()
         if best is None:
             return leaf
-        left = x[:, best[0]] <= best[1]
-        return (*best, self._grow(x[left], g[left], h[left], depth - 1), self._grow(x[~left], g[~left], h[~left], depth - 1))
+        left = at[:, best[0]] <= best[1]
+        return (best[0], float(self.cuts[best[0]][best[1]]), *(self._grow(at[m], g[m], h[m], depth - 1) for m in (left, ~left)))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+        self.cuts = []
+        for values in map(np.unique, x.T):
+            self.cuts.append((np.unique(np.quantile(values, np.linspace(0, 1, self.bins))) if len(values) > self.bins else values)[:-1])
+        at = np.stack([np.searchsorted(c, column) for c, column in zip(self.cuts, x.T)], 1)
         f = np.full(len(y), self.bias)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, y - p, p * (1 - p), self.depth)
+            tree = self._grow(at, y - p, p * (1 - p), self.depth)
             self.trees.append(tree)
             f += self.rate * np.array([self._value(tree, row) for row in x])
         return self
@@ -305,11 +321,9 @@ def fitted(seed: int = 11) -> tuple[Trees, np.ndarray, np.ndarray, np.ndarray]:
         cuts = np.full(len(KINDS), 1.01)
         for k in range(len(KINDS)):
             own = hx[:, 0] == k
-            for cut in np.unique(calibrated[own & (calibrated >= LEAST_SURE)])[::-1]:
-                chosen = own & (calibrated >= cut)
-                if hy[chosen].mean() >= TARGET_PRECISION:
+            for cut in np.unique(calibrated[own & (calibrated >= LEAST_SURE)]):
+                if hy[own & (calibrated >= cut)].mean() >= TARGET_PRECISION:
                     cuts[k] = cut
-                else:
                     break
         _FITTED[seed] = (trees, upper, prob, cuts)
     return _FITTED[seed]
