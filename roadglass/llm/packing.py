@@ -9,15 +9,17 @@ finds its window from its rank among the pieces of its length, which is its chun
 there; chunks are GROUP_PIECES pieces at most, and no length, however common, is gathered in one task.
 
 The pieces are written to the shared folder once, so ranks stay what they are if an executor is lost.
-Null and empty texts hold the closing id only. Repeated rows and ids are packed row by row. An empty
+Ids are those of the tokenizers library: the file's added tokens keep their own id inside texts as well. Null and empty
+texts hold the closing id only. Repeated rows and ids are packed row by row. An empty
 table gives no pieces. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ ROUNDS = 3
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
-    """The tokens' bytes and ids of a byte-level tokenizer file, without special tokens."""
+    """The tokens' bytes and ids of a byte-level tokenizer file, without added tokens."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,6 +48,36 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(shown[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The texts that a tokenizer file keeps whole, wherever they stand in a text, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that take in what is around them aren't supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder(vocab: dict[bytes, int], added: dict[str, int], pattern: str) -> Callable[[str], list[int]]:
+    """Ids of a text: its added tokens are found first (the longest where several begin), what is between them is encoded on its own."""
+    import tiktoken
+
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocab, special_tokens={}).encode_ordinary
+    if not added:
+        return plain
+    split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def encode(text: str) -> list[int]:
+        parts = split.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        ids: list[int] = []
+        for k, part in enumerate(parts):
+            ids += [added[part]] if k % 2 else plain(part)
+        return ids
+
+    return encode
+
+
 def solve(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of 2 or 3 lengths that fill a window, each with its count; together within the histogram.
 
@@ -134,10 +166,9 @@ def _tokenised(vocab, pattern: str, end_id: int, window: int):
     """Documents to pieces: full windows with their checksums, and the rest with its ids."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
         from pyspark import TaskContext
 
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocab.value, special_tokens={}).encode_ordinary
+        encode = encoder(*vocab.value, pattern)
         part, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
@@ -209,7 +240,7 @@ def pack(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", t
     """Every piece of every row: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark: SparkSession = df.sparkSession
     tune(spark)
-    vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))  # as large as the vocabulary, whatever the corpus
+    vocab = spark.sparkContext.broadcast((vocabulary(vocab_path), added_tokens(vocab_path)))  # as large as the vocabulary, whatever the corpus
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "part long, n long, id long, start long, length int, crc long, total long, ids binary"
     pieces, _ = written(docs.mapInPandas(_tokenised(vocab, pattern, end_id, window), schema), "pieces")

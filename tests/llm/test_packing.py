@@ -12,9 +12,7 @@ VOCAB = P.path("byte_bpe_50k.json")
 
 
 def library():
-    t = Tokenizer.from_file(VOCAB)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCAB)
 
 
 def check(rows, docs):
@@ -86,6 +84,22 @@ def test_ids_as_tokenizers_library():
         assert e.ids == enc.encode_ordinary(t), t
 
 
+def test_added_tokens_as_tokenizers_library(spark):
+    tok, end = library(), "<|endoftext|>"
+    own = packing.encoder(packing.vocabulary(VOCAB), packing.added_tokens(VOCAB), P.PATTERN)
+    texts = [end, f"a{end}b", f"foo {end} bar", end * 2, f" {end}\n", f"{end} x", f"x {end}", f"<|endoftext{end}|>", f"é{end}'s{end}  1", "<|endoftext |>", f"a{end[:-1]}"]
+    for t in texts:
+        assert own(t) == tok.encode(t, add_special_tokens=False).ids, t
+    assert own(f"a{end}b") == [64, 50256, 65]
+    docs = list(enumerate(texts + [f"some text {end}" * 700]))
+    check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), VOCAB, P.PATTERN).collect(), docs)
+
+
+def test_overlapping_added_tokens():
+    own = packing.encoder({bytes([i]): i for i in range(256)}, {"<a": 300, "<a>": 301, "a>": 302}, P.PATTERN)
+    assert own("<a>a>x<a") == [301, 302, 120, 300]
+
+
 def test_solver_is_optimal():
     """No count of a combination, raised or lowered by itself, brings the sum of squares down by more than the tolerance allows."""
     import itertools
