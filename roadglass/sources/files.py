@@ -42,6 +42,17 @@ def head(spark: SparkSession, path: str | Path, n: int) -> bytes:
     return next(pieces(spark, path, n), b"")
 
 
+def tail(spark: SparkSession, path: str | Path, n: int) -> bytes:
+    """The last n bytes of a file, or all of a shorter one."""
+    fs, at = _located(spark, path)
+    stream = fs.open(at)
+    try:
+        stream.seek(max(0, fs.getFileStatus(at).getLen() - n))
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str | Path) -> None:
     """Removes a file or folder, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
