@@ -7,6 +7,7 @@ executors. Order-dependent measures (samples, the cap's flag) use the ordinal of
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions.dates import parse_datetime, with_rare
 from ..functions.text import header_name, is_boolean_token, is_null_token, strip
+from ..session import shared_dir
 from ..sources import delimited, files
 from .events import valid_point
 
@@ -28,9 +30,13 @@ LATITUDE_NAMES = ("lat", "latitude", "latitud")
 LONGITUDE_NAMES = ("lon", "lng", "long", "longitude", "longitud")
 
 
-def distinct_values(df: DataFrame, columns: list[str], ordinal: Column | str) -> DataFrame:
-    """pos, value (stripped; null for null tokens), cnt, first and last ordinal of every distinct value of every column."""
-    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])
+def distinct_values(df: DataFrame, columns: list[str], ordinal: Column | str, more: dict[int, Column] | None = None) -> DataFrame:
+    """pos, value (stripped; null for null tokens), cnt, first and last ordinal of every distinct value of every column.
+
+    `more` has values of whole rows by position, which are counted on the way.
+    """
+    values = dict(enumerate(F.col(f"`{c}`").cast("string") for c in columns)) | (more or {})
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), v.alias("v")) for i, v in values.items()])
     long = df.select((F.col(ordinal) if isinstance(ordinal, str) else ordinal).alias("o"), F.explode(cells).alias("cell")).select("o", "cell.*")
     long = long.select("pos", "o", F.when(~is_null_token(F.col("v")), strip(F.col("v"))).alias("value"))
     return long.groupBy("pos", "value").agg(F.count("*").alias("cnt"), F.min("o").alias("first"), F.max("o").alias("last"))
@@ -79,7 +85,11 @@ def infer(n: Column, boolean: Column, numeric: Column, dates: Column, floats: Co
 
 def column_profiles(df: DataFrame, columns: list[str], ordinal: Column | str, full: bool = True, cap: int = UNIQUE_CAP) -> DataFrame:
     """One row a column, in order: counts, type, range and samples (see `profile_file` for their names)."""
-    distinct = distinct_values(df, columns, ordinal)
+    return profiles(distinct_values(df, columns, ordinal), full, cap)
+
+
+def profiles(distinct: DataFrame, full: bool = True, cap: int = UNIQUE_CAP) -> DataFrame:
+    """`column_profiles` of distinct values."""
     values = classify(distinct, full)
     known = F.col("value").isNotNull()
     weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0))
@@ -112,21 +122,30 @@ def column_profiles(df: DataFrame, columns: list[str], ordinal: Column | str, fu
     ).orderBy("pos")
 
 
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's stripped values and their lengths, null and empty alike."""
+    values = [F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
+    return F.sha2(F.concat_ws(",", *[x for v in values for x in (F.length(v).cast("string"), v)]), 256)
+
+
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: row_count, and duplicate_row_count by stripped values, null and empty alike.
 
     Rows are told apart by SHA-256 of their values with their lengths, so 32 bytes of a row are shuffled, however long it is.
     """
-    values = [F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
-    whole = F.concat_ws(",", *[x for v in values for x in (F.length(v).cast("string"), v)])
-    groups = df.select(F.unhex(F.sha2(whole, 256)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
+    groups = df.select(F.unhex(row_digest(columns)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
+def coordinate_flags(latitude: Column, longitude: Column) -> tuple[Column, Column]:
+    """Whether both coordinates are there, and whether they are on the globe."""
+    paired = ~is_null_token(latitude) & ~is_null_token(longitude)
+    return paired, paired & valid_point(numbers.number(latitude), numbers.number(longitude))
+
+
 def coordinate_counts(df: DataFrame, latitude: Column, longitude: Column) -> DataFrame:
     """One row: pairs of coordinates that are both there, those on the globe, and the percentage."""
-    paired = ~is_null_token(latitude) & ~is_null_token(longitude)
-    valid = paired & valid_point(numbers.number(latitude), numbers.number(longitude))
+    paired, valid = coordinate_flags(latitude, longitude)
     out = df.agg(F.count_if(paired).alias("paired_non_null_count"), F.count_if(valid).alias("valid_coordinate_count"))
     return out.withColumn("valid_coordinate_pct", numbers.percent(F.col("valid_coordinate_count"), F.col("paired_non_null_count")))
 
@@ -171,25 +190,54 @@ def temporal(profiles: DataFrame) -> DataFrame:
     return profiles.where("inferred_type = 'datetime'").orderBy("pos")
 
 
+#: Places of what is counted of whole rows, beside the columns: the row itself, its coordinates, its extra fields.
+ROW, PAIR, LONG = -1, -2, -3
+
+
+def scanned(table: delimited.Table) -> DataFrame:
+    """The distinct values of a table's columns and of whole rows, in one aggregation over one scan.
+
+    Metrics observed on the way would be counted twice where a lost executor's tasks run again; an aggregation isn't.
+    """
+    more = {ROW: row_digest(table.columns), LONG: F.when(F.col(delimited.EXTRA).isNotNull(), F.lit("long"))}
+    lat, lon = coordinate_columns(table.names)
+    if lat is not None and lon is not None:
+        paired, valid = coordinate_flags(F.col(f"c{lat}"), F.col(f"c{lon}"))
+        more[PAIR] = F.when(valid, F.lit("valid")).when(paired, F.lit("invalid"))
+    return distinct_values(table.rows, table.columns, delimited.ORDINAL, more)
+
+
 def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig", now: datetime | None = None) -> dict[str, Any]:
-    """The whole report of a delimited file, at any path that Spark reads."""
+    """The whole report of a delimited file, at any path that Spark reads.
+
+    The rows are parsed once; their distinct values are a table in the shared folder until the report is made.
+    """
     table = delimited.scan(spark, path, delimiter, encoding)
     size, sha256 = files.size_and_digest(spark, path)
-    rows = table.rows.persist()
+    folder = f"{shared_dir(spark)}/profile-{uuid.uuid4().hex}"
     try:
+        scanned(table).write.parquet(folder)
+        distinct = spark.read.parquet(folder)
         names = F.array(*map(F.lit, table.names))
-        found = column_profiles(rows, table.columns, delimited.ORDINAL).withColumn("name", F.element_at(names, F.col("pos") + 1))
+        found = profiles(distinct.where("pos >= 0")).withColumn("name", F.element_at(names, F.col("pos") + 1))
         found = found.withColumn("messages", column_messages(F.col("name"), F.col("null_pct"), F.col("unique_count_is_capped")))
         by_pos = {r["pos"]: r.asDict() for r in found.collect()}  # one row a column
-        counts = duplicate_rows(rows, table.columns).first()
-        lat, lon = coordinate_columns(table.names)
-        coordinates = None
-        if lat is not None and lon is not None:
-            pair = coordinate_counts(rows, F.col(f"c{lat}"), F.col(f"c{lon}")).first().asDict()
-            coordinates = {"latitude_column": table.names[lat], "longitude_column": table.names[lon]} | pair
-        bad = delimited.malformed(delimited.Table(rows, table.names, table.delimiter))
+        of = lambda pos, weight="cnt", **value: F.coalesce(F.sum(F.when((F.col("pos") == pos) & F.col("value").isin(*value["of"]) if value else F.col("pos") == pos, F.expr(weight))), F.lit(0))
+        counts = distinct.where("pos < 0").agg(
+            of(ROW).alias("rows"),
+            of(ROW, "cnt - 1").alias("duplicates"),
+            of(LONG, of=["long"]).alias("long"),
+            of(PAIR, of=["valid", "invalid"]).alias("paired"),
+            of(PAIR, of=["valid"]).alias("valid"),
+        )
+        counts = counts.withColumn("pct", numbers.percent(F.col("valid"), F.col("paired"))).first()
     finally:
-        rows.unpersist()
+        files.remove(spark, folder)
+    lat, lon = coordinate_columns(table.names)
+    coordinates = None
+    if lat is not None and lon is not None:
+        coordinates = {"latitude_column": table.names[lat], "longitude_column": table.names[lon], "paired_non_null_count": counts["paired"], "valid_coordinate_count": counts["valid"], "valid_coordinate_pct": counts["pct"]}
+    bad = counts["long"]
     empty = {"inferred_type": "empty", "non_null_count": 0, "null_count": 0, "null_pct": 0.0, "unique_count": 0, "unique_count_is_capped": False, "parse_success_pct": None, "sample_values": [], "messages": []}
     columns, messages = [], []
     for i, name in enumerate(table.names):
@@ -202,7 +250,7 @@ def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None =
         keep = ("inferred_type", "non_null_count", "null_count", "null_pct", "unique_count", "unique_count_is_capped", "parse_success_pct")
         columns.append({"name": name} | {k: r[k] for k in keep} | {"minimum": low, "maximum": high, "sample_values": list(r["sample_values"])})
         messages += r["messages"]
-    n, duplicates = counts["row_count"], counts["duplicate_row_count"]
+    n, duplicates = counts["rows"], counts["duplicates"]
     dates = [c["name"] for c in columns if c["inferred_type"] == "datetime"]
     valid = F.lit(coordinates and coordinates["valid_coordinate_pct"]).cast("double")
     general = general_messages(F.lit(n), F.lit(duplicates), F.lit(bad), valid, F.lit(coordinates is not None), F.lit(bool(dates)))

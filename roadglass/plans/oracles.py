@@ -178,6 +178,8 @@ SQL = {
       from (select c_custkey, case when c_custkey % 2 = 0 then floor(c_acctbal) else c_acctbal end as x from customer)""",
     "csv_sink": """select 'n_nationkey,name,v' as line union all select n_nationkey || ',' || case when n_nationkey % 2 = 0 then concat('"', n_name, ', ', repeat('"', 2), 'x', repeat('"', 3)) else n_name end || ',' ||
       case n_nationkey % 3 when 0 then '' when 1 then (n_nationkey / 8)::varchar else '1e-07' end from nation""",
+    "ordered_sink": """select row_number() over (order by c_acctbal desc, c_custkey) - 1 as place, c_custkey, c_acctbal::double as balance,
+      c_mktsegment || case when c_custkey % 7 = 0 then chr(10) || '"again"' else '' end as segment from customer""",
     "csv_scan": f"""select ';' as delimiter, id, name, since, lat, lon, segment from ({_FILE})""",
     "csv_malformed": f"""select count(*)::bigint as row_count, (count(*) filter (k % 100 = 7))::bigint as malformed_count from ({_FILE})""",
     "profile_report": f"""with f as ({_FILE}), a as (select count(*) as n, count(*) filter (k % 3 <> 0) as m, count(distinct lat) as lats, count(distinct lon) as lons, count(distinct since) as days,

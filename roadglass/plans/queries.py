@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -475,35 +474,39 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _local(path: str) -> Path:
-    """A path that the driver itself opens, as a single-file sink needs."""
-    return Path(path.removeprefix("file:"))
-
-
 @query
 def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the nations' file: quotes only where needed, nulls as empty fields, doubles as Python prints them."""
-    path = _local(_scratch(spark, "nations"))
+    path = _scratch(spark, "nations")
     value = F.when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey") / 8).when(F.col("n_nationkey") % 3 == 2, 1e-7)
     rows = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ', "x"').otherwise("")).alias("name"), value.alias("v"))
     sinks.write_csv(rows, path)
-    lines = path.read_bytes().decode().split("\r\n")[:-1]  # the table has 25 rows at every size
-    path.unlink()
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
+
+
+@query
+def ordered_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by balance as one file that many tasks write, and each one's line in it: the frame's order is the file's."""
+    path = _scratch(spark, "balances")
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, F.lit('\n"again"')).otherwise("")).alias("segment"))
+    rows = rows.repartitionByRange(n, F.desc("balance"), "c_custkey").sortWithinPartitions(F.desc("balance"), "c_custkey")
+    sinks.write_csv(rows, path)
+    return delimited.scan(spark, path, ",").rows.select(F.col(delimited.ORDINAL).alias("place"), F.col("c0").cast("long").alias("c_custkey"), F.col("c1").cast("double").alias("balance"), F.col("c2").alias("segment"))
 
 
 def _customer_file(spark: SparkSession, d: str) -> str:
-    """Customers as one delimited file with blank lines, repeated rows and rows of too many fields; its folder."""
+    """Customers as one delimited file with quoted line breaks, blank lines, repeated rows and rows of too many fields; its path."""
     k = F.col("c_custkey")
     segment = F.when(k % 3 == 0, F.lit(" N/A ")).otherwise(F.concat(F.lit('"'), "c_mktsegment", F.lit(';"')))
     fields = (k.cast("string"), F.col("c_name"), F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (k % 2000).cast("int")), "dd/MM/yyyy"), (F.col("c_acctbal") / 50).cast("string"), (F.col("c_nationkey") * 20 - 180).cast("string"), segment)
     line = F.concat(F.concat_ws(";", *fields), F.when(k % 100 == 7, ";more;and more").when(k % 100 == 9, "\n").otherwise(""))
     twice = F.explode(F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("i")
     lines = table(spark, d, "customer").select(k.alias("k"), twice, line.alias("line"))
-    lines = lines.union(spark.createDataFrame([(-1, 0, "id;name;since; LATITÚD ;Lon;segment")], "k long, i int, line string"))
-    folder = _scratch(spark, "customers")
-    lines.coalesce(1).sortWithinPartitions("k", "i").select("line").write.text(folder)
-    return folder
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = _scratch(spark, "customers")
+    sinks.write_lines(lines.repartitionByRange(n, "k", "i").sortWithinPartitions("k", "i").select("line"), path, "id;name;since; LATITÚD ;Lon;segment\n")
+    return path
 
 
 @query
@@ -515,18 +518,18 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def csv_malformed(spark: SparkSession, d: str) -> DataFrame:
-    folder = _customer_file(spark, d)
-    found = delimited.scan(spark, folder)
+    path = _customer_file(spark, d)
+    found = delimited.scan(spark, path)
     row = (found.rows.count(), delimited.malformed(found))
-    files.remove(spark, folder)
+    files.remove(spark, path)
     return spark.createDataFrame([row], "row_count long, malformed_count long")
 
 
 def _report(spark: SparkSession, d: str) -> dict:
     """The customers' file's report."""
-    folder = _customer_file(spark, d)
-    report = profile.profile_file(spark, folder)
-    files.remove(spark, folder)
+    path = _customer_file(spark, d)
+    report = profile.profile_file(spark, path)
+    files.remove(spark, path)
     return report
 
 

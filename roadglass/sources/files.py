@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as arrow_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,21 +68,56 @@ def digest(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def size_and_digest(spark: SparkSession, path: str | Path) -> tuple[int, str]:
-    """Bytes and SHA-256 of a file of any size."""
-    h, n = hashlib.sha256(), 0
-    for data in pieces(spark, path):
-        h.update(data)
-        n += len(data)
-    return n, h.hexdigest()
-
-
 def content_digests(df: DataFrame, content: str) -> DataFrame:
     """df without its column `content`, but with its size_bytes and sha256."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != content]
     return df.select(*rest, F.octet_length(content).cast("long").alias("size_bytes"), F.sha2(content, 256).alias("sha256"))
 
 
+def _stream(path: str):
+    """A file opened by an executor, at a path as Spark lists it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    fs, at = arrow_files.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/"))
+    return fs.open_input_stream(at)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths to the sizes and digests of their files, read piece by piece."""
+    for batch in batches:
+        rows = []
+        for path in batch.column("path").to_pylist():
+            h, n = hashlib.sha256(), 0
+            with _stream(path) as f:
+                while data := f.read(PIECE):
+                    h.update(data)
+                    n += len(data)
+            rows.append((path, n, h.hexdigest()))
+        yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("path", "size_bytes", "sha256"))}, _DIGESTS)
+
+
+_DIGESTS = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string())])
+#: Stores that executors open themselves; at others Spark reads whole files, of under 2 GB.
+STREAMED = ("file", "s3", "s3a", "gs", "hdfs")
+
+
 def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, size_bytes, sha256 of every file under a path, on the executors (files under 2 GB; larger ones: `size_and_digest`)."""
-    return content_digests(spark.read.format("binaryFile").load(path).select("path", "content"), "content")
+    """path, size_bytes, sha256 of every file under a path, on the executors.
+
+    Only the listing is Spark's; a task streams its files through the hash, whatever their size. At a store that only
+    Spark's readers open, a file must be under 2 GB.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    first = path if isinstance(path, str) else path[0]
+    at = spark._jvm.org.apache.hadoop.fs.Path(first)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in STREAMED:
+        return listed.select("path").mapInArrow(_hashed, "path string, size_bytes long, sha256 string")
+    return content_digests(listed.select("path", "content"), "content")
+
+
+def size_and_digest(spark: SparkSession, path: str | Path) -> tuple[int, str]:
+    """Bytes and SHA-256 of a file of any size, by one task."""
+    _, at = _located(spark, path)
+    r = file_digests(spark, at.toString()).first()
+    return r["size_bytes"], r["sha256"]

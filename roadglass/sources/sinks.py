@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
-import glob
 import io
-import os
-import shutil
+import re
 import uuid
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,28 +35,86 @@ def _field(c: Column, alone: bool) -> Column:
     return F.when(v.rlike('[,"\\r\\n]') | ((v == "") if alone else F.lit(False)), quoted).otherwise(v)
 
 
-def write_csv(df: DataFrame, path: str | Path) -> Path:
+class OneFile:
+    """A file that many tasks write, at any path that Spark writes to.
+
+    The tasks write the rows of a text column as parts, in the frame's order, into a hidden folder beside the target, under
+    Spark's own commit protocol: a task that fails or is repeated leaves nothing. `commit` joins the parts behind a head and
+    gives the whole the target's name in one step; `abort` removes everything. Where the file system can join files itself
+    (HDFS), no bytes move; elsewhere a file has one writer, so they pass through the driver's JVM, a buffer at a time.
+    """
+
+    BUFFER = 1 << 20
+
+    def __init__(self, spark: SparkSession, path: str | Path):
+        self.spark, self.jvm = spark, spark._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.target = self.jvm.org.apache.hadoop.fs.Path(str(path))
+        self.fs = self.target.getFileSystem(self.conf)
+        self.target = self.fs.makeQualified(self.target)
+        self.folder = self._path(self.target.getParent(), f".{self.target.getName()}-{uuid.uuid4().hex}")
+
+    def _path(self, *parts):
+        return self.jvm.org.apache.hadoop.fs.Path(*parts)
+
+    def write(self, lines: DataFrame, end: str) -> None:
+        lines.write.option("lineSep", end).text(self._path(self.folder, "parts").toString())
+
+    def commit(self, head: bytes) -> None:
+        found = [f.getPath() for f in self.fs.listStatus(self._path(self.folder, "parts")) if f.getLen() and re.match(r"part-\d+", f.getPath().getName())]
+        parts = sorted(found, key=lambda p: int(re.match(r"part-(\d+)", p.getName())[1]))
+        whole = self._path(self.folder, "whole")
+        with contextlib.closing(self.fs.create(whole)) as out:
+            out.write(bytearray(head))
+        if parts and not self._concat(whole, parts):
+            with contextlib.closing(self.fs.create(whole, True)) as out:
+                out.write(bytearray(head))
+                for part in parts:
+                    with contextlib.closing(self.fs.open(part)) as own:
+                        self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, self.BUFFER, False)
+        rename = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.target.toUri(), self.conf).rename(whole, self.target, rename)
+        self.abort()
+
+    def _concat(self, whole, parts: list) -> bool:
+        """Whether the file system has joined the parts to the whole by itself."""
+        some = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Path, len(parts))
+        for i, part in enumerate(parts):
+            some[i] = part
+        try:
+            self.fs.concat(whole, some)
+        except UnsupportedOperationException:
+            return False
+        return True
+
+    def abort(self) -> None:
+        self.fs.delete(self.folder, True)
+
+
+def write_lines(lines: DataFrame, path: str | Path, head: str = "", end: str = "\n") -> str | Path:
+    """One file of a head and the rows of a text column, each with its end, in the frame's order; replaces what is there."""
+    sink = OneFile(lines.sparkSession, path)
+    try:
+        sink.write(lines, end)
+        sink.commit(head.encode())
+    except BaseException:
+        sink.abort()
+        raise
+    return path
+
+
+def write_csv(df: DataFrame, path: str | Path) -> str | Path:
     """One file with a header, CRLF line ends, minimal quotes and empty fields for nulls; replaces what is there.
 
-    A path to a directory-like target (ending in "/") keeps Spark's many part files, which is what to use at scale.
+    Any path that Spark writes to. A path to a directory-like target (ending in "/") keeps Spark's many part files.
     """
     rows = df.select([_shown(F.col(f"`{n}`"), kind).alias(n) for n, kind in df.dtypes])
     if str(path).endswith("/"):
         options = {"header": True, "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "lineSep": "\r\n"}
         rows.write.mode("overwrite").options(**options).csv(str(path))
         return Path(path)
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    folder = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
     fields = [_field(F.col(f"`{n}`"), len(df.columns) == 1) for n in df.columns]
-    rows.select(F.concat_ws(",", *fields)).coalesce(1).write.option("lineSep", "\r\n").text(str(folder))
     head = io.StringIO()
     csv.writer(head).writerow(df.columns)
-    with open(folder / "whole", "wb") as out:
-        out.write(head.getvalue().encode())
-        for part in sorted(glob.glob(f"{folder}/part-*")):
-            with open(part, "rb") as f:
-                shutil.copyfileobj(f, out)
-    os.replace(folder / "whole", target)
-    shutil.rmtree(folder)
-    return target
+    return write_lines(rows.select(F.concat_ws(",", *fields)), path, head.getvalue(), "\r\n")

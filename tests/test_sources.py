@@ -4,9 +4,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadglass import cli
-from roadglass.sources import registry, sinks
+from roadglass.sources import delimited, files, registry, sinks
 from roadglass.sources.xlsx import sample
 from tests.books import write_book
 
@@ -90,6 +91,42 @@ def test_inventory_sync_and_cli(spark, tmp_path, capsys):
     assert len(lines) == 4 and lines[0].split("\t")[:3] == ["fatal_crashes_2021_2025", "primary", "2026-02-27"]
 
 
+def test_sink_by_many_tasks(spark, tmp_path):
+    """The frame's order is the file's; a target that is there is replaced at once; a failed write leaves nothing."""
+    n = 5000
+    df = spark.range(n).repartitionByRange(7, F.desc("id")).sortWithinPartitions(F.desc("id")).selectExpr("cast(id as string) as v")
+    target = tmp_path / "deep" / "lines.txt"
+    for uri in (target, f"file:{target}"):
+        sinks.write_lines(df, uri, "head\n")
+        assert target.read_text() == "head\n" + "".join(f"{i}\n" for i in reversed(range(n)))
+    before = target.read_bytes()
+    bad = df.select(F.when(F.col("v") == "17", F.raise_error(F.lit("no"))).otherwise(F.col("v")).alias("v"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_lines(bad, target)
+    assert target.read_bytes() == before and [p.name for p in target.parent.iterdir() if not p.name.endswith(".crc")] == ["lines.txt"]
+
+
+def test_sink_of_a_store_that_only_spark_opens(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sinks.link./out", f"file:{tmp_path}")
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "i int, s string").coalesce(1)
+    sinks.write_csv(df, "viewfs://sinks/out/o.csv")
+    assert (tmp_path / "o.csv").read_bytes() == b'i,s\r\n1,"a,b"\r\n2,\r\n'
+    assert [tuple(r) for r in delimited.scan(spark, "viewfs://sinks/out/o.csv").rows.select("c0", "c1").collect()] == [("1", "a,b"), ("2", "")]
+    assert files.size_and_digest(spark, "viewfs://sinks/out/o.csv")[0] == (tmp_path / "o.csv").stat().st_size
+
+
+def test_digest_of_a_file_over_2_gb(spark, tmp_path):
+    """Streamed by a task in little memory; binary rows of Spark end at 2 GB."""
+    path, n = tmp_path / "large file.bin", 2_200_000_000
+    with path.open("wb") as f:
+        f.truncate(n)
+        f.seek(1_500_000_000)
+        f.write(b"somewhere")
+    (tmp_path / "small").write_bytes(b"abc")
+    got = {r["path"].rpartition("/")[2]: (r["size_bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {"large file.bin": (n, files.digest(path)), "small": (3, hashlib.sha256(b"abc").hexdigest())}
+
+
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b', 1e-7, None), (2, "", -12.04, "x\ny")], "i int, s string, d double, n string").coalesce(1)
     path = sinks.write_csv(df, tmp_path / "a" / "o.csv")
