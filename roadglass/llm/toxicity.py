@@ -15,9 +15,9 @@ is folded into one weight for each (hashed) subsequence, and scoring a word is a
 logistic model over a document's two highest words, fitted on labelled documents that training didn't see,
 gives the score; on the documents of sf0.1, two words tell more than two sentences do (3 false alarms, not 12).
 
-Labels are learnt from at most TRAIN_ROWS labelled documents of each label, by hash of the id, of at most
-TRAIN_CHARS characters; this is the only sample, and it bounds what goes to the driver. Scoring reads every
-word of every text. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
+Labels are learnt from at most TRAIN_ROWS labelled documents of each label, by hash of the id, whatever their length;
+of one with more than TRAIN_WORDS words in its sentences, from a sample of its sentences over its whole length, by hash.
+These are the only samples, and they bound what goes to the driver. Scoring reads every word of every text. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
 labels that repeat an id the highest holds, of texts that repeat it the least; rows without an id are never
 learnt from. Without labels of both kinds every score is 0. Other columns are not looked at. Words of any
 length are read whole, long ones in overlapping windows.
@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterable
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ from pyspark.sql import types as T
 
 from ._common import tune
 
-#: Labelled documents of either label that are used at most, and the characters that one has at most.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 10_000
+#: Labelled documents of either label that are used at most, and the words of one that are learnt from at most.
+TRAIN_ROWS, TRAIN_WORDS = 3000, 2000
 #: Highest clean words that the machine of the first turns is solved for; words whose features are held at once.
 FIRST_WORDS, CHUNK = 4000, 4096
 LAMBDA = 0.5
@@ -82,6 +83,30 @@ def sentences(text: str | None) -> list[set[str]]:
     return [u for u in map(units, _END.split(text)) if u] if text else []
 
 
+def _hashed(words: Iterable[str]) -> int:
+    return zlib.crc32("\0".join(sorted(words)).encode("utf-8", "surrogatepass"))
+
+
+def learnt(text: str | None, most: int = TRAIN_WORDS) -> list[set[str]]:
+    """The sentences of a text that are learnt from: all, or those of least hash up to `most` words; in their order."""
+    own = sentences(text)
+    if sum(map(len, own)) <= most:
+        return own
+    kept, left = {}, most
+    for i in sorted(range(len(own)), key=lambda i: (_hashed(own[i]), i)):
+        if left <= 0:
+            break
+        # A sentence that is longer than what is left gives its words of least hash.
+        kept[i] = own[i] if len(own[i]) <= left else set(sorted(own[i], key=lambda w: (_hashed([w]), w))[:left])
+        left -= len(kept[i])
+    return [kept[i] for i in sorted(kept)]
+
+
+def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "fold": batch["fold"], "words": [[sorted(u) for u in learnt(t)] for t in batch["t"]]})
+
+
 def _codes(words: list[str]):
     """By length: places in `words`, hashed subsequences (a row for each word), weights, the rows' norm."""
     by: dict[int, list[tuple[int, str]]] = {}
@@ -281,12 +306,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = known.withColumn("fold", fold(F.col("id"))).where("fold <> 0")
     some = [known.where(f"y = {k}").orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     some = some[0].unionByName(some[1])  # at most 2 * rows narrow rows: small enough to broadcast, by construction
-    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.coalesce(F.length("t"), F.lit(0)) <= TRAIN_CHARS)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     found = found.join(F.broadcast(some), "id").groupBy("id", "y", "fold").agg(F.min("t").alias("t"))
-    got = sorted(((r["id"], r["t"], r["y"], r["fold"]) for r in found.collect()), key=lambda r: r[0])  # 2 * rows texts of TRAIN_CHARS characters at most
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = found.mapInPandas(_learn, f"id {kind}, y int, fold long, words array<array<string>>")
+    got = sorted(((r["id"], r["words"], r["y"], r["fold"]) for r in found.collect()), key=lambda r: r[0])  # 2 * rows documents of TRAIN_WORDS words at most
     all_ = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     rates = tuple(max(1.0, all_.get(k, 0) / rows) for k in (0, 1))
-    return Model(((sentences(t), y, f == 1) for _, t, y, f in got), rates)
+    return Model((([set(u) for u in own], y, f == 1) for _, own, y, f in got), rates)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

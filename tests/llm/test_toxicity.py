@@ -125,3 +125,27 @@ def test_sentences():
 def test_query(spark, sf_documents):
     q = queries.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.001")
     assert q.columns == ["doc_id", "held_out", "score", "predicted"] and q.count() == sf_documents.count()
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    """Texts of any length teach: those of 60,000 characters and more, too."""
+    rng = random.Random(12)
+    filler = [". ".join(" ".join(rng.choice(PLAIN) for _ in range(12)) for _ in range(1000)) for _ in range(12)]
+    rows = [(i, f"{rng.choice(filler)}. {t}. {rng.choice(filler)}", y) for i, t, y in made(160, 6)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert model.link is not None and min(len(t) for _, t, _ in rows) > 60_000
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    s = model.scores([t for t, _ in held])
+    toxic = np.array([y == 1 for _, y in held])
+    assert s[toxic].mean() > s[~toxic].mean()
+
+
+def test_learnt_is_bounded_and_spread():
+    text = ". ".join(f"word{i} thing{i} other{i % 7}" for i in range(5000))
+    own = toxicity.learnt(text, 300)
+    assert sum(map(len, own)) == 300 and toxicity.learnt(text, 10**6) == toxicity.sentences(text)
+    places = [int(w[4:]) for u in own for w in u if w.startswith("word")]
+    assert places == sorted(places) and min(places) < 1000 and max(places) > 4000
+    assert sum(map(len, toxicity.learnt(" ".join(f"w{i}" for i in range(9000)), 300))) == 300
+    assert toxicity.learnt(None) == []
