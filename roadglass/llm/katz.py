@@ -20,6 +20,9 @@ split by their next word; their sums are added up by a groupBy and joined to the
 each block asks for the weight alone. Only the table of distinct word counts goes through the driver, at most
 sqrt(2 * N) rows.
 
+Counts over the corpus are of 64 bits; those within a block, which BLOCK_CHARS bounds, of 32. Different words are numbered
+in 32 bits: more than 4,294,967,292 of them raise a ValueError.
+
 Words are told apart by 64-bit hashes. Null and empty texts hold the end token only. Repeated rows and ids
 are counted and scored row by row; null ids are in the fold of the text "null". An empty table gives no
 rows, and without training documents every token is unknown. Other columns are not looked at.
@@ -61,6 +64,15 @@ def _u(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts over all blocks, which may pass 32 bits; a first byte tells whether any does."""
+    return b"\0" + pack(x.astype(np.uint32)) if x.max(initial=0) < 1 << 32 else b"\1" + x.astype(np.int64).tobytes()
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.int64, offset=1) if b[0] else unpack(b[1:]).astype(np.int64)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Factors of counts 0 to MAX_DISCOUNTED (0: unused), from the counts of counts 1 to MAX_DISCOUNTED + 1.
 
@@ -89,6 +101,8 @@ class Words:
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.counts, self.first = counts, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.total, self.distinct = int((counts * sizes).sum()), int(sizes.sum())
+        if self.distinct >= NONE:
+            raise ValueError(f"{self.distinct} different words: they are numbered in 32 bits")
         by = dict(zip(counts.tolist(), sizes.tolist()))
         self.factors = discounts([by.get(r, 0) for r in range(1, MAX_DISCOUNTED + 2)])
         mass = np.where(counts <= MAX_DISCOUNTED, self.factors[np.minimum(counts, MAX_DISCOUNTED)], 1.0) * counts
@@ -265,7 +279,7 @@ class Grams:
             first = self.starts[a:b]
             runs, hot = pack((ends[a:b] - first).astype(np.uint32)), np.packbits(self.hot[first]).tobytes()
             blob = np.array([b - a, y - x, len(runs), len(hot)], np.int64).tobytes() + runs + hot + _planes(np.diff(self.columns[0][first], prepend=np.uint32(0))) + b"".join(_planes(c[first]) for c in self.columns[1:]) + _planes(self.word[x:y])
-            more = None if lower is None else zstandard.compress(pack(lower[x:y]), 3)
+            more = None if lower is None else zstandard.compress(pack_counts(lower[x:y]), 3)
             out.append((block, int(self.bucket[x]), zstandard.compress(blob, 3), zstandard.compress(pack(counts[x:y]), 3), more))
         return pd.DataFrame(out, columns=["block", "bucket", "data", "counts", "lower"])
 
@@ -274,7 +288,7 @@ class Grams:
         answers = answers.sort_values("bucket")
         if not len(answers):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        n = np.concatenate([unpack(zstandard.decompress(d)) for d in answers["data"]]).astype(np.int64)
+        n = np.concatenate([unpack_counts(zstandard.decompress(d)) for d in answers["data"]])
         parts = [_u(m, np.float64) for m in answers["more"]]
         return n, np.concatenate([p[: len(p) // 2] for p in parts]), np.concatenate([p[len(p) // 2 :] for p in parts])
 
@@ -334,10 +348,10 @@ def _asked(words, buckets: int, split: int, order: int):
         grams, lower = _bigrams(block, words.value, buckets, split), None
         if order == 3:
             n, _, extra = grams.answered(answers[answers["kind"] == 2])
-            code = np.zeros(len(block.place), np.uint32)
-            code[grams.tokens] = (n * 2 + extra[grams.teller].astype(np.int64)).astype(np.uint32)[grams.gram]
+            code = np.zeros(len(block.place), np.int64)
+            code[grams.tokens] = (n * 2 + extra[grams.teller].astype(np.int64))[grams.gram]
             grams = _trigrams(block, grams, n, buckets, split)
-            lower = np.zeros(len(grams.word), np.uint32)
+            lower = np.zeros(len(grams.word), np.int64)
             taught = block.taught[grams.tokens]
             lower[grams.gram[taught]] = code[grams.tokens[taught]]
         counts = np.bincount(grams.gram[block.taught[grams.tokens]], minlength=len(grams.word)).astype(np.uint32)
@@ -367,7 +381,7 @@ class Bucket:
             keys.append(_key([np.cumsum(read[0], dtype=np.uint32), *read[1:-1]]))
             words.append(read[-1])
             counts.append(unpack(zstandard.decompress(c)).astype(np.int64))
-            lower.append(unpack(zstandard.decompress(more)).astype(np.int64) if columns > 1 else None)
+            lower.append(unpack_counts(zstandard.decompress(more)) if columns > 1 else None)
             self.asked.append((hot, runs[-1]))
         self.key, _, context = distinct(np.concatenate(keys))
         self.contexts = np.split(context, np.cumsum([len(k) for k in keys])[:-1])
@@ -456,7 +470,7 @@ def _answered(words, factors, shorter, columns: int):
         data, more = [], []
         for context, n, (_, runs) in zip(b.contexts, b.answers, b.asked):
             missed = np.add.reduceat((n == 0).astype(np.int64), np.cumsum(runs) - runs) > 0
-            data.append(zstandard.compress(pack(n.astype(np.uint32)), 3))
+            data.append(zstandard.compress(pack_counts(n), 3))
             more.append(_z(np.concatenate([np.where(missed, alpha[context], 0.0), extra[context].astype(np.float64)])))
         return pd.DataFrame({"kind": 1 + columns, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(n) for n in b.answers], "data": data, "more": more})
 

@@ -2,8 +2,12 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from roadglass.llm import katz
 
@@ -114,3 +118,32 @@ def test_discounts():
     assert all(0 < x < 1 for x in d[1:]) and list(d[1:]) == sorted(d[1:])
     for n in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 10, 100, 5, 5, 5]):
         assert all(0 < x <= 1 for x in katz.discounts(n)[1:]) and katz.discounts(n)[1] < 1
+
+
+def test_counts_past_32_bits(monkeypatch):
+    """Counts over all blocks are whole, however many blocks there are."""
+    held = lambda x: SimpleNamespace(value=x)
+    monkeypatch.setattr("pyspark.TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    big, n = 3_000_000_000, 4
+    rows = pd.concat(katz._split(1, lambda f: np.ones(len(f), bool), 10**9)(iter([pd.DataFrame({"id": [1], "text": ["a b c a b c"]})])))
+    block, lists = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+    histogram = katz._histogram(lists)
+    words = katz.Words(histogram["c"].to_numpy()[::-1] * big * n, histogram["n"].to_numpy()[::-1])
+    words.docs = big * n
+    starts = pd.DataFrame({"c": histogram["c"][::-1].to_numpy(), "first": words.first[:-1]})
+    answers = katz._numbered(lists, starts)
+    factors = np.ones(katz.MAX_DISCOUNTED + 1)
+    for order in (2, 3):
+        asked = katz._asked(held(words), 1, 10**15, order)(block, answers)
+        grams = len(katz.unpack(zstandard.decompress(asked["counts"][0])))
+        asked["counts"] = [zstandard.compress(katz.pack(np.full(grams, big, np.uint32)))]
+        many = pd.concat([asked.assign(block=k) for k in range(n)], ignore_index=True)
+        reply = katz._answered(held(words), held(factors), held(factors) if order == 3 else None, order - 1)(many, pd.DataFrame(columns=["context"]))
+        assert all((katz.unpack_counts(zstandard.decompress(d)) == big * n).all() for d in reply["data"])
+        if order == 3:  # what a trigram backs off to was past 32 bits as well
+            assert set((katz.Bucket(many, 2).lower >> 1).tolist()) == {big * n}
+        answers = pd.concat([answers, reply[reply["block"] == 0]])
+    for x in (np.array([], np.int64), np.array([0, 5, 2**32 - 1]), np.array([0, 2**32, 2**60])):
+        assert katz.unpack_counts(katz.pack_counts(x)).tolist() == x.tolist()
+    with pytest.raises(ValueError, match="different words"):
+        katz.Words(np.array([1]), np.array([2**32]))
