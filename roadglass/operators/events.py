@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_parts, iso_date, iso_time
 from ..functions.numbers import integer, number
 from ..functions.text import key, text
+from ..sources.files import exists
 from ..sources.sinks import write_csv
-from ..sources.xlsx import DATES, TIMES, records
+from ..sources.xlsx import DATES, ROW, TIMES, records
 
 CRASH_BOOK, CRASH_SHEET = "fatal_crashes_2021_2025.xlsx", "SINIESTROS"
 PEOPLE_BOOK, PEOPLE_SHEET = "people_fatal_crashes_2021_2025.xlsx", "PERSONAS INVOLUCRADAS"
@@ -52,6 +53,7 @@ COLUMNS = (
     ("main_cause", "CAUSA FACTOR PRINCIPAL", "text"),
     ("specific_cause", "CAUSA ESPECIFICA", "text"),
 )
+KEY = "CODIGO SINIESTRO"
 ORDER = ("crash_date", "crash_time", "crash_id")
 
 
@@ -66,7 +68,7 @@ def _tagged(df: DataFrame, tags: str, name: str) -> Column:
 
 def metropolitan(df: DataFrame) -> DataFrame:
     """Rows of the capital's province that have a crash id."""
-    rows = df.where(text(_cell(df, "CODIGO SINIESTRO")) != "")
+    rows = df.where(text(_cell(df, KEY)) != "")
     return rows.where((key(_cell(df, "DEPARTAMENTO")) == "LIMA") & (key(_cell(df, "PROVINCIA")) == "LIMA"))
 
 
@@ -84,13 +86,16 @@ def pedestrian_counts(people: DataFrame) -> DataFrame:
     """Per crash: pedestrians involved, killed and injured."""
     people = metropolitan(people)
     people = people.where(key(_cell(people, "TIPO PERSONA")) == "PEATON")
-    people = people.select(text(_cell(people, "CODIGO SINIESTRO")).alias("crash_id"), key(_cell(people, "GRAVEDAD")).alias("severity"))
+    people = people.select(text(_cell(people, KEY)).alias("crash_id"), key(_cell(people, "GRAVEDAD")).alias("severity"))
     counts = {"pedestrians_involved": None, "pedestrian_fatalities": F.col("severity") == "FALLECIDO", "pedestrian_injured": F.col("severity") == "LESIONADO"}
     return conditional_counts(people, F.col("crash_id"), counts)
 
 
 def build_events(crashes: DataFrame, people: DataFrame, ordered: bool = True) -> DataFrame:
-    """The event table; crashes without pedestrians go, repeated crash rows each stay."""
+    """The event table; crashes without pedestrians go, repeated crash rows each stay.
+
+    In order, rows of equal date, time and id stay in the order of the sheet, where the crashes carry their row's number.
+    """
     crashes = metropolitan(crashes)
     how = {
         "text": lambda n: text(_cell(crashes, n)),
@@ -99,11 +104,12 @@ def build_events(crashes: DataFrame, people: DataFrame, ordered: bool = True) ->
         "date": lambda n: iso_date(_cell(crashes, n), _tagged(crashes, DATES, n)),
         "time": lambda n: iso_time(_cell(crashes, n), _tagged(crashes, DATES, n), _tagged(crashes, TIMES, n)),
     }
-    rows = crashes.select([how[kind](source).alias(out) for out, source, kind in COLUMNS if kind])
+    numbered = [ROW] if ROW in crashes.columns else []
+    rows = crashes.select(*[how[kind](source).alias(out) for out, source, kind in COLUMNS if kind], *numbered)
     rows = rows.join(pedestrian_counts(people), "crash_id")
     year, month, day = date_parts(F.col("crash_date"))
-    rows = rows.withColumns({"year": year, "month": month, "day": day}).select([out for out, _, _ in COLUMNS])
-    return rows.orderBy(*ORDER) if ordered else rows
+    rows = rows.withColumns({"year": year, "month": month, "day": day})
+    return (rows.orderBy(*ORDER, *numbered) if ordered else rows).select([out for out, _, _ in COLUMNS])
 
 
 def valid_point(latitude: Column, longitude: Column) -> Column:
@@ -131,9 +137,9 @@ def build_files(spark: SparkSession, raw_dir: str | Path, output: str | Path) ->
     """Reads both workbooks of a directory, writes the event file, returns its summary."""
     paths = [Path(raw_dir) / name for name in (CRASH_BOOK, PEOPLE_BOOK)]
     for path in paths:
-        if not path.is_file():
+        if not exists(spark, path):
             raise FileNotFoundError(path)
-    events = build_events(records(spark, str(paths[0]), CRASH_SHEET), records(spark, str(paths[1]), PEOPLE_SHEET)).persist()
+    events = build_events(*[records(spark, str(p), sheet, required=(KEY,)) for p, sheet in zip(paths, (CRASH_SHEET, PEOPLE_SHEET))]).persist()
     try:
         write_csv(events, output)
         years = {r["year"]: r["events"] for r in by_year(events).collect()}

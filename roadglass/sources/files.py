@@ -40,6 +40,13 @@ def pieces(spark: SparkSession, path: str | Path, piece: int = PIECE) -> Iterato
         stream.close()
 
 
+def exists(spark: SparkSession, path: str | Path) -> bool:
+    """Whether there is a file at a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
 def head(spark: SparkSession, path: str | Path, n: int) -> bytes:
     """The first n bytes of a file, or all of a shorter one."""
     return next(pieces(spark, path, n), b"")
@@ -74,13 +81,15 @@ def content_digests(df: DataFrame, content: str) -> DataFrame:
     return df.select(*rest, F.octet_length(content).cast("long").alias("size_bytes"), F.sha2(content, 256).alias("sha256"))
 
 
-def _stream(path: str):
-    """A file opened by an executor, at a path as Spark lists it."""
-    scheme, _, rest = path.partition(":")
+def opened(path: str | Path):
+    """A file that driver or executor opens themselves, from any place in it: a local path or one of the stores in STREAMED."""
+    scheme, _, rest = str(path).partition(":")
+    if scheme not in STREAMED:
+        return open(path, "rb")
     if scheme == "file":
         return open("/" + rest.lstrip("/"), "rb")
-    fs, at = arrow_files.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/"))
-    return fs.open_input_stream(at)
+    fs, at = arrow_files.FileSystem.from_uri(quote(str(path).replace("s3a:", "s3:", 1), safe=":/"))
+    return fs.open_input_file(at)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +98,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for path in batch.column("path").to_pylist():
             h, n = hashlib.sha256(), 0
-            with _stream(path) as f:
+            with opened(path) as f:
                 while data := f.read(PIECE):
                     h.update(data)
                     n += len(data)

@@ -6,7 +6,14 @@
   raw      sheet, row_index and the cells' texts of the first `rows` rows of every sheet, and the sheet's
            last row by its stated dimension.
 A cell's text is what Python prints for its value: dates as "2024-05-10 00:00:00", times as "08:30:00",
-whole numbers without a point. Each sheet is a partition and is parsed as a stream.
+whole numbers without a point. Records carry their row's number in the sheet as ROW.
+
+A sheet is cut into ranges of rows of about `rangeBytes` of its XML, each a partition: one pass over the inflated bytes
+finds the offsets where they begin, without parsing, and a task skips to its own and parses only from there. What limits a
+scan is part of it: `firstRow` and `lastRow` leave out ranges and end the reading early, `required` keys drop rows without
+such a cell before they leave the reader. They are options, not pushed filters, because a frame of a Python data source
+keeps what one query has pushed (Spark 4.1): a second query over it would miss the rows that the first left out.
+Paths are local ones or of a store that `files.opened` knows.
 """
 
 from __future__ import annotations
@@ -22,11 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import fold
+from .files import opened
 
 HEADER_ROW, SCAN_ROWS = 5, 25
-DATES, TIMES = "_dates", "_times"
+DATES, TIMES, ROW = "_dates", "_times", "_row"
+RANGE_BYTES, CHUNK = 8 << 20, 1 << 18
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_ROW_TAG = re.compile(rb"<(?:[A-Za-z_][\w.-]*:)?row(?=[\s/>])[^>]*>")
 #: Built-in number formats that show dates or times.
 _DATE_FORMATS = frozenset({14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47})
 
@@ -35,7 +45,7 @@ class Book:
     """The parts of a workbook that cells refer to."""
 
     def __init__(self, path: str):
-        self.zip = zipfile.ZipFile(path)
+        self.zip = zipfile.ZipFile(opened(path))
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
         self.sheets = {
@@ -77,12 +87,52 @@ class Book:
                     return None
         return None
 
-    def rows(self, sheet: str, last: int | None = None) -> Iterator[tuple[int, list[tuple[str | None, str]]]]:
-        """Row number and cells (text or None; kind: "" or d, t for dates and times); gaps in a row are filled."""
-        number = 0
+    def ranges(self, sheet: str, size: int = RANGE_BYTES) -> list[tuple[int, int, int | None, int]]:
+        """Ranges of rows: offset of the sheet's first row, offsets of the range's first row and of its end (None: the last), the row number before.
+
+        Offsets are of the inflated XML. A small sheet is one range, without a look at it.
+        """
+        if self.zip.getinfo(self.sheets[sheet]).file_size <= size:
+            return [(0, 0, None, 0)]
+        starts: list[tuple[int, int]] = []
+        number, first, at, held = 0, 0, 0, b""
         with self.zip.open(self.sheets[sheet]) as f:
-            for _, e in ElementTree.iterparse(f):
-                if e.tag != f"{_MAIN}row":
+            while data := f.read(CHUNK):
+                data = held + data
+                cut = data.rfind(b">") + 1  # tags are looked at whole
+                for m in _ROW_TAG.finditer(data, 0, cut):
+                    own = re.search(rb"""\sr\s*=\s*["'](\d+)""", m.group())
+                    before, number = number, int(own[1]) if own else number + 1
+                    if not starts or at + m.start() - starts[-1][0] >= size:
+                        starts.append((at + m.start(), before))
+                at, held = at + cut, data[cut:]
+        if not starts:
+            return [(0, 0, None, 0)]
+        first = starts[0][0]
+        return [(first, a, b, before) for (a, before), b in zip(starts, [*[x for x, _ in starts[1:]], None])]
+
+    def _bytes(self, sheet: str, part: tuple[int, int, int | None, int]) -> Iterator[bytes]:
+        """What stands before the sheet's rows, then the range's rows."""
+        first, start, end, _ = part
+        at = 0
+        with self.zip.open(self.sheets[sheet]) as f:
+            while data := f.read(CHUNK):
+                if at < first:
+                    yield data[: first - at]
+                yield data[max(0, start - at) : None if end is None else max(0, end - at)]
+                at += len(data)
+                if end is not None and at >= end:
+                    return
+
+    def rows(self, sheet: str, last: int | None = None, part: tuple[int, int, int | None, int] = (0, 0, None, 0)) -> Iterator[tuple[int, list[tuple[str | None, str]]]]:
+        """Row number and cells (text or None; kind: "" or d, t for dates and times) of a range of rows; gaps in a row are filled."""
+        number, parser, table = part[3], ElementTree.XMLPullParser(("start", "end")), None
+        for data in self._bytes(sheet, part):
+            parser.feed(data)
+            for event, e in parser.read_events():
+                if e.tag == f"{_MAIN}sheetData" and event == "start":
+                    table = e
+                if e.tag != f"{_MAIN}row" or event == "start":
                     continue
                 number = int(e.get("r") or number + 1)
                 if last and number > last:
@@ -95,7 +145,8 @@ class Book:
                             at = at * 26 + ord(ch) - 64
                         cells += [(None, "")] * (at - 1 - len(cells))
                     cells.append(self._cell(c))
-                e.clear()
+                if table is not None:
+                    table.clear()
                 yield number, cells
 
     def _cell(self, c) -> tuple[str | None, str]:
@@ -144,41 +195,61 @@ def headers(book: Book, sheet: str, row: int) -> dict[str, int]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, sheet: str):
-        super().__init__(sheet)
-        self.path, self.sheet = path, sheet
+    def __init__(self, path: str, sheet: str, rows: tuple[int, int, int | None, int], order: int):
+        super().__init__((sheet, *rows))
+        self.path, self.sheet, self.rows, self.order = path, sheet, rows, order
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.schema = options, schema
         self.raw = options.get("mode", "records") == "raw"
+        self.number = "row_index" if self.raw else ROW
+        self.top = int(options.get("headerrow", options.get("headerRow", HEADER_ROW)))
+        option = lambda name: options.get(name) or options.get(name.lower())
+        self.least, self.most = int(option("firstRow") or 1), int(option("lastRow")) if option("lastRow") else None
+        self.required = (option("required") or "").splitlines()
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"]
-        sheets = list(Book(path).sheets) if self.raw else [self.options["sheet"]]
-        return [_Part(path, s) for s in sheets]
+        path, size = self.options["path"], int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
+        book = Book(path)
+        if self.raw:  # the first rows of every sheet
+            return [_Part(path, s, (0, 0, None, 0), i) for i, s in enumerate(book.sheets)]
+        sheet = self.options["sheet"]
+        if sheet not in book.sheets:
+            raise KeyError(f"Worksheet {sheet} does not exist.")
+        parts = book.ranges(sheet, size)
+        # A range's rows are numbered from the row before it to the next range's.
+        ends = [*[p[3] for p in parts[1:]], None]
+        kept = [p for p, end in zip(parts, ends) if (self.most is None or p[3] < self.most) and (end is None or end >= self.least)]
+        return [_Part(path, sheet, p, i) for i, p in enumerate(kept or parts[:1])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
         book = Book(part.path)
         if self.raw:
             last = book.dimension(part.sheet)
-            order = list(book.sheets).index(part.sheet)
-            limit = min(last or 1, int(self.options.get("rows", SCAN_ROWS)))
+            limit = min(last or 1, int(self.options.get("rows", SCAN_ROWS)), self.most or (1 << 31))
             found = False
             for number, cells in book.rows(part.sheet, limit):
                 found = True
-                yield order, part.sheet, number, [v for v, _ in cells], last
-            if not found:
-                yield order, part.sheet, 1, [], last
+                if number >= self.least:
+                    yield part.order, part.sheet, number, [v for v, _ in cells], last
+            if not found and self.least <= 1 and (self.most is None or self.most >= 1):
+                yield part.order, part.sheet, 1, [], last
             return
-        top = int(self.options.get("headerrow", self.options.get("headerRow", HEADER_ROW)))
-        place = headers(book, part.sheet, top)
-        keys = [f.name for f in self.schema.fields[:-2]]
-        for number, cells in book.rows(part.sheet):
-            if number > top:
-                own = [(k, *cells[place[k]]) if place[k] < len(cells) else (k, None, "") for k in keys]
-                yield (*[v for _, v, _ in own], [k for k, _, t in own if t == "d"], [k for k, _, t in own if t == "t"])
+        if self.most is not None and self.most < max(self.least, 1):
+            return
+        place = headers(book, part.sheet, self.top)
+        keys = [f.name for f in self.schema.fields if f.name in place]
+        tail = [f.name for f in self.schema.fields if f.name not in place]
+        for number, cells in book.rows(part.sheet, self.most, part.rows):
+            if number <= self.top or number < self.least:
+                continue
+            own = {k: cells[place[k]] if place[k] < len(cells) else (None, "") for k in keys}
+            if any(k not in own or own[k][0] is None for k in self.required):
+                continue
+            more = {DATES: [k for k, (_, t) in own.items() if t == "d"], TIMES: [k for k, (_, t) in own.items() if t == "t"], ROW: number}
+            yield (*[own[k][0] for k in keys], *[more[t] for t in tail])
 
 
 class WorkbookSource(DataSource):
@@ -194,7 +265,7 @@ class WorkbookSource(DataSource):
         top = int(self.options.get("headerrow", self.options.get("headerRow", HEADER_ROW)))
         keys = headers(Book(self.options["path"]), self.options["sheet"], top)
         tags = [T.StructField(n, T.ArrayType(T.StringType())) for n in (DATES, TIMES)]
-        return T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *tags])
+        return T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *tags, T.StructField(ROW, T.IntegerType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(dict(self.options), schema)
@@ -204,13 +275,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
-def records(spark: SparkSession, path: str, sheet: str, header_row: int = HEADER_ROW) -> DataFrame:
-    """The rows of one sheet by header key."""
+def _reader(spark: SparkSession, **options):
     register(spark)
-    return spark.read.format("workbook").option("sheet", sheet).option("headerRow", header_row).load(str(path))
+    return spark.read.format("workbook").options(**{k: v for k, v in options.items() if v is not None})
 
 
-def sample(spark: SparkSession, path: str, rows: int = SCAN_ROWS) -> DataFrame:
-    """The first rows of every sheet."""
-    register(spark)
-    return spark.read.format("workbook").option("mode", "raw").option("rows", rows).load(str(path))
+def records(spark: SparkSession, path: str, sheet: str, header_row: int = HEADER_ROW, *, first_row: int | None = None, last_row: int | None = None, required: tuple[str, ...] = (), range_bytes: int | None = None) -> DataFrame:
+    """The rows of one sheet by header key; of rows `first_row` to `last_row` only, and only those with a cell under each of the `required` keys."""
+    return _reader(spark, sheet=sheet, headerRow=header_row, firstRow=first_row, lastRow=last_row, required="\n".join(required) or None, rangeBytes=range_bytes).load(str(path))
+
+
+def sample(spark: SparkSession, path: str, rows: int = SCAN_ROWS, first_row: int | None = None) -> DataFrame:
+    """The first rows of every sheet, or those from a row on."""
+    return _reader(spark, mode="raw", rows=rows, firstRow=first_row).load(str(path))
