@@ -67,11 +67,10 @@ def encoder(vocab: dict[bytes, int], added: dict[str, int], pattern: str) -> Cal
     split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
 
     def encode(text: str) -> list[int]:
-        parts = split.split(text)
-        if len(parts) == 1:
+        if not any(token in text for token in added):
             return plain(text)
         ids: list[int] = []
-        for k, part in enumerate(parts):
+        for k, part in enumerate(split.split(text)):
             ids += [added[part]] if k % 2 else plain(part)
         return ids
 
