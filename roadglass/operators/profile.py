@@ -12,8 +12,10 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers
 from ..functions.dates import parse_datetime, with_rare
@@ -165,6 +167,12 @@ def shown_number(x: float | None) -> str | None:
     return str(int(x)) if x == int(x) else format(x, ".12g")
 
 
+@F.pandas_udf(T.StringType())
+def shown_numbers(values: pd.Series) -> pd.Series:
+    """`shown_number` of a column of doubles, batch by batch."""
+    return pd.Series([shown_number(None if x is None or x != x else x) for x in values.tolist()], dtype=object)
+
+
 def column_messages(name: Column, null_pct: Column, capped: Column, cap: int = UNIQUE_CAP) -> Column:
     """What in a column needs a look, as an array of texts, which are fixed values."""
     head = F.concat(F.lit("Column '"), name)

@@ -49,20 +49,24 @@ def scored(df: DataFrame, provider: ScoreProvider | None = None, unit: str = "sp
     )
 
 
-#: Periods that a map takes at most; they are sent to every task.
-MAX_PERIODS = 10_000
+#: Periods of a block; a map whose periods fit one block sends them to every task.
+BLOCK_PERIODS = 10_000
 
 
 def risk_map(all_units: DataFrame, some_periods: DataFrame, provider: ScoreProvider | None = None) -> DataFrame:
-    """Every unit in every given period with its score.
+    """Every unit in every given period with its score, repeats of either included.
 
-    The periods are an array that each unit is exploded by, so the units are not shuffled; their number is checked.
+    The periods are arrays of about BLOCK_PERIODS, and each unit meets every array once. Up to that many periods are one
+    array, which is counted before it is broadcast, so the units are not shuffled; beyond, the units are dealt by block.
     """
-    ids = [r["period_id"] for r in some_periods.select("period_id").limit(MAX_PERIODS + 1).collect()]
-    if len(ids) > MAX_PERIODS:
-        raise ValueError(f"a map has {MAX_PERIODS} periods at most")
-    each = F.explode(F.array(*map(F.lit, ids)).cast("array<string>")).alias("period_id")
-    return scored(all_units.select("*", each), provider)
+    blocks = max(1, -(-some_periods.count() // BLOCK_PERIODS))
+    block = F.pmod(F.xxhash64("period_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("__block")
+    # Null ids are periods too, which a list would leave out.
+    packed = some_periods.select(block, F.struct("period_id").alias("p")).groupBy("__block").agg(F.collect_list("p").alias("__periods"))
+    each = all_units.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = each.join(F.broadcast(packed) if blocks == 1 else packed, "__block")
+    rows = met.select(*[F.col(f"`{c}`") for c in all_units.columns], F.explode("__periods").alias("__p"))
+    return scored(rows.withColumn("period_id", F.col("__p.period_id")).drop("__p"), provider)
 
 
 def average(df: DataFrame, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
@@ -101,10 +105,14 @@ def known(asked: DataFrame, catalog: DataFrame, on: str) -> DataFrame:
 
 
 class Service:
-    """The operations of the risk interface, as DataFrames or rows, without a web server."""
+    """The operations of the risk interface, as DataFrames or rows, without a web server.
 
-    def __init__(self, spark: SparkSession, environment: str = "development", provider: ScoreProvider | None = None):
+    The catalog is the built-in one, or any tables with its columns.
+    """
+
+    def __init__(self, spark: SparkSession, environment: str = "development", provider: ScoreProvider | None = None, catalog: DataFrame | None = None, dates: DataFrame | None = None):
         self.spark, self.environment, self.provider = spark, environment, provider or HashProvider()
+        self.catalog, self.dates = catalog if catalog is not None else units(spark), dates if dates is not None else periods(spark)
 
     def health(self) -> dict[str, str]:
         return {"status": "ok", "environment": self.environment}
@@ -114,19 +122,19 @@ class Service:
         return {k: getattr(p, k) for k in ("provider", "model_version", "dataset_version", "description")}
 
     def spatial_units(self) -> DataFrame:
-        return units(self.spark).orderBy("ordinal").drop("ordinal")
+        return self.catalog.orderBy("ordinal").drop("ordinal")
 
     def periods(self) -> DataFrame:
-        return periods(self.spark).orderBy("ordinal").drop("ordinal")
+        return self.dates.orderBy("ordinal").drop("ordinal")
 
     def risk(self, spatial_unit: str, period: str) -> dict[str, Any]:
         return self.compare([(spatial_unit, period)]).first().asDict()
 
     def risk_map(self, period: str) -> DataFrame:
-        asked = known(self.spark.createDataFrame([(period,)], "period_id string"), periods(self.spark), "period_id")
+        asked = known(self.spark.createDataFrame([(period,)], "period_id string"), self.dates, "period_id")
         if asked.where("known").isEmpty():
             raise LookupError("Unknown period")
-        out = risk_map(units(self.spark), asked, self.provider).orderBy("ordinal")
+        out = risk_map(self.catalog, asked.select("period_id"), self.provider).orderBy("ordinal")
         return out.select("spatial_unit_id", "period_id", "value", "label", "provider", "model_version", "dataset_version", "name", "latitude", "longitude")
 
     def compare(self, queries: list[tuple[str, str]]) -> DataFrame:
@@ -136,6 +144,17 @@ class Service:
         rows = self.spark.createDataFrame([(i, *q) for i, q in enumerate(queries)], "ordinal int, spatial_unit_id string, period_id string")
         return scored(rows, self.provider).orderBy("ordinal").drop("ordinal")
 
+    def answers(self, requests: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+        """ordinal, status and body (JSON) of every row of requests, which hold spatial_unit_id and period_id.
+
+        An id that is null or empty is answered with 422 and no body; the other rows go on. Any number of requests.
+        """
+        good = (F.coalesce(F.length("spatial_unit_id"), F.lit(0)) > 0) & (F.coalesce(F.length("period_id"), F.lit(0)) > 0)
+        fields = ["spatial_unit_id", "period_id", "value", "label", "provider", "model_version", "dataset_version"]
+        body = F.when(good, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+        rows = scored(requests.select(ordinal, "spatial_unit_id", "period_id"), self.provider)
+        return rows.select(ordinal, F.when(good, 200).otherwise(422).alias("status"), body.alias("body"))
+
     @staticmethod
     def body(rows: DataFrame | dict[str, Any]) -> str:
         """What an interface would answer, as JSON; for results of catalog size."""

@@ -176,6 +176,22 @@ SQL = {
       (7, 1, 2, 'no ca')) t(columns, latitude, longitude, last_name)""",
     "shown_numbers": """select c_custkey, case when x = floor(x) then x::bigint::varchar else format('{:.12g}', x) end as shown
       from (select c_custkey, case when c_custkey % 2 = 0 then floor(c_acctbal) else c_acctbal end as x from customer)""",
+    "workbook_records": """select (row_number() over (order by c_custkey) + 5)::int as row_number, case when c_custkey % 9 <> 0 then c_custkey::varchar end as id,
+      case c_custkey % 5 when 0 then null when 1 then ' a <b> & "' || c_name else c_name end as name, strftime(date '1992-01-01' + (c_custkey % 2000)::int, '%Y-%m-%d') as day,
+      round(c_acctbal * 100)::bigint::varchar as balance, (c_nationkey / 4)::double::varchar as quarter from customer qualify c_custkey % 9 <> 0""",
+    "workbook_sheets": "select 'CLIENTES' as name, 5 as header_row, 'Código Siniestro|Nombre|FECHA|Balance (¢)|Cuarto' as columns from (select count(*) as n from customer)",
+    "workbook_events": """with p as (select o_custkey, count(*) as n, count(*) filter (o_orderstatus = 'F') as dead, count(*) filter (o_orderstatus <> 'F') as hurt from orders where o_orderkey % 2 = 1 group by o_custkey),
+      c as (select *, date '1992-01-01' + (c_custkey % 2000)::int as day from customer where c_custkey % 3 <> 2)
+      select c_custkey::varchar as crash_id, strftime(day, '%Y-%m-%d') as crash_date, '08:30' as crash_time, strftime(day, '%Y') as year, c_mktsegment as zone,
+        n as pedestrians_involved, dead as pedestrian_fatalities, hurt as pedestrian_injured from c join p on o_custkey = c_custkey""",
+    "registry_file": """select (row_number() over (order by s_suppkey) - 1)::int as pos, s_name as id, 'primary' as role, s_name || '"é.xlsx' as filename from supplier qualify s_suppkey % 10 <> 0""",
+    "registry_by_key": """select pos, id, role from (select (row_number() over (order by s_suppkey) - 1)::int as pos, s_name as id,
+      case when s_suppkey % 10 = 0 then 'context' else 'primary' end as role from supplier) where id in (select min(s_name) from supplier group by s_nationkey)""",
+    "service_map": f"""select c_custkey::varchar as spatial_unit_id, 'purchase' as period_id, {_score("c_custkey::varchar", "'purchase'")} as value, null::varchar as label, 'default' as provider,
+      'development' as model_version, 'unconfigured' as dataset_version, c_name as name, (c_custkey % 90)::double as latitude, (-c_custkey % 180)::double as longitude from customer""",
+    "service_answers": f"""with r as (select event_id as ordinal, case event_id % 50 when 0 then '' when 1 then null else 'u "' || user_id end as u, event_type as p from events)
+      select ordinal, case when u <> '' then 200 else 422 end as status, case when u <> '' then u end as spatial_unit_id, case when u <> '' then p end as period_id,
+        case when u <> '' then 'default' end as provider, null::varchar as label, case when u <> '' then {_score("u", "p")} end as value from r""",
     "csv_sink": """select 'n_nationkey,name,v' as line union all select n_nationkey || ',' || case when n_nationkey % 2 = 0 then concat('"', n_name, ', ', repeat('"', 2), 'x', repeat('"', 3)) else n_name end || ',' ||
       case n_nationkey % 3 when 0 then '' when 1 then (n_nationkey / 8)::varchar else '1e-07' end from nation""",
     "ordered_sink": """select row_number() over (order by c_acctbal desc, c_custkey) - 1 as place, c_custkey, c_acctbal::double as balance,

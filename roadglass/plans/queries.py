@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
@@ -14,7 +14,7 @@ from ..functions.text import header_name
 from ..operators import events, profile, risk
 from ..session import shared_dir
 from ..sources import delimited, files, registry, sinks
-from ..sources.xlsx import DATES, TIMES
+from ..sources.xlsx import DATES, ROW, TIMES, records, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,14 +466,108 @@ def coordinate_names(spark: SparkSession, d: str) -> DataFrame:
 @query
 def shown_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers as a report shows them, of every balance."""
-    shown = F.udf(lambda x: profile.shown_number(x), "string")
-    return table(spark, d, "customer").select("c_custkey", shown(F.when(F.col("c_custkey") % 2 == 0, F.floor("c_acctbal").cast("double")).otherwise(F.col("c_acctbal"))).alias("shown"))
+    return table(spark, d, "customer").select("c_custkey", profile.shown_numbers(F.when(F.col("c_custkey") % 2 == 0, F.floor("c_acctbal").cast("double")).otherwise(F.col("c_acctbal"))).alias("shown"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _customer_book(spark: SparkSession, d: str) -> str:
+    """Customers as a workbook with header keys to fold, empty cells and characters that XML escapes; its path."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.concat(F.lit(' a <b> & "'), "c_name")).otherwise(F.col("c_name"))
+    day = F.date_add(F.lit("1992-01-01").cast("date"), (k % 2000).cast("int"))
+    rows = table(spark, d, "customer").select(
+        F.when(k % 9 != 0, k).alias("Código Siniestro"), name.alias("Nombre"), day.alias("FECHA"), F.round(F.col("c_acctbal") * 100).cast("long").alias("Balance (¢)"), (F.col("c_nationkey") / 4).alias("Cuarto"), k.alias("k")
+    )
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = _scratch(spark, "customers") + ".xlsx"
+    sinks.write_workbook(rows.repartitionByRange(n, "k").sortWithinPartitions("k").drop("k"), path, "CLIENTES")
+    return path
+
+
+@query
+def workbook_records(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a workbook as scanned in ranges: keys folded, rows without the key cell left out by the scan, numbered as in the sheet."""
+    rows = records(spark, _customer_book(spark, d), "CLIENTES", required=("CODIGO SINIESTRO",), range_bytes=100_000)
+    return rows.select(F.col(ROW).alias("row_number"), F.col("CODIGO SINIESTRO").alias("id"), F.col("NOMBRE").alias("name"), dates.iso_date(F.col("FECHA"), F.array_contains(DATES, "FECHA")).alias("day"), F.col("BALANCE").alias("balance"), F.col("CUARTO").alias("quarter"))
+
+
+@query
+def workbook_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """The header row of a workbook's sheet, found in a sample of its first rows."""
+    return registry.header_rows(sample(spark, _customer_book(spark, d))).select("name", "header_row", F.array_join("columns", "|").alias("columns"))
+
+
+@query
+def workbook_events(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as crashes and their orders as people in two workbooks, and the event table made of them."""
+    k, order = F.col("c_custkey"), F.col("o_orderkey")
+    province = F.when(k % 3 == 0, " lima ").when(k % 3 == 1, "LÍMA").otherwise("CALLAO")
+    crashes = table(spark, d, "customer").select(
+        k.cast("string").alias("CÓDIGO SINIESTRO"), F.date_add(F.lit("1992-01-01").cast("date"), (k % 2000).cast("int")).alias("FECHA SINIESTRO"), F.lit("08:30").alias("HORA SINIESTRO"), F.lit("Lima").alias("DEPARTAMENTO"), province.alias("PROVINCIA"), F.concat(F.lit(" "), "c_mktsegment").alias("ZONA")
+    )
+    people = table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("CÓDIGO SINIESTRO"), F.lit("LIMA").alias("DEPARTAMENTO"), F.lit("LIMA").alias("PROVINCIA"), F.when(order % 2 == 1, "Peatón").otherwise("CONDUCTOR").alias("TIPO PERSONA"), F.when(F.col("o_orderstatus") == "F", "FALLECIDO").otherwise("Lesionado").alias("GRAVEDAD")
+    )
+    folder = _scratch(spark, "books")
+    books = []
+    for rows, name, sheet in ((crashes, events.CRASH_BOOK, events.CRASH_SHEET), (people, events.PEOPLE_BOOK, events.PEOPLE_SHEET)):
+        books.append(records(spark, sinks.write_workbook(rows, f"{folder}/{name}", sheet), sheet, required=(events.KEY,)))
+    found = events.build_events(*books)
+    return found.select("crash_id", "crash_date", "crash_time", "year", "zone", "pedestrians_involved", "pedestrian_fatalities", "pedestrian_injured")
+
+
+def _supplier_registry(spark: SparkSession, d: str) -> str:
+    """A registry file whose sources are the suppliers, each tenth of them entered again with another role; its path."""
+    key = F.col("s_suppkey")
+    again = F.explode(F.when(key % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    role = F.when(F.col("again") == 1, "context").otherwise("primary")
+    entry = F.struct(F.col("s_name").alias("id"), role.alias("role"), F.lit("2026").alias("published"), F.concat("s_name", F.lit('"é.xlsx')).alias("filename"), *[F.lit("").alias(n) for n in ("url", "scope", "purpose")])
+    listed = table(spark, d, "supplier").select("s_suppkey", "s_name", again).select("again", "s_suppkey", entry.alias("s"))
+    listed = listed.groupBy().agg(F.array_sort(F.collect_list(F.struct("again", "s_suppkey", "s"))).alias("all"))  # a registry is one file
+    path = _scratch(spark, "registry") + ".json"
+    sinks.write_lines(listed.select(F.to_json(F.struct(F.transform("all", lambda x: x["s"]).alias("sources")))), path)
+    return path
+
+
+@query
+def registry_file(spark: SparkSession, d: str) -> DataFrame:
+    """The primary sources of a registry file: of entries of one id the last holds, at the first's place."""
+    return registry.primary(registry.registry(spark, _supplier_registry(spark, d))).select("pos", "id", "role", "filename")
+
+
+@query
+def registry_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Of a registry file, the first supplier of each nation."""
+    ids = [r["id"] for r in table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_name").alias("id")).collect()]  # one row a nation
+    return registry.select(registry.registry(spark, _supplier_registry(spark, d)), ids).select("pos", "id", "role")
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a catalog of units."""
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(key.alias("ordinal"), key.cast("string").alias("spatial_unit_id"), F.col("c_name").alias("name"), F.lit("area").alias("unit_type"), (key % 90).cast("double").alias("latitude"), (-key % 180).cast("double").alias("longitude"))
+
+
+@query
+def service_map(spark: SparkSession, d: str) -> DataFrame:
+    """What the interface answers for the map of one period over a catalog of tables."""
+    kinds = _periods(spark, d).select(F.row_number().over(Window.orderBy("period_id")).alias("ordinal"), "period_id", F.col("period_id").alias("name"))  # a handful of types
+    return risk.Service(spark, catalog=_catalog(spark, d), dates=kinds).risk_map("purchase")
+
+
+@query
+def service_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a request of the interface, with the status and the fields of the body that answers it, by its ordinal."""
+    k = F.col("event_id")
+    unit = F.when(k % 50 == 0, "").when(k % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit('u "'), F.col("user_id").cast("string")))
+    asked = table(spark, d, "events").select(k.alias("ordinal"), unit.alias("spatial_unit_id"), F.col("event_type").alias("period_id"))
+    found = risk.Service(spark).answers(asked)
+    return found.select("ordinal", "status", *[registry.field(F.col("body"), n).alias(n) for n in ("spatial_unit_id", "period_id", "provider", "label")], registry.field(F.col("body"), "value", "double").alias("value"))
+
+
 @query
 def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the nations' file: quotes only where needed, nulls as empty fields, doubles as Python prints them."""

@@ -1,4 +1,4 @@
-"""Results as single files."""
+"""Results as single files: text, delimited text and workbooks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import csv
 import io
 import re
 import uuid
+import zipfile
 from pathlib import Path
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.errors import UnsupportedOperationException
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 
 @F.pandas_udf(T.StringType())
 def _python_float(values: pd.Series) -> pd.Series:
@@ -60,7 +64,8 @@ class OneFile:
     def write(self, lines: DataFrame, end: str) -> None:
         lines.write.option("lineSep", end).text(self._path(self.folder, "parts").toString())
 
-    def commit(self, head: bytes) -> None:
+    def commit(self, head: bytes, keep: bool = False) -> None:
+        """Joins the parts behind the head under the target's name. `keep`: what else is in the folder stays."""
         found = [f.getPath() for f in self.fs.listStatus(self._path(self.folder, "parts")) if f.getLen() and re.match(r"part-\d+", f.getPath().getName())]
         parts = sorted(found, key=lambda p: int(re.match(r"part-(\d+)", p.getName())[1]))
         whole = self._path(self.folder, "whole")
@@ -72,10 +77,15 @@ class OneFile:
                 for part in parts:
                     with contextlib.closing(self.fs.open(part)) as own:
                         self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, self.BUFFER, False)
-        rename = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.target.toUri(), self.conf).rename(whole, self.target, rename)
-        self.abort()
+        self.rename(whole)
+        if not keep:
+            self.abort()
+
+    def rename(self, whole) -> None:
+        """Gives a file the target's name, in one step, whatever has it."""
+        how = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.target.toUri(), self.conf).rename(whole, self.target, how)
 
     def _concat(self, whole, parts: list) -> bool:
         """Whether the file system has joined the parts to the whole by itself."""
@@ -118,3 +128,97 @@ def write_csv(df: DataFrame, path: str | Path) -> str | Path:
     head = io.StringIO()
     csv.writer(head).writerow(df.columns)
     return write_lines(rows.select(F.concat_ws(",", *fields)), path, head.getvalue(), "\r\n")
+
+
+#: What a workbook file holds beside its sheet, and the rows that a sheet has at most.
+_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELS}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELS}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+SHEET_ROWS = 1 << 20
+
+
+def _escaped(v: Column) -> Column:
+    """Text for XML; characters that XML doesn't have become U+FFFD."""
+    v = F.regexp_replace(v, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ufffe\uffff]", "\ufffd")
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), ("\n", "&#10;")):
+        v = F.replace(v, F.lit(c), F.lit(name))
+    return v
+
+
+def _cell(c: Column, kind: str) -> Column:
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        number = F.concat(F.lit("<c><v>"), c.cast("string"), F.lit("</v></c>"))
+        return F.when(c.isNull() | (F.isnan(c) if kind in ("float", "double") else F.lit(False)), F.lit("<c/>")).otherwise(number)
+    if kind == "boolean":
+        return F.coalesce(F.concat(F.lit('<c t="b"><v>'), c.cast("int").cast("string"), F.lit("</v></c>")), F.lit("<c/>"))
+    if kind in ("date", "timestamp"):
+        v, before = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), '<c t="d"><v>'
+        return F.coalesce(F.concat(F.lit(before), v, F.lit("</v></c>")), F.lit("<c/>"))
+    text = F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), _escaped(c.cast("string")), F.lit("</t></is></c>"))
+    return F.coalesce(text, F.lit("<c/>"))
+
+
+def _letters(n: int) -> str:
+    """The name of the n-th column of a sheet."""
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+class _Stream(io.RawIOBase):
+    """A Hadoop output stream as a file that is only written on."""
+
+    def __init__(self, out):
+        self.out = out
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.out.write(bytearray(data))
+        return len(data)
+
+
+def write_workbook(df: DataFrame, path: str | Path, sheet: str = "Sheet1", header_row: int = 5) -> str | Path:
+    """A workbook of one sheet with the columns' names in `header_row` and the rows under it, in the frame's order.
+
+    Tasks write the cells; the driver only deflates what they wrote, piece by piece, as a sheet is bounded: over SHEET_ROWS
+    rows raise a ValueError. Numbers, booleans, dates and moments are typed cells, the rest texts; nulls are empty cells.
+    """
+    spark = df.sparkSession
+    kinds = df.dtypes
+    head = df.sparkSession.range(1).select(F.concat(*[_cell(F.lit(n), "string") for n, _ in kinds])).first()[0]
+    lines = df.select(F.concat(F.lit("<row>"), *[_cell(F.col(f"`{n}`"), kind) for n, kind in kinds], F.lit("</row>")).alias("row"))
+    sink = OneFile(spark, path)
+    try:
+        sink.write(lines, "\n")
+        parts = sink._path(sink.folder, "parts").toString()
+        last = header_row + spark.read.text(parts).count()
+        if last > SHEET_ROWS:
+            raise ValueError(f"a sheet has {SHEET_ROWS} rows at most")
+        first = f'<worksheet {_NS}><dimension ref="A1:{_letters(len(kinds))}{last}"/><sheetData>'
+        whole = OneFile(spark, sink._path(sink.folder, "sheet").toString())
+        whole.folder = sink.folder
+        whole.commit(f"{first}{'<row/>' * (header_row - 1)}<row>{head}</row>\n".encode(), keep=True)
+        done = sink._path(sink.folder, "book")
+        with contextlib.closing(sink.fs.create(done)) as out, zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in _PARTS.items():
+                z.writestr(name, text)
+            z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{_RELS}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+            with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as own:
+                for data in files.pieces(spark, whole.target.toString()):
+                    own.write(data)
+                own.write(b"</sheetData></worksheet>")
+        sink.rename(done)
+    finally:
+        sink.abort()
+    return path

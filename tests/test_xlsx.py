@@ -1,8 +1,12 @@
 import random
+import re
+import zipfile
+from datetime import datetime
 
 import pytest
 
 from roadglass.operators import events
+from roadglass.sources import sinks
 from roadglass.sources.xlsx import ROW, Book, records, sample
 from tests.books import crash, crash_books, write_book
 
@@ -32,9 +36,6 @@ def test_ranges_of_rows(spark, book, size):
 
 def test_rows_without_numbers(spark, tmp_path):
     path = write_book(tmp_path / "n.xlsx", {"Data": [["a", "b"], *[[i, "v"] for i in range(500)]]})
-    import re
-    import zipfile
-
     bare = tmp_path / "bare.xlsx"
     with zipfile.ZipFile(path) as z, zipfile.ZipFile(bare, "w") as out:
         for n in z.namelist():
@@ -88,3 +89,19 @@ def test_path_with_a_scheme(spark, tmp_path):
     path = write_book(tmp_path / "s p.xlsx", {"Data": [["a"], [1]]})
     df = records(spark, f"file:{path}", "Data", 1)
     assert [r["A"] for r in df.collect()] == ["1"]
+
+
+def test_written_workbook(spark, tmp_path):
+    """What a table's workbook holds is read back, by this library as by the format's rules."""
+    rows = [(1, " a & <b> ]]> \r\n\x01é🎉", 0.5, datetime(2024, 5, 10, 8, 30), None), (None, "", float("nan"), None, True), (-7, None, 1e-7, datetime(1999, 12, 31), False)]
+    df = spark.createDataFrame(rows, "`Nº` long, Text string, x double, Day timestamp, ok boolean").coalesce(1)
+    path = sinks.write_workbook(df, tmp_path / "deep" / "w.xlsx", 'S & "1"', 2)
+    got = [tuple(r) for r in records(spark, path, 'S & "1"', 2).select("NO", "TEXT", "X", "DAY", "OK", ROW).collect()]
+    assert got == [("1", " a & <b> ]]> \r\n\ufffdé🎉", "0.5", "2024-05-10 08:30:00", None, 3), (None, "", None, None, "True", 4), ("-7", None, "1e-07", "1999-12-31 00:00:00", "False", 5)]
+    assert Book(str(path)).dimension('S & "1"') == 5
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and len(z.namelist()) == 5
+    assert [p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")] == ["w.xlsx"]
+    with pytest.raises(ValueError, match="rows at most"):
+        sinks.write_workbook(spark.range(1 << 20), tmp_path / "large.xlsx")
+    assert not (tmp_path / "large.xlsx").exists()
