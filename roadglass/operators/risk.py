@@ -36,17 +36,16 @@ def periods(spark: SparkSession) -> DataFrame:
 
 
 def scored(df: DataFrame, provider: ScoreProvider | None = None, unit: str = "spatial_unit_id", period: str = "period_id") -> DataFrame:
-    """df with value, label, provider, model_version, dataset_version."""
+    """df with value, label, provider, model_version, dataset_version.
+
+    A provider that needs tables of its own to score has `score_rows`, which adds value and label to rows.
+    """
     p = provider or HashProvider()
-    return df.withColumns(
-        {
-            "value": p.score(F.col(unit), F.col(period)),
-            "label": F.lit(None).cast("string"),
-            "provider": F.lit(p.provider),
-            "model_version": F.lit(p.model_version),
-            "dataset_version": F.lit(p.dataset_version),
-        }
-    )
+    if hasattr(p, "score_rows"):
+        df = p.score_rows(df, unit, period)
+    else:
+        df = df.withColumns({"value": p.score(F.col(unit), F.col(period)), "label": F.lit(None).cast("string")})
+    return df.withColumns({"provider": F.lit(p.provider), "model_version": F.lit(p.model_version), "dataset_version": F.lit(p.dataset_version)})
 
 
 #: Periods of a block; a map whose periods fit one block sends them to every task.

@@ -12,6 +12,7 @@ from ..functions import dates, numbers, text
 from ..functions.score import bucket, color, hash_score, radius, shown
 from ..functions.text import header_name
 from ..operators import events, profile, risk
+from ..operators.trained import TrainedProvider
 from ..session import shared_dir
 from ..sources import delimited, files, registry, sinks
 from ..sources.xlsx import DATES, ROW, TIMES, records, sample
@@ -332,7 +333,7 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", registry.field(F.col("props"), "k", "int").alias("k"))
+    return registry.with_fields(table(spark, d, "events").select("event_id", "props"), "props", {"k": "int"}).drop("props")
 
 
 def _crashes(spark: SparkSession, d: str) -> DataFrame:
@@ -564,8 +565,20 @@ def service_answers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     unit = F.when(k % 50 == 0, "").when(k % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit('u "'), F.col("user_id").cast("string")))
     asked = table(spark, d, "events").select(k.alias("ordinal"), unit.alias("spatial_unit_id"), F.col("event_type").alias("period_id"))
-    found = risk.Service(spark).answers(asked)
-    return found.select("ordinal", "status", *[registry.field(F.col("body"), n).alias(n) for n in ("spatial_unit_id", "period_id", "provider", "label")], registry.field(F.col("body"), "value", "double").alias("value"))
+    kinds = dict.fromkeys(("spatial_unit_id", "period_id", "provider", "label"), "string") | {"value": "double"}
+    return registry.with_fields(risk.Service(spark).answers(asked), "body", kinds).drop("body")
+
+
+@query
+def trained_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Users and event types scored by a provider that four fifths of the events have trained, which was saved and loaded; the rest of the events are held out."""
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("spatial_unit_id"), F.col("event_type").alias("period_id"), "value")
+    fold = F.crc32(F.col("event_id").cast("string")) % 5
+    target = F.least(F.col("value") / 200, F.lit(1.0))
+    path = _scratch(spark, "providers")
+    TrainedProvider.fit(rows.where(fold != 0), F.col("spatial_unit_id"), F.col("period_id"), target, "v1", "events").save(path)
+    held_out = rows.where(fold == 0).select("spatial_unit_id", "period_id").distinct()
+    return risk.scored(held_out, TrainedProvider.load(spark, path, "v1"))
 
 
 @query
