@@ -17,7 +17,7 @@ gives the score; on the documents of sf0.1, two words tell more than two sentenc
 
 Labels are learnt from at most TRAIN_ROWS labelled documents of each label, by hash of the id, whatever their length;
 of one with more than TRAIN_WORDS words in its sentences, from a sample of its sentences over its whole length, by hash.
-These are the only samples, and they bound what goes to the driver. Scoring reads every word of every text. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
+These are the only samples, and they bound what the one task holds that trains the machine; only the model goes to the driver. Scoring reads every word of every text. Null and empty texts have no words and get a low score. Repeated rows are scored alike; of
 labels that repeat an id the highest holds, of texts that repeat it the least; rows without an id are never
 learnt from. Without labels of both kinds every score is 0. Other columns are not looked at. Words of any
 length are read whole, long ones in overlapping windows.
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from ._common import tune
 
 #: Labelled documents of either label that are used at most, and the words of one that are learnt from at most.
-TRAIN_ROWS, TRAIN_WORDS = 3000, 2000
+TRAIN_ROWS, TRAIN_WORDS = 3000, 1000
 #: Highest clean words that the machine of the first turns is solved for; words whose features are held at once.
 FIRST_WORDS, CHUNK = 4000, 4096
 LAMBDA = 0.5
@@ -103,8 +103,9 @@ def learnt(text: str | None, most: int = TRAIN_WORDS) -> list[set[str]]:
 
 
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labelled texts to what is learnt from them: a line a sentence, its words apart by spaces, which words don't hold."""
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "fold": batch["fold"], "words": [[sorted(u) for u in learnt(t)] for t in batch["t"]]})
+        yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "fold": batch["fold"], "words": ["\n".join(" ".join(sorted(u)) for u in learnt(t)) for t in batch["t"]]})
 
 
 def _codes(words: list[str]):
@@ -309,11 +310,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     found = found.join(F.broadcast(some), "id").groupBy("id", "y", "fold").agg(F.min("t").alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = found.mapInPandas(_learn, f"id {kind}, y int, fold long, words array<array<string>>")
-    got = sorted(((r["id"], r["words"], r["y"], r["fold"]) for r in found.collect()), key=lambda r: r[0])  # 2 * rows documents of TRAIN_WORDS words at most
+    found = found.mapInPandas(_learn, f"id {kind}, y int, fold long, words string")
     all_ = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     rates = tuple(max(1.0, all_.get(k, 0) / rows) for k in (0, 1))
-    return Model((([set(u) for u in own], y, f == 1) for _, own, y, f in got), rates)
+    # 2 * rows documents of TRAIN_WORDS words at most, in one task; only the model goes to the driver.
+    made = found.repartition(1).mapInPandas(_fitted(rates), "table binary, bias double, link array<double>").collect()
+    model = Model([])
+    if made and made[0]["link"]:
+        model.table, model.bias, model.link = np.frombuffer(zlib.decompress(made[0]["table"]), np.float32), made[0]["bias"], np.array(made[0]["link"])
+    return model
+
+
+def _fitted(rates: tuple[float, float]):
+    """All that is learnt from to one trained model."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(itertools.chain.from_iterable(zip(b["id"].tolist(), b["words"], b["y"].tolist(), b["fold"].tolist()) for b in batches), key=lambda r: r[0])
+        model = Model((([set(u.split(" ")) for u in own.split("\n") if u], y, f == 1) for _, own, y, f in got), rates)
+        yield pd.DataFrame({"table": [zlib.compress(model.table.tobytes(), 1)], "bias": [model.bias], "link": [None if model.link is None else model.link.tolist()]})
+
+    return fit
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
