@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Texts that count as null, and as boolean, in lower case.
 NULL_TOKENS = ("", "na", "n/a", "null", "none", "nan")
@@ -56,19 +55,33 @@ def fold(value: object) -> str:
     return "" if value is None else " ".join(re.findall("[A-Za-z0-9]+", _unmarked(str(value)))).upper()
 
 
-@F.pandas_udf(T.StringType())
-def _folded(values: pd.Series) -> pd.Series:
-    """`fold` of the values that are there; Spark has no compatibility decomposition."""
-    known: dict = {}
-    return pd.Series([None if v is None else known[v] if v in known else known.setdefault(v, fold(v)) for v in values], dtype=object)
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """How `fold` changes single characters, as tables made from the rule itself.
+
+    Characters that become one ASCII letter or digit and then those that go, both for `translate`, with what the former
+    become; and those that become several characters with an ASCII letter or digit among them. All others are separators.
+    """
+    one, gone, many = {}, [], {}
+    for ch in map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000))):
+        if unicodedata.decomposition(ch) or unicodedata.combining(ch):
+            to = _unmarked(ch)
+            if not to:
+                gone.append(ch)
+            elif re.search("[A-Za-z0-9]", to):
+                (one if len(to) == 1 else many)[ch] = to
+    return "".join([*one, *gone]), "".join(one.values()), many
 
 
 def key(c: Column | str) -> Column:
-    """`fold` of a column: ASCII by expressions, only other texts through Python."""
+    """`fold` of a column, by expressions: no text goes through Python."""
     c = (F.col(c) if isinstance(c, str) else c).cast("string")
-    ascii_ = ~c.rlike(r"[^\x00-\x7F]")
-    plain = F.trim(F.upper(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")))
-    return F.coalesce(F.when(ascii_, plain), _folded(F.when(~ascii_, c)), F.lit(""))
+    old, new, many = _folding()
+    known = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in many.items()))
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    c = F.when(c.rlike(f"[{''.join(many)}]"), spread).otherwise(c)
+    plain = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, old, new)).otherwise(c)
+    return F.coalesce(F.trim(F.upper(F.regexp_replace(plain, "[^A-Za-z0-9]+", " "))), F.lit(""))
 
 
 def key_latin(c: Column) -> Column:

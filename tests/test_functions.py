@@ -113,3 +113,18 @@ def test_percent_rounds_half_to_even(spark):
     df = spark.createDataFrame([(a, b) for b in range(0, 60) for a in range(0, b + 1)], "a int, b int")
     for r in df.select("a", "b", numbers.percent(F.col("a"), F.col("b")).alias("p")).collect():
         assert r["p"] == round((r["a"] / r["b"] * 100) if r["b"] else 0.0, 2)
+
+
+def test_key_over_all_characters(spark):
+    """`key` is `fold` for every character, between letters, after a mark's base and alone; no plan has a Python worker for it."""
+    values = ["".join(f"a{chr(c)}b {chr(c)} e{chr(c)}1" for c in range(k, min(k + 61, 0x110000)) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 61)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", text.key("v").alias("k"))
+    assert [r["i"] for r in df.collect() if r["k"] != text.fold(values[r["i"]])] == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_event_table_without_python(spark):
+    from roadglass.plans.queries import QUERIES
+
+    plan = QUERIES["event_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
