@@ -8,7 +8,7 @@ each kind has the least threshold at which its precision there meets a target. S
 first, without overlaps. The exact base patterns are always selected; the trees only add to them.
 
 The trees are fitted on the driver on a bounded, seeded set of generated examples (TRAIN_ROWS), as no table
-labels personal data. Null and empty texts have no spans. Whole texts are scanned, in time that grows with their
+labels personal data. Null and empty texts have no spans; an empty table gives no rows. Whole texts are scanned, in time that grows with their
 length and with n * log(n) of their spans.
 Repeated rows are judged alike; other columns are not looked at. Offsets are code points, ends exclusive.
 """

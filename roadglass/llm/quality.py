@@ -4,7 +4,8 @@ The ledger keeps the measurements and the failure bits of every document. A poli
 new version of a policy, or the question what a rule costs, needs no text and no second evaluation:
 `apply_policy` is one bitwise AND, `ablation` a count by mask.
 
-Null and empty texts have no words and fail the word-count rule. Repeated rows and ids are judged on their
+Null and empty texts have no words and fail the word-count rule; texts of any length are read whole; an empty table gives no
+rows. Repeated rows and ids are judged on their
 own. Other columns are not looked at.
 """
 

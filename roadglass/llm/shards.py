@@ -6,7 +6,7 @@ place plus its place within. A row goes to the shard in which the middle of its
 differs from its target by at most half a row at either end. Only narrow rows (no text) are shuffled, and
 a salt over the place in the input parts any run of equal ids.
 
-Law: bytes. Null texts have no bytes and the checksum of no bytes (0). Null ids sort first. Repeated rows
+Law: bytes. Texts of any length count by their bytes alone. Null texts have no bytes and the checksum of no bytes (0). Null ids sort first. Repeated rows
 get places of their own; an empty table gives no rows. Other columns are not looked at. Equal texts share
 a checksum but not a shard: keeping a group that holds a third of all bytes together would break the law.
 """

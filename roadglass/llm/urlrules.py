@@ -5,7 +5,8 @@ difference to it. `<link rel="canonical">` and `<meta http-equiv="refresh">` in
 the target's (its entities decoded); the connected components of these edges are the aliases. A url that a rule fits keeps that
 rule's verdict. Any other is blocked if a rule blocks one of its aliases and none allows one, else allowed.
 
-Null urls, and those without "://", have no host, path or address and are allowed. Equal urls are judged
+Null urls, and those without "://", have no host, path or address and are allowed. Null html has no links; html of any
+length is read whole. An empty table gives no rows. Equal urls are judged
 alike; repeated rows stay. Other columns are not looked at. DataFrame functions only.
 """
 
