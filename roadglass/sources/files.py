@@ -92,6 +92,32 @@ def opened(path: str | Path):
     return fs.open_input_file(at)
 
 
+def created(path: str | Path):
+    """A file that driver or executor writes themselves, at the places that `opened` knows; local folders must be there."""
+    scheme, _, rest = str(path).partition(":")
+    if scheme not in STREAMED:
+        return open(path, "wb")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "wb")
+    fs, at = arrow_files.FileSystem.from_uri(quote(str(path).replace("s3a:", "s3:", 1), safe=":/"))
+    return fs.open_output_stream(at)
+
+
+def listed(path: str | Path, end: str) -> list[str]:
+    """The visible files of a folder whose names have that end, by name, at the places that `opened` knows; a file stands for itself."""
+    scheme, _, rest = str(path).partition(":")
+    if scheme not in STREAMED or scheme == "file":
+        fs, at = arrow_files.LocalFileSystem(), str(path) if scheme not in STREAMED else "/" + rest.lstrip("/")
+    else:
+        fs, at = arrow_files.FileSystem.from_uri(quote(str(path).replace("s3a:", "s3:", 1), safe=":/"))
+    if fs.get_file_info(at).type != arrow_files.FileType.Directory:
+        return [str(path)]
+    own = [f.base_name for f in fs.get_file_info(arrow_files.FileSelector(at)) if f.is_file and f.base_name.endswith(end) and not f.base_name.startswith(("_", "."))]
+    if not own:
+        raise FileNotFoundError(f"{path} has no {end} files")
+    return [f"{str(path).rstrip('/')}/{n}" for n in sorted(own)]
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths to the sizes and digests of their files, read piece by piece."""
     for batch in batches:

@@ -8,16 +8,20 @@ import io
 import re
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files
+from .xlsx import RANGE_BYTES
 
 
 @F.pandas_udf(T.StringType())
@@ -142,6 +146,8 @@ _PARTS = {
     "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELS}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
 }
 SHEET_ROWS = 1 << 20
+#: Of the XML of a sheet in a folder of workbooks: a range of the scan.
+BOOK_BYTES = RANGE_BYTES
 
 
 def _escaped(v: Column) -> Column:
@@ -188,11 +194,63 @@ class _Stream(io.RawIOBase):
         return len(data)
 
 
-def write_workbook(df: DataFrame, path: str | Path, sheet: str = "Sheet1", header_row: int = 5) -> str | Path:
+def _opening(sheet_columns: int, last: int, header_row: int, head: str) -> bytes:
+    """A sheet's XML up to its rows."""
+    first = f'<worksheet {_NS}><dimension ref="A1:{_letters(sheet_columns)}{last}"/><sheetData>'
+    return f"{first}{'<row/>' * (header_row - 1)}<row>{head}</row>\n".encode()
+
+
+def _pack(out, sheet: str, pieces: Iterable[bytes]) -> None:
+    """A workbook of one sheet, whose XML comes piece by piece up to the end of its rows."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in _PARTS.items():
+            z.writestr(name, text)
+        z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{_RELS}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as own:
+            for data in pieces:
+                own.write(data)
+            own.write(b"</sheetData></worksheet>")
+
+
+def _cuts(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[list[bytes]]:
+    """Lines in groups of at most so many, and of at most so many bytes unless one line is longer."""
+    some, held = [], 0
+    for batch in batches:
+        for line in batch.column(0).cast(pa.binary()).to_pylist():
+            if some and (len(some) == rows or held + len(line) + 1 > size):
+                yield some
+                some, held = [], 0
+            some.append(line)
+            held += len(line) + 1
+    if some:
+        yield some
+
+
+def _books(folder: str, sheet: str, columns: int, header_row: int, head: str, rows: int, size: int):
+    """Rows of cells to workbooks, which each task writes itself; the name of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        room = size - len(_opening(columns, SHEET_ROWS, header_row, head)) - 100
+        for i, some in enumerate(_cuts(batches, rows - header_row, room)):
+            name = f"part-{task.partitionId():06d}-{i:06d}-{task.taskAttemptId()}.xlsx"
+            with files.created(f"{folder}/{name}") as out:
+                _pack(out, sheet, (_opening(columns, header_row + len(some), header_row, head), b"\n".join(some)))
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def write_workbook(df: DataFrame, path: str | Path, sheet: str = "Sheet1", header_row: int = 5, rows: int = SHEET_ROWS, size: int = BOOK_BYTES) -> str | Path:
     """A workbook of one sheet with the columns' names in `header_row` and the rows under it, in the frame's order.
 
     Tasks write the cells; the driver only deflates what they wrote, piece by piece, as a sheet is bounded: over SHEET_ROWS
     rows raise a ValueError. Numbers, booleans, dates and moments are typed cells, the rest texts; nulls are empty cells.
+
+    A path ending in "/" is for frames of any size: a folder of workbooks whose sheets go on from one to the next in the order
+    of their names, each of at most `rows` rows, its header's included, and `size` bytes of XML, so that one task reads it.
+    Tasks write them whole and only their names reach the driver; those of failed attempts are removed before the folder gets
+    its name, in place of what has it. It must be at a place that `files.created` knows. `records` reads both forms alike.
     """
     spark = df.sparkSession
     kinds = df.dtypes
@@ -200,24 +258,31 @@ def write_workbook(df: DataFrame, path: str | Path, sheet: str = "Sheet1", heade
     lines = df.select(F.concat(F.lit("<row>"), *[_cell(F.col(f"`{n}`"), kind) for n, kind in kinds], F.lit("</row>")).alias("row"))
     sink = OneFile(spark, path)
     try:
+        if str(path).endswith("/"):
+            sink.fs.mkdirs(sink.folder)
+            found = lines.mapInArrow(_books(sink.folder.toString(), sheet, len(kinds), header_row, head, min(rows, SHEET_ROWS), size), "name string").collect()
+            names = {r["name"] for r in found}
+            if not names:  # a frame without rows has its header all the same
+                names = {"part-000000-000000-0.xlsx"}
+                with files.created(f"{sink.folder.toString()}/{min(names)}") as out:
+                    _pack(out, sheet, (_opening(len(kinds), header_row, header_row, head),))
+            for f in sink.fs.listStatus(sink.folder):
+                if f.getPath().getName() not in names:
+                    sink.fs.delete(f.getPath(), True)
+            sink.fs.delete(sink.target, True)
+            sink.fs.rename(sink.folder, sink.target)
+            return path
         sink.write(lines, "\n")
         parts = sink._path(sink.folder, "parts").toString()
         last = header_row + spark.read.text(parts).count()
         if last > SHEET_ROWS:
             raise ValueError(f"a sheet has {SHEET_ROWS} rows at most")
-        first = f'<worksheet {_NS}><dimension ref="A1:{_letters(len(kinds))}{last}"/><sheetData>'
         whole = OneFile(spark, sink._path(sink.folder, "sheet").toString())
         whole.folder = sink.folder
-        whole.commit(f"{first}{'<row/>' * (header_row - 1)}<row>{head}</row>\n".encode(), keep=True)
+        whole.commit(_opening(len(kinds), last, header_row, head), keep=True)
         done = sink._path(sink.folder, "book")
-        with contextlib.closing(sink.fs.create(done)) as out, zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_DEFLATED) as z:
-            for name, text in _PARTS.items():
-                z.writestr(name, text)
-            z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{_RELS}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
-            with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as own:
-                for data in files.pieces(spark, whole.target.toString()):
-                    own.write(data)
-                own.write(b"</sheetData></worksheet>")
+        with contextlib.closing(sink.fs.create(done)) as out:
+            _pack(_Stream(out), sheet, files.pieces(spark, whole.target.toString()))
         sink.rename(done)
     finally:
         sink.abort()

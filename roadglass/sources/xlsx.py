@@ -14,6 +14,9 @@ scan is part of it: `firstRow` and `lastRow` leave out ranges and end the readin
 such a cell before they leave the reader. They are options, not pushed filters, because a frame of a Python data source
 keeps what one query has pushed (Spark 4.1): a second query over it would miss the rows that the first left out.
 Paths are local ones or of a store that `files.opened` knows.
+
+A path of a folder stands for its workbooks (.xlsx) in the order of their names: a sheet goes on in the next one's of that
+name, under the same header, and its rows are numbered on, by the last row that each sheet states.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import fold
-from .files import opened
+from .files import listed, opened
 
 HEADER_ROW, SCAN_ROWS = 5, 25
 DATES, TIMES, ROW = "_dates", "_times", "_row"
@@ -87,6 +90,10 @@ class Book:
                     return None
         return None
 
+    def last(self, sheet: str) -> int:
+        """The sheet's last row: as stated, or as found where nothing is."""
+        return self.dimension(sheet) or max((number for number, _ in self.rows(sheet)), default=0)
+
     def ranges(self, sheet: str, size: int = RANGE_BYTES) -> list[tuple[int, int, int | None, int]]:
         """Ranges of rows: offset of the sheet's first row, offsets of the range's first row and of its end (None: the last), the row number before.
 
@@ -195,9 +202,11 @@ def headers(book: Book, sheet: str, row: int) -> dict[str, int]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, sheet: str, rows: tuple[int, int, int | None, int], order: int):
-        super().__init__((sheet, *rows))
+    def __init__(self, path: str, sheet: str, rows: tuple[int, int, int | None, int], order: int, shift: int = 0):
+        super().__init__((path, sheet, *rows))
         self.path, self.sheet, self.rows, self.order = path, sheet, rows, order
+        #: Rows of the sheet in other workbooks: those before, or for `raw` those after.
+        self.shift = shift
 
 
 class _Reader(DataSourceReader):
@@ -211,44 +220,55 @@ class _Reader(DataSourceReader):
         self.required = (option("required") or "").splitlines()
 
     def partitions(self) -> list[InputPartition]:
-        path, size = self.options["path"], int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
-        book = Book(path)
+        paths, size = listed(self.options["path"], ".xlsx"), int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
         if self.raw:  # the first rows of every sheet
-            return [_Part(path, s, (0, 0, None, 0), i) for i, s in enumerate(book.sheets)]
-        sheet = self.options["sheet"]
-        if sheet not in book.sheets:
-            raise KeyError(f"Worksheet {sheet} does not exist.")
-        parts = book.ranges(sheet, size)
-        # A range's rows are numbered from the row before it to the next range's.
-        ends = [*[p[3] for p in parts[1:]], None]
-        kept = [p for p, end in zip(parts, ends) if (self.most is None or p[3] < self.most) and (end is None or end >= self.least)]
-        return [_Part(path, sheet, p, i) for i, p in enumerate(kept or parts[:1])]
+            first: dict[str, str] = {}
+            after: dict[str, int] = {}
+            for path in paths:
+                book = Book(path)
+                for s in book.sheets:
+                    if first.setdefault(s, path) != path:
+                        after[s] = after.get(s, 0) + book.last(s) - self.top
+            return [_Part(path, s, (0, 0, None, 0), i, after.get(s, 0)) for i, (s, path) in enumerate(first.items())]
+        sheet, shift, every = self.options["sheet"], 0, []
+        for path in paths:
+            book = Book(path)
+            if sheet not in book.sheets:
+                raise KeyError(f"Worksheet {sheet} does not exist.")
+            parts = book.ranges(sheet, size)
+            last = None if path == paths[-1] else book.last(sheet)
+            # A range's rows are numbered from the row before it to the next range's.
+            every += [(path, p, shift, end) for p, end in zip(parts, [*[p[3] for p in parts[1:]], last])]
+            shift += 0 if last is None else last - self.top
+        kept = [x for x in every if (self.most is None or x[1][3] + x[2] < self.most) and (x[3] is None or x[3] + x[2] >= self.least)]
+        return [_Part(path, sheet, p, i, before) for i, (path, p, before, _) in enumerate(kept or every[:1])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
         book = Book(part.path)
         if self.raw:
             last = book.dimension(part.sheet)
+            whole = last and last + part.shift
             limit = min(last or 1, int(self.options.get("rows", SCAN_ROWS)), self.most or (1 << 31))
             found = False
             for number, cells in book.rows(part.sheet, limit):
                 found = True
                 if number >= self.least:
-                    yield part.order, part.sheet, number, [v for v, _ in cells], last
+                    yield part.order, part.sheet, number, [v for v, _ in cells], whole
             if not found and self.least <= 1 and (self.most is None or self.most >= 1):
-                yield part.order, part.sheet, 1, [], last
+                yield part.order, part.sheet, 1, [], whole
             return
         if self.most is not None and self.most < max(self.least, 1):
             return
-        place = headers(book, part.sheet, self.top)
-        keys = [f.name for f in self.schema.fields if f.name in place]
-        tail = [f.name for f in self.schema.fields if f.name not in place]
-        for number, cells in book.rows(part.sheet, self.most, part.rows):
-            if number <= self.top or number < self.least:
+        place, own_rows = headers(book, part.sheet, self.top), (DATES, TIMES, ROW)
+        keys = [f.name for f in self.schema.fields if f.name not in own_rows]
+        tail = [f.name for f in self.schema.fields if f.name in own_rows]
+        for number, cells in book.rows(part.sheet, self.most and max(self.most - part.shift, 1), part.rows):
+            if number <= self.top or not self.least <= number + part.shift <= (self.most or number + part.shift):
                 continue
-            own = {k: cells[place[k]] if place[k] < len(cells) else (None, "") for k in keys}
+            own = {k: cells[place[k]] if k in place and place[k] < len(cells) else (None, "") for k in keys}
             if any(k not in own or own[k][0] is None for k in self.required):
                 continue
-            more = {DATES: [k for k, (_, t) in own.items() if t == "d"], TIMES: [k for k, (_, t) in own.items() if t == "t"], ROW: number}
+            more = {DATES: [k for k, (_, t) in own.items() if t == "d"], TIMES: [k for k, (_, t) in own.items() if t == "t"], ROW: number + part.shift}
             yield (*[own[k][0] for k in keys], *[more[t] for t in tail])
 
 
@@ -263,7 +283,7 @@ class WorkbookSource(DataSource):
         if self.options.get("mode", "records") == "raw":
             return "sheet_order int, sheet string, row_index int, cells array<string>, last_row int"
         top = int(self.options.get("headerrow", self.options.get("headerRow", HEADER_ROW)))
-        keys = headers(Book(self.options["path"]), self.options["sheet"], top)
+        keys = headers(Book(listed(self.options["path"], ".xlsx")[0]), self.options["sheet"], top)
         tags = [T.StructField(n, T.ArrayType(T.StringType())) for n in (DATES, TIMES)]
         return T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *tags, T.StructField(ROW, T.IntegerType())])
 

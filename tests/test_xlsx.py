@@ -105,3 +105,35 @@ def test_written_workbook(spark, tmp_path):
     with pytest.raises(ValueError, match="rows at most"):
         sinks.write_workbook(spark.range(1 << 20), tmp_path / "large.xlsx")
     assert not (tmp_path / "large.xlsx").exists()
+
+
+@pytest.mark.parametrize(("rows", "size"), [(1 << 20, 1 << 23), (100, 1 << 23), (1 << 20, 4000)])
+def test_folder_of_workbooks(spark, tmp_path, rows, size):
+    """A path that ends in "/" takes more rows than a sheet has: sheets go on from one workbook to the next, with their rows' numbers."""
+    df = spark.range(0, 2000, 1, 3).selectExpr("id as `Nº`", "if(id % 7 = 0, null, concat('<é', id)) as Text")
+    path = sinks.write_workbook(df, f"{tmp_path}/many/", "S", 2, rows, size)
+    books = sorted(p.name for p in (tmp_path / "many").iterdir() if p.suffix == ".xlsx")
+    assert len(books) == 3 if rows == 1 << 20 and size == 1 << 23 else len(books) > 15
+    for b in books:
+        info = Book(f"{path}{b}").zip.getinfo("xl/worksheets/sheet1.xml")
+        assert Book(f"{path}{b}").dimension("S") <= rows and info.file_size <= size
+    want = [(i + 3, str(i), f"<é{i}" if i % 7 else None) for i in range(2000)]
+    every = records(spark, path, "S", 2)
+    assert [(r[ROW], r["NO"], r["TEXT"]) for r in every.collect()] == want and every.rdd.getNumPartitions() == len(books)
+    assert [(r[ROW], r["NO"], r["TEXT"]) for r in records(spark, path, "S", 2, first_row=700, last_row=1500, required=("TEXT",), range_bytes=900).collect()] == [w for w in want if 700 <= w[0] <= 1500 and w[2]]
+    assert [p.name for p in tmp_path.iterdir()] == ["many"]
+    assert [(r["row_index"], r["cells"]) for r in sample(spark, path, 3).collect()] == [(1, []), (2, ["Nº", "Text"]), (3, ["0", None])]
+
+
+def test_folder_of_workbooks_replaced_and_empty(spark, tmp_path):
+    df = spark.range(0, 50, 1, 4).selectExpr("id as a")
+    path = f"file:{tmp_path}/w/"
+    sinks.write_workbook(df, path, "S", 1)
+    sinks.write_workbook(df.where("id < 0"), path, "S", 1)
+    assert records(spark, path, "S", 1).collect() == [] and records(spark, path, "S", 1).columns[0] == "A"
+    sinks.write_workbook(df.where("id > 40"), path, "S", 1)
+    assert [(r["A"], r[ROW]) for r in records(spark, path, "S", 1).collect()] == [(str(i), i - 39) for i in range(41, 50)]
+    assert sample(spark, path, 1).first()["last_row"] == 1 + 9
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="no .xlsx files"):
+        records(spark, tmp_path / "none", "S")
