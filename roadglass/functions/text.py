@@ -73,14 +73,22 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join([*one, *gone]), "".join(one.values()), many
 
 
+@functools.cache
+def _several() -> str:
+    """The characters that become several, as a pattern: by ranges, behind a test that ASCII fails at once, as Java tries a class's members one by one."""
+    codes = sorted(map(ord, _folding()[2]))
+    ranges = [(a, b) for a, b in zip([c for c in codes if c - 1 not in codes], [c for c in codes if c + 1 not in codes])]
+    return r"(?=[^\x00-\x7F])[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def key(c: Column | str) -> Column:
-    """`fold` of a column, by expressions: no text goes through Python."""
+    """`fold` of a column, by expressions: no text goes through Python. ASCII texts pass by all tables; of others each different character is looked up once."""
     c = (F.col(c) if isinstance(c, str) else c).cast("string")
     old, new, many = _folding()
-    known = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in many.items()))
-    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
-    c = F.when(c.rlike(f"[{''.join(many)}]"), spread).otherwise(c)
-    plain = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, old, new)).otherwise(c)
+    known = F.str_to_map(F.lit("\0".join(f"{k}\1{v}" for k, v in many.items())), F.lit("\0"), F.lit("\1"))  # one literal
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_several()), F.lit(0)))
+    spread = F.aggregate(found, c, lambda text, x: F.replace(text, x, F.element_at(known, x)))
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(spread, old, new))
     return F.coalesce(F.trim(F.upper(F.regexp_replace(plain, "[^A-Za-z0-9]+", " "))), F.lit(""))
 
 
