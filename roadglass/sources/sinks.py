@@ -30,12 +30,15 @@ def _python_float(values: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) and v is None else repr(float(v)) if v == v else None for v in values], dtype=object)
 
 
-def _shown(c: Column, kind: str) -> Column:
-    if kind not in ("double", "float"):
-        return c
+def printed(c: Column) -> Column:
+    """A double as Python prints it: 0.0002, where a cast to string gives 2.0E-4."""
     return F.when(F.isnan(c), F.lit("nan")).otherwise(_python_float(c))
 
 
+def _shown(c: Column, kind: str) -> Column:
+    return printed(c) if kind in ("double", "float") else c
+
+
 def _field(c: Column, alone: bool) -> Column:
     """A field with quotes only where it needs them."""
     v = F.coalesce(c.cast("string"), F.lit(""))
