@@ -85,13 +85,13 @@ def infer(n: Column, boolean: Column, numeric: Column, dates: Column, floats: Co
     return kind, F.when((n > 0) & sure, F.bround(F.try_divide(best, n) * 100, 2))
 
 
-def column_profiles(df: DataFrame, columns: list[str], ordinal: Column | str, full: bool = True, cap: int = UNIQUE_CAP) -> DataFrame:
+def column_profiles(df: DataFrame, columns: list[str], ordinal: Column | str, full: bool = True, cap: int | None = UNIQUE_CAP) -> DataFrame:
     """One row a column, in order: counts, type, range and samples (see `profile_file` for their names)."""
     return profiles(distinct_values(df, columns, ordinal), full, cap)
 
 
-def profiles(distinct: DataFrame, full: bool = True, cap: int = UNIQUE_CAP) -> DataFrame:
-    """`column_profiles` of distinct values."""
+def profiles(distinct: DataFrame, full: bool = True, cap: int | None = UNIQUE_CAP) -> DataFrame:
+    """`column_profiles` of distinct values. All of these are counted; `cap` is what the counts shown stop at, None: nothing."""
     values = classify(distinct, full)
     known = F.col("value").isNotNull()
     weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0))
@@ -110,14 +110,15 @@ def profiles(distinct: DataFrame, full: bool = True, cap: int = UNIQUE_CAP) -> D
     out = out.join(first_values(distinct), "pos", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     kind, pct = infer(F.col("non_null_count"), F.col("boolean"), F.col("integer") + F.col("float"), F.col("datetime"), F.col("float"))
     # The cap is reached for good once another value follows the one that filled it.
-    capped = (F.col("distinct") > cap) | ((F.col("distinct") == cap) & (F.col("last_any") > F.col("last_new")))
+    capped = F.lit(False) if cap is None else (F.col("distinct") > cap) | ((F.col("distinct") == cap) & (F.col("last_any") > F.col("last_new")))
+    unique = F.col("distinct") if cap is None else F.least("distinct", F.lit(cap))
     return out.select(
         "pos",
         kind.alias("inferred_type"),
         "non_null_count",
         "null_count",
         numbers.percent(F.col("null_count"), F.col("non_null_count") + F.col("null_count")).alias("null_pct"),
-        F.least("distinct", F.lit(cap)).alias("unique_count"),
+        unique.alias("unique_count"),
         F.coalesce(capped, F.lit(False)).alias("unique_count_is_capped"),
         pct.alias("parse_success_pct"),
         *["boolean", "integer", "float", "datetime", "string", "num_min", "num_max", "ts_min", "ts_max", "sample_values"],
@@ -173,7 +174,7 @@ def shown_numbers(values: pd.Series) -> pd.Series:
     return pd.Series([shown_number(None if x is None or x != x else x) for x in values.tolist()], dtype=object)
 
 
-def column_messages(name: Column, null_pct: Column, capped: Column, cap: int = UNIQUE_CAP) -> Column:
+def column_messages(name: Column, null_pct: Column, capped: Column, cap: int | None = UNIQUE_CAP) -> Column:
     """What in a column needs a look, as an array of texts, which are fixed values."""
     head = F.concat(F.lit("Column '"), name)
     null = F.when(null_pct >= 50, F.concat(head, F.lit("' is at least 50% null.")))
@@ -215,8 +216,8 @@ def scanned(table: delimited.Table) -> DataFrame:
     return distinct_values(table.rows, table.columns, delimited.ORDINAL, more)
 
 
-def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig", now: datetime | None = None) -> dict[str, Any]:
-    """The whole report of a delimited file, at any path that Spark reads.
+def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None = None, encoding: str = "utf-8-sig", now: datetime | None = None, cap: int | None = UNIQUE_CAP) -> dict[str, Any]:
+    """The whole report of a delimited file, at any path that Spark reads. `cap`: what counts of distinct values stop at; None: they are exact.
 
     The rows are parsed once; their distinct values are a table in the shared folder until the report is made.
     """
@@ -227,8 +228,8 @@ def profile_file(spark: SparkSession, path: str | Path, delimiter: str | None =
         scanned(table).write.parquet(folder)
         distinct = spark.read.parquet(folder)
         names = F.array(*map(F.lit, table.names))
-        found = profiles(distinct.where("pos >= 0")).withColumn("name", F.element_at(names, F.col("pos") + 1))
-        found = found.withColumn("messages", column_messages(F.col("name"), F.col("null_pct"), F.col("unique_count_is_capped")))
+        found = profiles(distinct.where("pos >= 0"), cap=cap).withColumn("name", F.element_at(names, F.col("pos") + 1))
+        found = found.withColumn("messages", column_messages(F.col("name"), F.col("null_pct"), F.col("unique_count_is_capped"), cap))
         by_pos = {r["pos"]: r.asDict() for r in found.collect()}  # one row a column
         of = lambda pos, weight="cnt", **value: F.coalesce(F.sum(F.when((F.col("pos") == pos) & F.col("value").isin(*value["of"]) if value else F.col("pos") == pos, F.expr(weight))), F.lit(0))
         counts = distinct.where("pos < 0").agg(

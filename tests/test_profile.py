@@ -172,6 +172,16 @@ def test_cap_depends_on_what_follows(spark, tmp_path, values, capped):
     assert row["unique_count_is_capped"] == capped and row["unique_count"] == min(3, len(set(items) - {"NA"}))
 
 
+def test_exact_counts(spark, tmp_path):
+    """Without a cap more distinct values than UNIQUE_CAP are counted, and nothing is said of a cap."""
+    n = profile.UNIQUE_CAP + 5
+    path = write(tmp_path, "id,x\n" + "".join(f"{i},{i % 3}\n" for i in range(n)))
+    exact, capped = profile.profile_file(spark, path, cap=None), profile.profile_file(spark, path)
+    assert [(c["unique_count"], c["unique_count_is_capped"]) for c in exact["columns"]] == [(n, False), (3, False)]
+    assert [(c["unique_count"], c["unique_count_is_capped"]) for c in capped["columns"]] == [(profile.UNIQUE_CAP, True), (3, False)]
+    assert [w for w in capped["warnings"] if w not in exact["warnings"]] == ["Column 'id' unique count reached the tracking cap (100000)."]
+
+
 def test_cli(spark, tmp_path, capsys):
     path, out = write(tmp_path, SPATIAL), tmp_path / "r" / "report.json"
     assert cli.main(["profile", str(path), "--output", str(out)]) == 0
