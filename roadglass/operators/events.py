@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, iso_date, iso_time
 from ..functions.numbers import integer, number
-from ..functions.text import key, text
+from ..functions.text import display, key, text
 from ..sources.files import exists
 from ..sources.sinks import write_csv
 from ..sources.xlsx import DATES, ROW, TIMES, records
@@ -68,7 +68,7 @@ def _tagged(df: DataFrame, tags: str, name: str) -> Column:
 
 def metropolitan(df: DataFrame) -> DataFrame:
     """Rows of the capital's province that have a crash id."""
-    rows = df.where(text(_cell(df, KEY)) != "")
+    rows = df.where(display(_cell(df, KEY)) != "")
     return rows.where((key(_cell(df, "DEPARTAMENTO")) == "LIMA") & (key(_cell(df, "PROVINCIA")) == "LIMA"))
 
 
